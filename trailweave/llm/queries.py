@@ -5,14 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import fingerprints, quality_rules, sharding
-from trailweave.llm.common import table
+from trailweave.llm import bpe, fingerprints, language, packing, quality_rules, sharding, toxicity
+from trailweave.llm.common import crc_of_id, table
+
+#: Folder of the public vocabulary files; a parameter, never a copy.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(F.pmod(crc_of_id(), F.lit(5)) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", (F.pmod(crc_of_id(), F.lit(5)) == 0).alias("held_out"), "score", "predicted", "n_spans", "spans")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = F.pmod(crc_of_id(), F.lit(4)) == 2
+    model = language.train(docs.filter(~out))
+    return language.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "n_langs", "langs")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     entries = quality_rules.apply_policy(quality_rules.ledger(docs))
@@ -23,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -38,8 +63,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
+    "op4_language": op4_language,
+    "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 
