@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import bpe, fingerprints, language, packing, quality_rules, sharding, toxicity
+from trailweave.llm import bpe, fingerprints, language, packing, quality_rules, sharding, similarity, toxicity
 from trailweave.llm.common import crc_of_id, table
 
 #: Folder of the public vocabulary files; a parameter, never a copy.
@@ -23,6 +23,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     out = F.pmod(crc_of_id(), F.lit(4)) == 2
@@ -65,6 +69,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
