@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import bpe, fingerprints, language, packing, quality_rules, sharding, similarity, toxicity
+from trailweave.llm import bpe, fingerprints, language, packing, pii, quality_rules, secret_scan, sharding, similarity, toxicity
 from trailweave.llm.common import crc_of_id, table
 
 #: Folder of the public vocabulary files; a parameter, never a copy.
@@ -48,6 +48,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymise(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secret_scan.fit(*secret_scan.labelled_findings())
+    return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"), forest)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -73,6 +82,8 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_bpe": op5_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_pii": op7_pii,
+    "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
