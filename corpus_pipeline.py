@@ -1,8 +1,61 @@
-"""A corpus from documents: filter, deduplicate, scan, pack."""
+"""A corpus from documents: quality rules, toxicity, near duplicates, secrets, packing.
 
+Every stage takes all that the one before kept, is written as Parquet and read again. All
+but the last return the columns of ``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailweave.llm import packing, quality_rules, secret_scan, similarity, toxicity
+from trailweave.llm.common import crc_of_id, shared_dir, table
+from trailweave.llm.queries import TOKENIZERS
+
+#: No SQL states the trained stages; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the standard policy keeps."""
+    kept = quality_rules.apply_policy(quality_rules.ledger(docs)).filter("kept")
+    return kept.select(docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain does not find toxic. It learns from the labels of what is
+    left, without the held-out fifth."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(F.pmod(crc_of_id(), F.lit(5)) != 0)
+    chain = toxicity.train(docs.select("doc_id", "text"), labels)
+    return toxicity.keep_clean(docs, chain)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one of the least id."""
+    return similarity.keep_one(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return secret_scan.redact(docs, secret_scan.fit(*secret_scan.labelled_findings()))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences, with their ids."""
+    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=True)
+
+
+STAGES = [("quality rules", quality), ("toxicity", toxic), ("near duplicates", near_duplicates), ("secret scan", secrets), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``; the result is the last one's."""
+    place = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
+        docs = spark.read.parquet(f"{place}/{k}")
+    return docs

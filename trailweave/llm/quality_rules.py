@@ -100,7 +100,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "CASE WHEN size(_p) > 0 THEN aggregate(sequence(1, size(_p)), 0L, "
         "(s, k) -> s + CASE WHEN k = size(_p) THEN 5 ELSE least(5, get(_p, k) - get(_p, k - 1)) END) ELSE 0L END"
     )
-    return a.withColumn("n_repeat_words", covered.cast("long")).drop("_w", "_g", "_p")
+    a = a.withColumn("n_repeat_words", covered.cast("long"))
+    # The one-row generator keeps later filters above it: pushed below, they would evaluate
+    # the array expressions again inside one another.
+    return a.select(*keep, F.inline(F.array(F.struct(*MEASURES))))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")

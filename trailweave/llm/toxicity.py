@@ -303,3 +303,22 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
                 out.append({"start": m.start(), "end": m.end(), "probability": float(p[i])})
             before = i
     return out
+
+
+def keep_clean(docs: DataFrame, chain: Chain, limit: float = 0.5) -> DataFrame:
+    """Rows whose text scores below ``limit``, with all columns; no shuffle."""
+
+    def run(batches):
+        memo = Emissions(chain)
+        b0, b1, b2 = chain.doc
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            keep = np.empty(len(texts), dtype=bool)
+            at = 0
+            for (part,) in W.chunks([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})], "text"):
+                _, f1, f2 = doc_features([W.words(t) for t in part], memo, chain)
+                keep[at : at + len(part)] = 1 / (1 + np.exp(-np.clip(b0 + b1 * f1 + b2 * f2, -30, 30))) < limit
+                at += len(part)
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
