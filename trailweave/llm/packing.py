@@ -15,6 +15,7 @@ minimum in constant time for each cut.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import deque
 
@@ -31,7 +32,8 @@ WIDTH, END_ID = 2048, 1
 SENTENCE, HARD, GRID, GAP = 4, 64, 32, 256
 #: Ids over which the programme looks at once; what follows the last cut is carried on.
 STREAM = 1_000_000
-MEMO = 400_000
+#: Pre-tokens remembered by a worker, about 200 bytes each.
+MEMO = 1_000_000
 
 
 class Tokenizer:
@@ -53,15 +55,16 @@ class Tokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [self.split(t) for t in texts]
-        used = {w for s in split for w in s}
-        new = sorted(used.difference(self.memo))
+        used = set().union(*split)
+        new = list(used.difference(self.memo))
         if len(self.memo) + len(new) > MEMO:
             self.memo = {w: self.memo[w] for w in used | self.last if w in self.memo}
         self.last = used
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             for w, e in zip(part, self.file.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+                ids = e.ids
+                self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
         get = self.memo.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
