@@ -1,0 +1,2 @@
+"""Streaming is not part of this engine: a superstep is a batch barrier, and no query it
+serves has late data, windows in time or unbounded input."""
