@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.common import partitions, written
 
-GAINS, SLICES = 40, 512
+#: Gain classes, hash slices of groups, and parts into which a group's cells fall within its slice.
+GAINS, SLICES, CUTS = 40, 32, 40
 
 
 def _rank(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
@@ -31,18 +32,20 @@ def _rank(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     return ranked.join(starts, [key, "_s"]).withColumn(name, F.col("_r") + F.col("_b")).drop("_s", "_r", "_b")
 
 
-def propagate(cells: DataFrame, shards: int, room_total: int, rounds: int = 4) -> DataFrame:
+def propagate(cells: DataFrame, shards: int, room_total: int, rounds: int = 12) -> DataFrame:
     """Move cells towards the shard where their group is largest.
 
     ``cells``: grp, home, n. Each round every cell outside its group's best shard that
     still has room asks to move there; requests are admitted by descending gain until
     the shard's quota is used. Quotas come from a table of counts by shard, gain and
-    hash slice, whose size does not depend on the data. Returns grp, home, shard.
+    hash slice, whose size does not depend on the data. A group too large for the room is
+    admitted in parts. Ends early when nothing asks to move. Returns grp, home, shard.
     """
     state = written(cells.withColumn("shard", F.col("home")), "shard-cells")
+    closed: set[int] = set()  # shards that could admit none of those who asked
     for _ in range(rounds):
         used = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = F.array(*[F.lit(max(0, room_total - used.get(s, 0))).cast("long") for s in range(shards)])
+        room = F.array(*[F.lit(0 if s in closed else max(0, room_total - used.get(s, 0))).cast("long") for s in range(shards)])
         held = state.groupBy("grp", "shard").agg(F.sum("n").alias("held"))
         open_ = F.get(room, F.col("shard")) > 0
         total = held.groupBy("grp").agg(F.max(F.struct("held", open_.alias("open"), (-F.col("shard")).alias("m"))).alias("top"), F.max(F.when(open_, F.struct("held", (-F.col("shard")).alias("m")))).alias("best"), F.count("*").alias("spread"))
@@ -55,19 +58,24 @@ def propagate(cells: DataFrame, shards: int, room_total: int, rounds: int = 4) -
             "grp", "home", "n", "shard",
             F.when(moving, F.col("to")).alias("to"),
             F.when(moving, gain).alias("gain"),
-            F.pmod(F.xxhash64("grp"), F.lit(SLICES)).cast("int").alias("slice"),
+            (F.pmod(F.xxhash64("grp"), F.lit(SLICES)) * CUTS + F.pmod(F.col("home"), F.lit(CUTS))).cast("int").alias("slice"),
         )
         asks = written(asks, "shard-asks")
+        asked = {r["to"] for r in asks.filter("to IS NOT NULL").select("to").distinct().collect()}
+        if not asked:
+            break
         wanted = asks.filter("to IS NOT NULL").groupBy("to", "gain", "slice").agg(F.sum("n").alias("w"))
         running = F.sum("w").over(Window.partitionBy("to").orderBy(F.col("gain").desc(), "slice"))
         admitted = wanted.withColumn("c", running).filter(F.col("c") <= F.get(room, F.col("to"))).select("to", "gain", "slice", F.lit(True).alias("ok"))
-        state = asks.join(F.broadcast(admitted), ["to", "gain", "slice"], "left")  # at most shards * GAINS * SLICES rows
+        admitted = written(admitted, "shard-admitted")
+        closed |= asked - {r["to"] for r in admitted.select("to").distinct().collect()}
+        state = asks.join(F.broadcast(admitted), ["to", "gain", "slice"], "left")  # at most shards * GAINS * SLICES * CUTS rows
         moved = F.coalesce(F.col("ok"), F.lit(False))
         state = written(state.select("grp", "home", "n", F.when(moved, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shard-cells")
     return state.select("grp", "home", "shard")
 
 
-def assign(docs: DataFrame, key: Column, shards: int = 40, rounds: int = 4) -> DataFrame:
+def assign(docs: DataFrame, key: Column, shards: int = 40, rounds: int = 12) -> DataFrame:
     """Give every row of ``docs`` a shard so that shard row counts differ by one at most.
 
     Rows with equal, non-null ``key`` are linked and pulled together; a group larger than
