@@ -98,7 +98,7 @@ ELSE concat(substr(canon, 1, greatest(length(canon) - 10, 0)), {_spell("right(ca
 def _spell(s: str, case: str) -> str:
     """Letters become letters of the same script (vowels stay vowels), digits digits; an
     e-mail's top domain and all other characters stay."""
-    keep = "i > length(canon) - length(substring_index(canon, '.', -1))" if case == "lower" else "false"
+    keep = "i >= length(canon) - length(substring_index(canon, '.', -1))" if case == "lower" else "false"
     pools = (("[aeiouàáâãäåèéêëìíîïòóôõöùúûü]", "aeiou"), ("[\\\\p{IsLatin}&&[^A-Z]]", "bcdfghjklmnpqrstvwxz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("[0-9]", "0123456789"), ("\\\\p{IsCyrillic}", "абвгдежзиклмнопрстуф"), ("\\\\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφ"))
     cases = " ".join(f"WHEN c RLIKE '^{p}$' THEN substr('{pool}', cast(1 + pmod(xxhash64(_h, i), {len(pool)}) AS int), 1)" for p, pool in pools)
     return f"array_join(transform(split({s}, ''), (c, i) -> CASE WHEN {keep} THEN c {cases} ELSE c END), '')"
