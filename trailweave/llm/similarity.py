@@ -46,7 +46,8 @@ def shingles(texts: list[str], memo: W.WordHashes) -> list[np.ndarray]:
     out, at = [], 0
     mixed = h.copy()
     for i in range(1, SHINGLE):  # the hash of the SHINGLE words that start here
-        mixed[: len(h) - i] = mixed[: len(h) - i] * k + h[i:] if i < len(h) else mixed[:0]
+        if i < len(h):
+            mixed[:-i] = mixed[:-i] * k + h[i:]
     for n in lens:
         if n >= SHINGLE:
             s = mixed[at : at + n - SHINGLE + 1]
