@@ -124,16 +124,18 @@ def sliced_totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig, low:
     d, blocks = cfg.field.degree, max(1, (1 << cfg.k) >> 6)
     high = blocks if high is None else high
     planes = [f"p{j}" for j in range(d)]
-    mask = slice_mask(prf.assignment(cfg.seed, cfg.k, F.col("id")), F.col("block"), cfg.k)
+    # A vertex's vector is drawn once for each edge that enters it, not for each block.
+    into = edges.withColumn("a", prf.assignment(cfg.seed, cfg.k, F.col("dst")))
+    mask = slice_mask(F.col("a"), F.col("block"), cfg.k)
     zero = F.lit(0).cast("long")
-    state = vertices.select("id", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))).alias("block"))
+    state = vertices.select("id", prf.assignment(cfg.seed, cfg.k, F.col("id")).alias("a"), F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))).alias("block"))
     state = state.select("id", "block", mask.alias("p0"), *[zero.alias(p) for p in planes[1:]]).filter("p0 <> 0")
     for level in range(2, cfg.k + 1):
         w = prf.weight(cfg.seed, d, level, F.col("src"), F.col("dst"))
         # A weight's product is a d x d bit matrix over the planes, packed into one number.
         matrices = [sum(cfg.field.multiply(x, 1 << i) << i * d for i in range(d)) for x in range(cfg.field.size)]
         m = F.get(F.array(*[F.lit(x).cast("long") for x in matrices]), w.cast("int"))
-        sent = edges.withColumn("m", m).filter("m <> 0").join(state.withColumnRenamed("id", "src"), "src")
+        sent = into.withColumn("m", m).filter("m <> 0").join(state.withColumnRenamed("id", "src"), "src")
         out = []
         for j in range(d):
             total = None
@@ -142,7 +144,7 @@ def sliced_totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig, low:
                 part = F.col(f"p{i}").bitwiseAND(-bit)
                 total = part if total is None else total.bitwiseXOR(part)
             out.append(total.alias(f"q{j}"))
-        sums = sent.select("dst", "block", *out).groupBy(F.col("dst").alias("id"), "block").agg(*[F.bit_xor(f"q{j}").alias(f"q{j}") for j in range(d)])
+        sums = sent.select("dst", "block", "a", *out).groupBy(F.col("dst").alias("id"), "block", "a").agg(*[F.bit_xor(f"q{j}").alias(f"q{j}") for j in range(d)])
         state = sums.select("id", "block", *[F.col(f"q{j}").bitwiseAND(mask).alias(f"p{j}") for j in range(d)])
         state = state.filter(" OR ".join(f"{p} <> 0" for p in planes))
         if cfg.checkpoint_every and level % cfg.checkpoint_every == 0 and level < cfg.k:
