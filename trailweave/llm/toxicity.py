@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm import similarity
 from trailweave.llm import words as W
 
 #: Labelled documents that are fitted on at most; texts longer than this are left out of the fit only.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 40_000
 WINDOW, EPOCHS, L2, SEED = 24, 50, 0.02, 17
 STEM = 5
+#: Families with a cue for it to be taken beside the cover.
+WITNESSES = 6
 SPAN = 0.5
 
 
@@ -105,9 +108,29 @@ def cues(word: str) -> tuple[str, ...]:
     return (word, word[:STEM] + "*") if len(word) > STEM else (word,)
 
 
+def families(texts: list[list[str]]) -> list[int]:
+    """The first text of each text's family: texts that share a MinHash band of word
+    shingles, directly or through others. Copies would make all their words look telling."""
+    memo, root, band = W.WordHashes(), list(range(len(texts))), {}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, s in enumerate(similarity.shingles([" ".join(t) for t in texts], memo)):
+        if len(s):
+            for k, v in enumerate(np.frombuffer(similarity.signature(s), dtype=np.uint64).tolist()):
+                x, y = find(i), find(band.setdefault((k, v), i))
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
 def lexicon(texts: list[list[str]], toxic: list[int]) -> set[str]:
-    """Cues that explain toxic labels, by greedy cover. Texts that come twice count once."""
-    once = {(" ".join(t), int(y)): t for t, y in zip(texts, toxic)}
+    """Cues that explain toxic labels: a greedy cover of the toxic documents, and all other
+    cues that are as one-sided. A family of near copies counts once for each label."""
+    once = {(f, int(y)): t for f, t, y in zip(families(texts), texts, toxic)}
     sets = [({c for w in set(t) for c in cues(w)}, y) for (_, y), t in sorted(once.items())]
     seen = Counter(c for d, y in sets if y for c in d)
     names = sorted(c for c, n in seen.items() if n > 1)
@@ -139,7 +162,8 @@ def lexicon(texts: list[list[str]], toxic: list[int]) -> set[str]:
             if k in left:
                 count[bad[k]] -= 1
                 left.discard(k)
-    return taken
+    share = total / np.maximum(1.0, total + good * len(bad) / max(1, n_good))
+    return taken | {names[i] for i in np.flatnonzero(usual & (total >= WITNESSES) & (share >= 0.95))}
 
 
 def fit(texts: list[str], toxic: list[int]) -> Chain:
