@@ -21,8 +21,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the standard policy keeps."""
-    kept = quality_rules.apply_policy(quality_rules.ledger(docs)).filter("kept")
-    return kept.select(docs.columns)
+    return quality_rules.keep(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

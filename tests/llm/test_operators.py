@@ -96,7 +96,8 @@ def test_fingerprints(spark, docs, texts, empty):
         for j in got:
             assert (got[j]["fingerprint"] == g["fingerprint"]) == (_canon(texts[j]) == _canon(t))
     assert fingerprints.edited(empty).count() == 0
-    assert fingerprints.fingerprint(docs).columns == [*docs.columns, "fingerprint"]
+    clash = docs.withColumn("h1", F.lit(0)).withColumn("doc", F.lit(0)).withColumn("canon", F.lit("x"))
+    assert {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(clash).collect()} == {i: g["fingerprint"] for i, g in got.items()}
 
 
 def test_colliding_hashes_are_told_apart(spark):
@@ -155,7 +156,7 @@ def test_blocks_and_copies(spark):
             want[j] += 1
     got = similarity.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["n_links"] for r in got) == sorted(want[i] for i in range(len(rows)))
-    kept = similarity.keep_one(spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y")], "doc_id long, text string"))
+    kept = similarity.keep_one(spark.createDataFrame([(1, "a b c d e f", 0), (1, "a b c d e f", 0), (2, "x y", 0)], "doc_id long, text string, _mark int"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
 
 
@@ -250,8 +251,10 @@ def test_quality_measurements(spark, docs, texts, empty):
         assert (g["failures"] & 1 > 0) == (len(w) < 10)
     assert quality_rules.ledger(empty).count() == 0
     assert quality_rules.apply_policy(quality_rules.ledger(docs)).filter("kept").select(docs.columns).count() > 0
-    with pytest.raises(ValueError):
-        quality_rules.ledger(docs.withColumn("n_words", F.lit(1)))
+    clash = docs.withColumn("n_words", F.lit(-1)).withColumn("failures", F.lit("x")).withColumn("doc", F.lit(0))
+    assert quality_rules.ledger(clash).filter("n_words < 0").isEmpty()
+    kept = quality_rules.keep(clash)
+    assert kept.columns == clash.columns and {r["n_words"] for r in kept.collect()} == {-1}
 
 
 def test_ablations(spark):
@@ -365,8 +368,8 @@ def test_cuts_are_optimal():
 
 def test_shards(spark, empty):
     rows = [(i, f"text {i}") for i in range(300)] + [(1000 + i, f"copy {i // 5}") for i in range(200)] + [(2000 + i, "hot") for i in range(250)] + [(3000, None), (3001, None)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.struct("doc_id", "text"))
-    got = sharding.assign(d, F.col("text"), 40).collect()
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("home", F.lit(0)).withColumn("grp", F.lit("x"))
+    got = sharding.assign(d, F.col("text"), F.struct("doc_id", "text")).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got if r["text"]) == sorted(x for x in rows if x[1])
     sizes = Counter(r["shard"] for r in got)
     assert len(sizes) == 40 and max(sizes.values()) - min(sizes.values()) <= 1
@@ -377,4 +380,4 @@ def test_shards(spark, empty):
         spread[r["text"]].add(r["shard"])
     assert sum(len(spread[f"copy {i}"]) == 1 for i in range(40)) >= 30
     assert len(spread["hot"]) < 40
-    assert sharding.assign(empty.withColumn("_row", F.struct("doc_id")), F.col("text"), 40).count() == 0
+    assert sharding.assign(empty, F.col("text"), F.col("doc_id")).count() == 0

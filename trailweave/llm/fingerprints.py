@@ -57,14 +57,14 @@ def collisions(hashed: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``fingerprint`` to every row; null texts count as empty, all columns stay."""
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    canon = docs.select(*keep, canonical(F.col(f"`{text}`")).alias("_canon"))
-    h1, h2 = wide_hash(F.col("_canon"))
-    rows = canon.select(*keep, h1.alias("_h1"), h2.alias("_h2"), F.sha2("_canon", 256).alias("_digest"))
-    odd = collisions(canon.select(h1.alias("h1"), h2.alias("h2"), F.col("_canon").alias("canon"))).toDF("_h1", "_h2", "_digest", "_ordinal")
-    out = rows.join(odd, ["_h1", "_h2", "_digest"], "left")
-    return out.select(*keep, _spelled("_h1", "_h2", "_ordinal").alias("fingerprint"))
+    """Add ``fingerprint`` to every row; null texts count as empty. All columns stay, but for
+    one of that name, which gives way."""
+    canon = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "fingerprint"]).alias("doc"), canonical(F.col(f"`{text}`")).alias("canon"))
+    h1, h2 = wide_hash(F.col("canon"))
+    hashed = canon.select("doc", h1.alias("h1"), h2.alias("h2"), "canon")
+    rows = hashed.select("doc", "h1", "h2", F.sha2("canon", 256).alias("digest"))
+    out = rows.join(collisions(hashed), ["h1", "h2", "digest"], "left")
+    return out.select("doc.*", _spelled("h1", "h2", "ordinal").alias("fingerprint"))
 
 
 def _spelled(h1: str, h2: str, ordinal: str) -> Column:

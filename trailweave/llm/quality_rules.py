@@ -51,13 +51,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     non-space characters; ``n_repeat_words`` counts the words inside five-word windows
     that occur at least twice in the text. A hash pass screens texts without any
     repeated window; the rest compare the windows' words themselves, so hash
-    collisions cannot change a count.
+    collisions cannot change a count. A document column with the name of a measurement or
+    of the ledger's other columns gives way to it.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns]
-    own = ["_t", "_w", "_l", "_g", "_p"]
-    clash = [c for c in docs.columns if c in own or c in MEASURES]
-    if clash:
-        raise ValueError(f"columns {clash} are reserved for the ledger")
+    own = {"_t", "_w", "_l", "_g", "_p", "failures", "kept", "policy", *MEASURES}
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in own]
     a = docs.select(*keep, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     a = a.select(
         *keep,
@@ -113,7 +111,6 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """Measurements plus ``failures``: bit i is set when rule i fails.
 
     Empty tables give an empty ledger; repeated rows stay, each with its own entry.
-    Clashing column names raise ValueError.
     """
     bits = F.lit(0).cast("long")
     for i, (_, condition) in enumerate(RULES):
@@ -131,6 +128,12 @@ def apply_policy(entries: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     return entries.withColumn("kept", ~fails(policy)).withColumn("policy", F.lit(policy.version))
 
 
+def keep(docs: DataFrame, policy: Policy = STANDARD, text: str = "text") -> DataFrame:
+    """The rows that the policy keeps, with exactly their own columns whatever their names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("text"))
+    return ledger(rows).filter(~fails(policy)).select("doc.*")
+
+
 def ablations(entries: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """What each rule of a policy does: rows that fail it, rows that only it rejects,
     and the policy's rejections with and without it. One pass over the ledger; the

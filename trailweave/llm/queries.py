@@ -68,10 +68,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.sha2(text, 256).alias("digest"),
-        F.struct(F.col("doc_id").cast("long"), F.sha2(text, 256)).alias("_row"),
+        F.unhex(F.sha2(text, 256)).alias("digest"),
     )
-    placed = sharding.assign(rows, F.unhex("digest"), 40)
+    placed = sharding.assign(rows, F.col("digest"), F.struct("doc_id", "digest"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

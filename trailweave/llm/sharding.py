@@ -75,19 +75,19 @@ def propagate(cells: DataFrame, shards: int, room_total: int, rounds: int = 12)
     return state.select("grp", "home", "shard")
 
 
-def assign(docs: DataFrame, key: Column, shards: int = 40, rounds: int = 12) -> DataFrame:
+def assign(docs: DataFrame, key: Column, order: Column, shards: int = 40, rounds: int = 12) -> DataFrame:
     """Give every row of ``docs`` a shard so that shard row counts differ by one at most.
 
     Rows with equal, non-null ``key`` are linked and pulled together; a group larger than
     a shard fills as few shards as it can. Rows without a partner fill the quotas up.
     Null keys link to nothing, repeated rows count each, an empty table gives no rows.
-    Adds ``shard`` (int) and ``slot`` (long, gapless from 0 within a shard). ``docs``
-    must have a column ``_row`` that orders its rows.
+    Adds ``shard`` (int) and ``slot`` (long, gapless from 0 within a shard); document columns
+    of these names give way. ``order`` orders the rows.
     """
     n = docs.count()
     floor, over = divmod(n, shards)
     quota = [floor + (s < over) for s in range(shards)]
-    rows = docs.withColumn("grp", key)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("doc"), key.alias("grp"), order.alias("_row"))
     home = F.pmod(F.xxhash64("_row", F.lit(7)), F.lit(shards)).cast("int")
     groups = rows.filter("grp IS NOT NULL").groupBy("grp", home.alias("home")).agg(F.count("*").alias("n"))
     size = groups.groupBy("grp").agg(F.sum("n").alias("all")).filter("all > 1").select("grp")
@@ -112,4 +112,4 @@ def assign(docs: DataFrame, key: Column, shards: int = 40, rounds: int = 12) ->
     bounds = F.array(*[F.lit(e).cast("long") for e in ends])
     loose = loose.withColumn("shard", F.size(F.filter(bounds, lambda e: e <= F.col("_k")))).drop("_k")
     both = placed.filter("shard IS NOT NULL").unionByName(loose.select(placed.columns))
-    return _rank(both, "shard", ["_row"], "slot").withColumn("slot", F.col("slot").cast("long"))
+    return _rank(both, "shard", ["_row"], "slot").select("doc.*", "shard", F.col("slot").cast("long").alias("slot"))

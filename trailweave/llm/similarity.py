@@ -312,7 +312,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if again.isEmpty():
         return left.select(docs.columns)
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    twice = left.join(again, "doc_id", "left_semi").withColumn("_mark", mark)
-    least = twice.groupBy("doc_id").agg(F.min("_mark").alias("_mark"))
-    once = twice.join(least, ["doc_id", "_mark"]).dropDuplicates(["doc_id"])
+    name = "_mark"
+    while name in docs.columns:
+        name += "_"
+    twice = left.join(again, "doc_id", "left_semi").withColumn(name, mark)
+    least = twice.groupBy("doc_id").agg(F.min(name).alias(name))
+    once = twice.join(least, ["doc_id", name]).dropDuplicates(["doc_id"])
     return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
