@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import packing, quality_rules, secret_scan, similarity, toxicity
-from trailweave.llm.common import crc_of_id, shared_dir, table
+from trailweave.llm.common import crc_of_id, importable, shared_dir, table
 from trailweave.llm.queries import TOKENIZERS
 
 #: No SQL states the trained stages; tests hold the stages against brute force.
@@ -34,16 +34,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one of the least id."""
+    importable(spark)
     return similarity.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts."""
+    importable(spark)
     return secret_scan.redact(docs, secret_scan.fit(*secret_scan.labelled_findings()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids."""
+    importable(spark)
     return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=True)
 
 

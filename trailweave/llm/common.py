@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started.
+    On a cluster the package is shipped with the job (``--py-files``)."""
+    root = str(Path(__file__).resolve().parent.parent.parent)
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """A table of the data folder, pruned to ``cols`` (a missing column reads as null)."""
+    importable(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if not cols:
         return df
