@@ -47,7 +47,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids."""
     importable(spark)
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=True)
+    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=True, memo=400_000)
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxic), ("near duplicates", near_duplicates), ("secret scan", secrets), ("packing", pack)]

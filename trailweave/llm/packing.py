@@ -49,7 +49,7 @@ class Tokenizer:
 
         self.file = File.from_file(path)
         self.file.encode_special_tokens = True
-        self.split, self.memo, self.last = Splitter(), {}, set()
+        self.split, self.memo, self.last, self.limit = Splitter(), {}, set(), MEMO
         ends = [t for t, _ in sorted(self.file.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array([t[-1] in ".!?Ċ" for t in ends], dtype=bool)  # Ċ: a line feed
 
@@ -57,7 +57,7 @@ class Tokenizer:
         split = [self.split(t) for t in texts]
         used = set().union(*split)
         new = list(used.difference(self.memo))
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) + len(new) > self.limit:
             self.memo = {w: self.memo[w] for w in used | self.last if w in self.memo}
         self.last = used
         for k in range(0, len(new), 20_000):
@@ -129,18 +129,20 @@ def cuts(at: np.ndarray, cost: np.ndarray, width: int, final: bool) -> list[int]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, keep_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """Pack all documents, each exactly once: one row per piece.
 
     No shuffle: each input partition is one stream in its own order, with its own
     sequences (``sequence_id``: partition number times 2**32 plus a running number).
     Null and empty texts are the end id alone; documents longer than a window are cut
     into several pieces; repeated rows are packed each; an empty table gives no rows.
-    ``keep_ids`` adds the pieces' ids (array of int).
+    ``keep_ids`` adds the pieces' ids (array of int). ``memo`` bounds the pre-tokens that a
+    worker remembers; more of them cost memory and spare CPU time.
     """
 
     def run(batches):
         tok = tokenizer(path)
+        tok.limit = memo
         end = np.array([end_id], dtype="<u4").tobytes()
         base, done = TaskContext.get().partitionId() << 32, 0
         held: list[tuple[int, bytes, int, int]] = []  # doc_id, ids left, ids before them, ids in all

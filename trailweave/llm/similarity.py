@@ -111,8 +111,8 @@ def survivors(sig: np.ndarray, side: np.ndarray, band: int, threshold: float, to
     return i[own], j[own]
 
 
-def _groups(batches: Iterator, key: str) -> Iterator[pa.Table]:
-    """Consecutive rows with the same key, as tables; input is sorted by key."""
+def _groups(batches: Iterator, key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows with the same key, and where each group starts; input is sorted by key."""
     rest = None
     for b in batches:
         t = pa.Table.from_batches([b])

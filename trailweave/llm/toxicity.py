@@ -54,7 +54,7 @@ class Emissions(dict):
         self.chain = chain
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         e = self[word] = float(np.exp(np.clip(sum(self.chain.word.get(c, 0.0) for c in cues(word)) + self.chain.shape[shape(word)], -30, 30)))
         return e
@@ -170,7 +170,8 @@ def fit(texts: list[str], toxic: list[int]) -> Chain:
     """Train the chain and the calibration; no toxic labels give a chain that scores near 0."""
     if not any(toxic):
         return Chain()
-    docs = [W.words(t) for t in texts]
+    pool: dict[str, str] = {}  # one object for each word, however often it comes
+    docs = [[pool.setdefault(w, w) for w in W.words(t)] for t in texts]
     bad = lexicon(docs, toxic)
     rng = np.random.default_rng(SEED)
     seqs: list[tuple[list[str], list[int]]] = []

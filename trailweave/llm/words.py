@@ -28,7 +28,7 @@ def words(text: str) -> list[str]:
 class WordHashes(dict):
     """word -> 64-bit hash; forgotten and started again when it has grown too large."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
