@@ -293,6 +293,13 @@ def test_surrogates(spark, empty):
     assert pii.anonymise(d, "other key").filter("doc_id = 1").first()["text"] != ta
 
 
+def test_every_entity_passes_the_hint(spark):
+    rows = [(1, "the resolver at 8.8.8.8 answers"), (2, "1.1.1.1"), (3, "in 2020 it was 8.8.8.8"), (4, "version 1.2.3 of 5")]
+    got = {r["doc_id"]: r for r in pii.anonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["n_entities"] for i in (1, 2, 3, 4)] == [1, 1, 1, 0] and got[4]["text"] == rows[3][1]
+    assert "8.8.8.8" not in got[1]["text"] and got[1]["text"].split()[3] == got[3]["text"].split()[-1] != got[2]["text"]
+
+
 # 8 ------------------------------------------------------------------------------------
 
 

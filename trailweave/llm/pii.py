@@ -44,7 +44,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity; the costly pattern is not tried on it.
-HINT = rf"@|\d\d|(?:{_TITLE})\.? \p{{Lu}}"
+HINT = rf"@|\d\d|\d\.\d\.\d\.\d|(?:{_TITLE})\.? \p{{Lu}}"
 
 
 def _quoted(text: str) -> str:
