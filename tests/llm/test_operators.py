@@ -300,6 +300,18 @@ def test_every_entity_passes_the_hint(spark):
     assert "8.8.8.8" not in got[1]["text"] and got[1]["text"].split()[3] == got[3]["text"].split()[-1] != got[2]["text"]
 
 
+def test_names_outgrow_the_pools(spark):
+    value, digest = pii.surrogate("key")
+    tries = spark.range(60).select(F.lit("person").alias("type"), F.lit("m|νίκου").alias("canon"), F.col("id").cast("int").alias("attempt"))
+    words = {r["attempt"]: r["s"].count("-") + 1 for r in tries.withColumn("_h", digest).withColumn("s", value).collect()}
+    assert words == {i: 1 + i // 3 for i in range(60)}
+    greek = "αβγδεζηθικλμνξοπρστυ"
+    rows = [(i, f"κύριος Ω{greek[i % 20]}{greek[i // 20]}") for i in range(400)]  # the pools hold 6 + 36 + 216
+    got = [r["text"] for r in pii.anonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(set(got)) == 400 and not set(got) & {t for _, t in rows}
+    assert all(re.fullmatch(r"κύριος \w+(-\w+)*", t) for t in got)
+
+
 # 8 ------------------------------------------------------------------------------------
 
 

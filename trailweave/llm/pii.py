@@ -121,8 +121,8 @@ def _checked() -> str:
 
 
 def _person() -> str:
-    """gender|name in the script and with the number of words of the original; from the third
-    attempt on surnames double, from the sixth they triple."""
+    """gender|name in the script and with the number of words of the original; every third
+    attempt adds a surname, without end, so no number of names exhausts the pools."""
 
     def pick(pool: tuple[str, ...], salt: str) -> str:
         return "element_at(array(" + ", ".join(_quoted(n.lower()) for n in pool) + f"), cast(1 + pmod(xxhash64(_h, {salt}), {len(pool)}) AS int))"
@@ -130,7 +130,7 @@ def _person() -> str:
     def full(script: str) -> str:
         s = NAMES[script, "s"]
         given = f"CASE WHEN substr(canon, 1, 1) = 'f' THEN {pick(NAMES[script, 'f'], '1')} WHEN substr(canon, 1, 1) = 'm' THEN {pick(NAMES[script, 'm'], '1')} ELSE {pick(NAMES[script, 'f'] + NAMES[script, 'm'], '1')} END"
-        sur = f"concat_ws('-', {pick(s, '2')}, CASE WHEN attempt >= 3 THEN {pick(s, '3')} END, CASE WHEN attempt >= 6 THEN {pick(s, '4')} END)"
+        sur = f"array_join(transform(sequence(2, 2 + cast(attempt div 3 AS int)), i -> {pick(s, 'i')}), '-')"
         return f"concat(substr(canon, 1, 2), CASE WHEN instr(canon, ' ') > 0 THEN concat({given}, ' ', {sur}) ELSE {sur} END)"
 
     return f"CASE WHEN canon RLIKE '\\\\p{{IsCyrillic}}' THEN {full('cyrillic')} WHEN canon RLIKE '\\\\p{{IsGreek}}' THEN {full('greek')} ELSE {full('latin')} END"
@@ -140,7 +140,9 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """A distinct surrogate for each distinct (type, canon): type, canon, s.
 
     An attempt that gives two entities one surrogate leaves it with the least of them; the
-    others, and entities whose surrogate is a real entity, try again.
+    others, and entities whose surrogate is a real entity, try again. Names grow with the
+    attempts. The other types keep their length: a corpus that holds more than half of all
+    values of a type and length leaves too few surrogates, and the attempts do not end.
     """
     value, digest = surrogate(key)
 
@@ -167,7 +169,7 @@ def render(type_: Column, e: Column, s: Column) -> Column:
         "array_join(transform(split(e, ''), (c, i) -> CASE WHEN c RLIKE '[A-Za-z0-9]' "
         "THEN substr(s, length(regexp_replace(substr(e, 1, i), '[^A-Za-z0-9]', '')) + 1, 1) ELSE c END), '')"
     )
-    name = F.initcap(F.regexp_replace(F.substring(s, 3, 1000), "-", " - "))
+    name = F.initcap(F.regexp_replace(F.substring(s, 3, 2**31 - 1), "-", " - "))
     name = F.regexp_replace(name, " - ", "-")
     title = F.regexp_extract(e, rf"^((?:{_TITLE})\.? )", 1)
     return (
