@@ -400,3 +400,37 @@ def test_shards(spark, empty):
     assert sum(len(spread[f"copy {i}"]) == 1 for i in range(40)) >= 30
     assert len(spread["hot"]) < 40
     assert sharding.assign(empty, F.col("text"), F.col("doc_id")).count() == 0
+
+
+@pytest.mark.parametrize("copies,alone", [(5, 0), (3, 600)])
+def test_few_groups_are_cut_in_full_shards(spark, copies, alone):
+    n = 3000 - alone
+    rows = [(i, f"copy {i // copies}") for i in range(n)] + [(n + i, f"text {i}") for i in range(alone)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.assign(d, F.col("text"), F.col("doc_id")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == rows
+    assert set(Counter(r["shard"] for r in got).values()) == {75}
+    spread = defaultdict(set)
+    for r in got:
+        spread[r["text"]].add(r["shard"])
+    assert all(len(x) == 1 for x in spread.values())  # 75 is a multiple of both sizes
+
+
+def test_layout_of_sizes():
+    r = np.random.default_rng(8)
+    for _ in range(100):
+        sizes = {int(s): int(r.integers(1, 9)) for s in r.integers(2, 60, size=6)}
+        room = r.multinomial(sum(s * c for s, c in sizes.items()) + int(r.integers(0, 20)), np.ones(8) / 8).tolist()
+        whole, cut = sharding.pack(sizes, room)
+        rows = {(s, k): list(range(s)) for s, a, b, _ in whole for k in range(a, b + 1)}
+        used = Counter()
+        for s, a, b, shard in whole:
+            used[shard] += s * (b - a + 1)
+        parts = defaultdict(list)
+        for s, k, a, b, shard in cut:
+            parts[s, k] += range(a, b + 1)
+            used[shard] += b - a + 1
+        assert not set(rows) & set(parts) and len(parts) <= 8
+        assert sum(b - a + 1 for _, a, b, _ in whole) == len(rows)
+        assert {**rows, **parts} == {(s, k): list(range(s)) for s, c in sizes.items() for k in range(c)}
+        assert all(used[i] <= room[i] for i in range(8))
