@@ -111,7 +111,8 @@ def edited(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/3) code points replaced by the first as many
     (or all) of the next document. ``near_edited`` and ``near_next`` are 1.0 for equal
-    fingerprints, else 0.0: an exact digest knows no degrees. Null texts are empty, an
+    fingerprints, else 0.0: an exact digest knows no degrees. Edited texts are not compared
+    with others in their hash bucket, only originals are. Null texts are empty, an
     empty table gives no rows, repeated rows stay. Columns other than doc_id and text
     are not read.
     """
