@@ -342,6 +342,16 @@ def test_scan_and_redact(spark, docs, empty, forest):
 # 9 ------------------------------------------------------------------------------------
 
 
+def test_numbered_pre_tokens_are_the_pattern():
+    r, split = np.random.default_rng(9), pretoken.Splitter()
+    for letters in ("ab'strevlmd  \n1.é²", "abst'redmlv  \n\t1.!é²ª_ßЖ中😀\x1c\x85½ſ ٣"):
+        for _ in range(80):
+            texts = ["".join(r.choice(list(letters), int(r.integers(0, 60)))) for _ in range(int(r.integers(0, 9)))]
+            words, index, counts = split.numbered(texts)
+            got = iter(words[i] for i in index)
+            assert [[next(got) for _ in range(n)] for n in counts] == [split(t) for t in texts] and next(got, None) is None
+
+
 def test_packing_keeps_every_id_once(docs, texts, empty):
     from tokenizers import Tokenizer
 

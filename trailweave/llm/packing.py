@@ -15,7 +15,6 @@ minimum in constant time for each cut.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from collections import deque
 
@@ -32,6 +31,8 @@ WIDTH, END_ID = 2048, 1
 SENTENCE, HARD, GRID, GAP = 4, 64, 32, 256
 #: Ids over which the programme looks at once; what follows the last cut is carried on.
 STREAM = 1_000_000
+#: Characters worked on together.
+CHUNK = 3_000_000
 #: Pre-tokens remembered by a worker, about 200 bytes each.
 MEMO = 1_000_000
 
@@ -39,8 +40,8 @@ MEMO = 1_000_000
 class Tokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by a tokenizers file.
 
-    Pre-tokens are encoded once and remembered. The strings of special tokens are
-    ordinary text.
+    Different pre-tokens are encoded once and remembered; a text's ids are gathered from
+    theirs. As the vocabulary's notes tell, the strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -49,24 +50,44 @@ class Tokenizer:
 
         self.file = File.from_file(path)
         self.file.encode_special_tokens = True
-        self.split, self.memo, self.last, self.limit = Splitter(), {}, set(), MEMO
+        self.split, self.memo, self.last, self.limit = Splitter(), {}, [], MEMO
         ends = [t for t, _ in sorted(self.file.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array([t[-1] in ".!?Ċ" for t in ends], dtype=bool)  # Ċ: a line feed
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        used = set().union(*split)
-        new = list(used.difference(self.memo))
+        words, index, counts = self.split.numbered(texts)
+        if not len(index):
+            return [b""] * len(texts)
+        new = [w for w in words if w not in self.memo]
         if len(self.memo) + len(new) > self.limit:
-            self.memo = {w: self.memo[w] for w in used | self.last if w in self.memo}
-        self.last = used
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+            self.memo = {w: self.memo[w] for w in {*self.last, *words} if w in self.memo}
+        self.last = words
+        self._learn(new)
+        known = [self.memo[w] for w in words]
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        pool, begin = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(size) - size
+        n = size[index]
+        ends = np.cumsum(n)
+        flat = pool[np.repeat(begin[index] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        last = np.append(0, ends)[np.cumsum(counts)] * 4
+        return [flat[a:b] for a, b in zip(np.append(0, last).tolist(), last.tolist())]
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode words. Those that are a blank and letters go as one text, which the
+        tokenizer cuts where they were joined."""
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        for k in range(0, len(plain), 4000):
+            part = plain[k : k + 4000]
+            e = self.file.encode("".join(part), add_special_tokens=False)
+            ids, at = np.array(e.ids, dtype="<u4").tobytes(), np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
+            at = [0, *(at * 4).tolist(), len(ids)]
+            if len(at) == len(part) + 1:  # else it knows other letters; each goes alone
+                self.memo.update((w, ids[a:b]) for w, a, b in zip(part, at, at[1:]))
+        rest = [w for w in new if w not in self.memo]
+        for k in range(0, len(rest), 20_000):
+            part = rest[k : k + 20_000]
             for w, e in zip(part, self.file.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                self.memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -179,7 +200,7 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, k
                     out["ids"] = pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in cols[7]], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(out)
 
-        for ids, texts in W.chunks(batches, "doc_id", "text"):
+        for ids, texts in W.chunks(batches, "doc_id", "text", size=CHUNK):
             for d, b in zip(ids, tok.ids(texts)):
                 b += end
                 held.append((d, b, 0, len(b) // 4))
