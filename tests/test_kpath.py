@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trailweave import __main__ as command
 from trailweave.operators import kpath
 from trailweave.sources import graphs
 
-#: label, weight, neighbours of a small symmetric graph on seven vertices.
+#: The small public sample graph (label, weight, neighbours), with the blanks
+#: and the line order that the parser must bear.
 SMALL = ["0 4.0 1 2 3 6", "1 3.0 0 2 3", "3 2.0 0 1 4", "2 1.0 0 1 4 5", "4 1.0 2 3 5 6", "5 4.0 2 4 6", "6 3.0  0 4 5 "]
 
 
@@ -41,6 +43,32 @@ def test_batches_of_blocks_agree(small):
     assert sorted(kpath.totals(v, e, one).collect()) == sorted(kpath.totals(v, e, many).collect())
 
 
+def test_slices_of_masks_join_to_the_whole(small):
+    v, e = small
+    for k, slices in ((3, 3), (7, 5)):
+        cfg = kpath.KPathConfig(k, seed=4, block_batch=1)
+        prepared, parts = kpath.prepared(e, cfg), []
+        for _, low, high in kpath.iteration_slices(k, slices):
+            parts.append(kpath.totals(v, prepared, cfg, low, high))
+            assert sorted(parts[-1].collect()) == sorted(kpath.plain_totals(v, e, cfg, low, high).collect())
+        assert sorted(kpath.merged(parts).collect()) == sorted(kpath.totals(v, prepared, cfg).collect())
+
+
+def test_command(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("\n".join(SMALL))
+    base = [str(tmp_path / "g.txt"), "--k", "3", "--max-loops", "2", "--out"]
+    line = command.run(spark, command.options([*base, str(tmp_path / "one"), "--parts", "2"]))
+    assert line == "Graph contains a 3-path." == spark.read.text(str(tmp_path / "one/verdict")).first()[0]
+    assert len(spark.read.text(str(tmp_path / "one/messages")).collect()) == 2
+    for i in range(3):
+        assert command.run(spark, command.options([*base, str(tmp_path / f"s{i}"), "--instance", str(i), "--instances", "3"])) is None
+    merge = ["--merge", *[str(tmp_path / f"s{i}") for i in range(3)]]
+    assert command.run(spark, command.options([*base, str(tmp_path / "all"), *merge])) == line
+    (tmp_path / "bad.txt").write_text("0 1 5\n")
+    with pytest.raises(ValueError):
+        command.run(spark, command.options([str(tmp_path / "bad.txt"), *base[1:], str(tmp_path / "bad")]))
+
+
 def test_detects_and_never_errs(small):
     v, e = small
     assert kpath.detect(v, e, kpath.KPathConfig(3, epsilon=0.01))

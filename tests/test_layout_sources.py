@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from trailweave.operators import layout
-from trailweave.sources import graphs
+from trailweave.sources import graphs, shared
 
 
 def test_ntile_without_a_single_task(spark):
@@ -40,3 +40,27 @@ def test_message_matrix_sink(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["0 1", "1 1"]
     assert {(r["src_part"], r["list_size"], r["buffer_size"]) for r in layout.routing_size(owned).collect()} == {(0, 5, 7), (1, 6, 7)}
     assert layout.joined_text(spark.createDataFrame([(1, "b"), (0, "a")], "r int, t string"), "r", "t").first()[0] == "ab"
+
+
+def test_ranks_within_keys(spark):
+    rows = [(k, k * 7 + i * 3) for k in range(5) for i in range(k * 40 + 1)]
+    got = layout.ranked_within(spark.createDataFrame(rows, "k int, v long"), ["k"], "v", "p").collect()
+    assert sorted((r["k"], r["p"], r["v"]) for r in got) == [(k, i, k * 7 + i * 3) for k in range(5) for i in range(k * 40 + 1)]
+
+
+def test_hub_join(spark):
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(3000)] + [(9999, -1), (None, -2)], "key long, i long")
+    table = spark.range(3000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("x"))
+    assert [r["key"] for r in layout.hubs(rows, "key").collect()] == [0]
+    for how, extra in (("inner", []), ("left", [(9999, -1, None), (None, -2, None)])):
+        got = sorted(map(tuple, layout.hub_join(rows, "key", table, how=how).collect()), key=str)
+        assert got == sorted([(0 if i % 3 else i, i, 0 if i % 3 else 2 * i) for i in range(3000)] + extra, key=str)
+
+
+def test_gathered_and_shared(spark):
+    rows = spark.createDataFrame([(2, "c"), (0, "a")], "rank int, v string")
+    assert graphs.gathered(rows, "rank", "v", 3).first()["v"] == ["a", None, "c"]
+    back = shared.written(rows, "test")
+    assert sorted(back.collect()) == sorted(rows.collect()) and shared.shared_dir(spark)
+    d = graphs.adjacency_of(spark.createDataFrame([(0, i) for i in range(40)], "src long, dst long"))
+    assert d.first()["nbrs"] == list(range(40))

@@ -11,6 +11,8 @@ import random
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trailweave.functions import prf
+
 X, ONE = 2, 1
 
 
@@ -146,3 +148,42 @@ def col_mod(a: Column, m: int, bits: int) -> Column:
     for i in range(bits):
         out = out.bitwiseXOR(F.when(F.getbit(a, F.lit(i)) == 1, F.lit(mod(1 << i, m)).cast("long")).otherwise(F.lit(0).cast("long")))
     return out
+
+
+def col_has_degree(p: Column, d: int) -> Column:
+    return F.getbit(p, F.lit(d)) == 1
+
+
+def col_degrees(p: Column, bits: int) -> Column:
+    """Degrees of the set coefficients, descending; ``bits`` bounds the bits of p."""
+    return F.filter(F.array(*[F.lit(d) for d in range(bits - 1, -1, -1)]), lambda d: F.getbit(p, d) == 1)
+
+
+def col_shift_left(p: Column, n: int) -> Column:
+    return F.shiftleft(p, n)
+
+
+def col_bit_count(v: Column) -> Column:
+    """Set bits of a number that is not negative, clear bits of one that is."""
+    return F.when(v < 0, F.bit_count(F.bitwise_not(v))).otherwise(F.bit_count(v))
+
+
+def col_compare(a: Column, b: Column) -> Column:
+    return F.sign(a - b).cast("int")
+
+
+def col_byte_bit(raw: Column, i: int) -> Column:
+    """Bit i of a byte string; bit 0 is the lowest of its last byte."""
+    byte = F.conv(F.hex(F.substring(raw, -(i // 8) - 1, 1)), 16, 10).cast("int")
+    return F.getbit(byte, F.lit(i % 8)) == 1
+
+
+def col_from_bytes(raw: Column, d: int) -> Column:
+    """As ``from_bytes``, for d up to 62."""
+    low = F.conv(F.hex(F.substring(raw, -8, 8)), 16, -10).cast("long")
+    return low.bitwiseAND((1 << d) - 1).bitwiseOR(1 << d)
+
+
+def col_random(seed: int, key: Column, d: int) -> Column:
+    """A monic polynomial of degree d (30 at most), drawn by hash for each key."""
+    return prf.draw("p", seed, key).bitwiseAND((1 << d) - 1).bitwiseOR(1 << d)

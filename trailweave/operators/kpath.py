@@ -14,13 +14,16 @@ moves a 64th of the rows through each shuffle.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.functions import prf
 from trailweave.functions.field import Field, field, field_degree
+from trailweave.operators import layout
+from trailweave.sources import graphs
+from trailweave.sources.shared import written
 
 SUCCESS = 0.2
 
@@ -94,9 +97,10 @@ def next_level(state: DataFrame, edges: DataFrame, cfg: KPathConfig, level: int)
     return out.filter("val <> 0")
 
 
-def plain_totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig) -> DataFrame:
-    """(id, total) of the vertices with a non-zero total, in the plain form."""
-    state = level1(vertices, cfg)
+def plain_totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig, low: int = 0, high: int | None = None) -> DataFrame:
+    """(id, total) of the vertices with a non-zero total over the masks from ``low`` to
+    below ``high``, in the plain form."""
+    state = level1(vertices, cfg, low, high)
     for level in range(2, cfg.k + 1):
         state = next_level(state, edges, cfg, level)
     return state.groupBy("id").agg(F.bit_xor("val").alias("total")).filter("total <> 0")
@@ -118,24 +122,46 @@ def slice_mask(a: Column, block: Column, k: int) -> Column:
     return F.when(odd, F.bitwise_not(own)).otherwise(own)
 
 
+def _within(block: Column, low: int, high: int) -> Column:
+    """The bits of a block's masks that lie from ``low`` to below ``high``."""
+    ones = (1 << 64) - 1
+    first = F.when(block == low >> 6, F.lit(_signed(ones << (low & 63) & ones))).otherwise(F.lit(-1).cast("long"))
+    return F.when(block == high >> 6, first.bitwiseAND(F.lit((1 << (high & 63)) - 1 if high & 63 < 63 else (1 << 63) - 1).cast("long"))).otherwise(first)
+
+
+def prepared(edges: DataFrame, cfg: KPathConfig) -> DataFrame:
+    """Edges as the sliced kernel reads them at every level, written once: src, dst, salt, slices.
+
+    The out-edges of a hub are dealt to ``slices`` salts; the hub's state is sent to each, so
+    no task gets all edges of a vertex. Hubs are few by definition.
+    """
+    few = layout.hubs(edges, "src").select("src", F.ceil(F.col("degree") * layout.HUBS / edges.count()).cast("int").alias("slices"))
+    n = F.coalesce("slices", F.lit(1))
+    out = edges.join(F.broadcast(few), "src", "left")
+    return written(out.select("src", "dst", F.pmod(F.xxhash64("dst"), n).cast("int").alias("salt"), n.alias("slices")), "kpath-edges")
+
+
 def sliced_totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig, low: int = 0, high: int | None = None) -> DataFrame:
-    """(id, total) of the vertices with a non-zero total, in the sliced form. ``low`` and
-    ``high`` bound the blocks of 64 masks."""
-    d, blocks = cfg.field.degree, max(1, (1 << cfg.k) >> 6)
-    high = blocks if high is None else high
+    """(id, total) of the vertices with a non-zero total over the masks from ``low`` to below
+    ``high``, in the sliced form. ``edges`` come from ``prepared``."""
+    d = cfg.field.degree
+    high = 1 << cfg.k if high is None else high
     planes = [f"p{j}" for j in range(d)]
     # A vertex's vector is drawn once for each edge that enters it, not for each block.
     into = edges.withColumn("a", prf.assignment(cfg.seed, cfg.k, F.col("dst")))
     mask = slice_mask(F.col("a"), F.col("block"), cfg.k)
     zero = F.lit(0).cast("long")
-    state = vertices.select("id", prf.assignment(cfg.seed, cfg.k, F.col("id")).alias("a"), F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))).alias("block"))
-    state = state.select("id", "block", mask.alias("p0"), *[zero.alias(p) for p in planes[1:]]).filter("p0 <> 0")
+    spread = edges.filter("slices > 1").select(F.col("src").alias("id"), "slices").distinct()  # hubs
+    state = vertices.select("id", prf.assignment(cfg.seed, cfg.k, F.col("id")).alias("a"), F.explode(F.sequence(F.lit(low >> 6).cast("long"), F.lit((high - 1) >> 6).cast("long"))).alias("block"))
+    state = state.select("id", "block", mask.bitwiseAND(_within(F.col("block"), low, high)).alias("p0"), *[zero.alias(p) for p in planes[1:]]).filter("p0 <> 0")
     for level in range(2, cfg.k + 1):
         w = prf.weight(cfg.seed, d, level, F.col("src"), F.col("dst"))
         # A weight's product is a d x d bit matrix over the planes, packed into one number.
         matrices = [sum(cfg.field.multiply(x, 1 << i) << i * d for i in range(d)) for x in range(cfg.field.size)]
         m = F.get(F.array(*[F.lit(x).cast("long") for x in matrices]), w.cast("int"))
-        sent = into.withColumn("m", m).filter("m <> 0").join(state.withColumnRenamed("id", "src"), "src")
+        dealt = state.join(F.broadcast(spread), "id", "left")
+        dealt = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices").withColumnRenamed("id", "src")
+        sent = into.drop("slices").withColumn("m", m).filter("m <> 0").join(dealt, ["src", "salt"])
         out = []
         for j in range(d):
             total = None
@@ -148,7 +174,7 @@ def sliced_totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig, low:
         state = sums.select("id", "block", *[F.col(f"q{j}").bitwiseAND(mask).alias(f"p{j}") for j in range(d)])
         state = state.filter(" OR ".join(f"{p} <> 0" for p in planes))
         if cfg.checkpoint_every and level % cfg.checkpoint_every == 0 and level < cfg.k:
-            state = state.checkpoint()
+            state = written(state, "kpath-level")
     folded = state.groupBy("id").agg(*[F.bit_xor(p).alias(p) for p in planes])
     total = zero
     for j, p in enumerate(planes):
@@ -156,13 +182,20 @@ def sliced_totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig, low:
     return folded.select("id", total.alias("total")).filter("total <> 0")
 
 
-def totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig) -> DataFrame:
-    """Sliced totals over all masks, in batches of blocks whose totals XOR together."""
-    blocks = max(1, (1 << cfg.k) >> 6)
-    parts = [sliced_totals(vertices, edges, cfg, i, min(blocks, i + cfg.block_batch)) for i in range(0, blocks, cfg.block_batch)]
-    if len(parts) == 1:
-        return parts[0]
+def totals(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig, low: int = 0, high: int | None = None) -> DataFrame:
+    """Sliced totals over the masks from ``low`` to below ``high`` (None: all), in batches of
+    blocks whose totals XOR together. Slices of one seed XOR to the whole (``merged``)."""
+    high = 1 << cfg.k if high is None else high
+    edges = edges if "slices" in edges.columns else prepared(edges, cfg)
+    cuts = [low, *range((low // 64 + cfg.block_batch) * 64, high, cfg.block_batch * 64), high]
+    return merged([sliced_totals(vertices, edges, cfg, a, b) for a, b in zip(cuts, cuts[1:]) if a < b] or [vertices.select("id", F.lit(0).cast("long").alias("total")).limit(0)])
+
+
+def merged(parts: list[DataFrame]) -> DataFrame:
+    """Totals of slices of the masks as one: (id, total) where they do not cancel."""
     out = parts[0]
+    if len(parts) == 1:
+        return out
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.groupBy("id").agg(F.bit_xor("total").alias("total")).filter("total <> 0")
@@ -174,17 +207,21 @@ def verdict(totals_: DataFrame, k: int) -> DataFrame:
 
 
 def detect(vertices: DataFrame, edges: DataFrame, cfg: KPathConfig) -> bool:
-    """Loop with fresh seeds until a path is proven or the miss probability is below epsilon."""
+    """Loop with fresh seeds until a path is proven or the miss probability is below epsilon.
+    A graph that fails ``graphs.check`` is a ValueError."""
+    graphs.check(vertices, edges)
     n = vertices.count()
     if cfg.k > n:
         return False
     if cfg.k == 1:
         return n > 0
-    for loop in range(cfg.loops):
-        c = KPathConfig(cfg.k, cfg.epsilon, cfg.seed + loop, cfg.poly, cfg.max_loops, cfg.block_batch, cfg.checkpoint_every)
-        if verdict(totals(vertices, edges, c), c.k).first()["found"]:
-            return True
-    return False
+    edges = prepared(edges, cfg)
+    return any(verdict(totals(vertices, edges, c), c.k).first()["found"] for c in seeds(cfg))
+
+
+def seeds(cfg: KPathConfig) -> list[KPathConfig]:
+    """The configuration of each loop."""
+    return [replace(cfg, seed=cfg.seed + loop) for loop in range(cfg.loops)]
 
 
 def report(found: bool, k: int) -> str:

@@ -9,24 +9,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+from trailweave.sources.shared import written
+
+#: Ranges into which rows are cut: one for each ROWS rows, within these bounds.
+LEAST, MOST, ROWS = 256, 4096, 1_000_000
+
+
+def range_of(value: Column, cuts: list[int]) -> Column:
+    """Number of cuts (ascending) below ``value``, found through a coarse and a fine array."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    coarse = F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])
+    whole = F.array(*[F.lit(c) for c in cuts])
+    skipped = F.size(F.filter(coarse, lambda c: c < value)) * step
+    return skipped + F.size(F.filter(F.slice(whole, skipped + 1, step), lambda c: c < value))
+
+
+def _cuts(df: DataFrame, order: str) -> list[int]:
+    """Quantiles of a column; null counts as less than all."""
+    n = min(MOST, max(LEAST, df.count() // ROWS))
+    found = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"]
+    return sorted(set(found or []))
 
 
 def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
     """0-based position by a numeric column (unique values).
 
-    Quantiles cut the column into ranges (at most RANGES, kept on the driver); rows are
-    numbered within their range and shifted by the rows before it.
+    Quantiles cut the column into ranges; rows are numbered within their range and shifted
+    by the rows of the ranges before, whose counts (MOST at most) the driver adds up.
     """
-    found = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("q")).first()["q"] or []
-    cuts = sorted(set(found))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("_r", part)
-    sizes = rows.groupBy("_r").agg(F.count("*").alias("_n"))
-    # One row for each range: a window over them all is small whatever the data.
-    before = sizes.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    rows = df.withColumn("_r", range_of(F.col(order), _cuts(df, order)))
+    sizes = {r["_r"]: r["n"] for r in rows.groupBy("_r").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for r in range(max(sizes, default=0) + 1):
+        before.append(F.lit(total).cast("long"))
+        total += sizes.get(r, 0)
     own = F.row_number().over(Window.partitionBy("_r").orderBy(order)) - 1
-    return rows.withColumn("_k", own).join(F.broadcast(before), "_r").withColumn(name, (F.col("_k") + F.col("_b")).cast("long")).drop("_r", "_k", "_b")
+    return rows.withColumn("_k", own).withColumn(name, F.col("_k") + F.get(F.array(*before), F.col("_r"))).drop("_r", "_k")
+
+
+def ranked_within(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """0-based position by a numeric column within each value of ``keys`` (unique together).
+
+    As ``ranked``: no task sorts all rows of a key, only one range of them.
+    """
+    rows = written(df.withColumn("_r", range_of(F.col(order), _cuts(df, order))), "ranked")
+    sizes = rows.groupBy(*keys, "_r").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = sizes.select(*keys, "_r", F.coalesce(before, F.lit(0)).alias("_b"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_r").orderBy(order)) - 1
+    return rows.withColumn("_k", own).join(shifts, [*keys, "_r"]).withColumn(name, F.col("_k") + F.col("_b")).drop("_r", "_k", "_b")
+
+
+#: A hub has more than this share of all edges, so there are at most HUBS of them.
+HUBS = 1000
+
+
+def hubs(edges: DataFrame, end: str) -> DataFrame:
+    """(``end``, degree) of the vertices at which more than 1 / HUBS of all edges end; HUBS rows
+    at most, so it may be broadcast whatever the graph."""
+    total = edges.count()
+    return edges.groupBy(end).agg(F.count("*").alias("degree")).filter(F.col("degree") * HUBS > total)
 
 
 def block_of(position: Column, total: Column, parts: int) -> Column:
@@ -63,11 +107,24 @@ def partition_displacements(parts: DataFrame) -> DataFrame:
     return partition_counts(parts).withColumn("displacement", F.coalesce(before, F.lit(0)))
 
 
+def hub_join(rows: DataFrame, key: str, table: DataFrame, few: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (a row for each ``key``). The table's rows for hubs go to
+    every task, so no task gets all rows of a key; other keys are joined by a shuffle.
+    ``few`` are the hubs, if known. ``how``: inner or left."""
+    few = (hubs(rows, key) if few is None else few).select(key)
+    near = table.join(F.broadcast(few), key, "left_semi").withColumn("_hub", F.lit(True))
+    flagged = rows.join(F.broadcast(near), key, "left")
+    more = [c for c in table.columns if c != key]
+    rest = flagged.filter("_hub IS NULL").drop("_hub", *more).join(table, key, how)
+    return flagged.filter("_hub IS NOT NULL").drop("_hub").unionByName(rest)
+
+
 def edge_owner(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """src, dst, src_part, dst_part."""
-    p = parts.select("id", "part")
-    out = edges.join(p.select(F.col("id").alias("dst"), F.col("part").alias("dst_part")), "dst")
-    return out.join(p.select(F.col("id").alias("src"), F.col("part").alias("src_part")), "src").select("src", "dst", "src_part", "dst_part")
+    out = edges.select("src", "dst")
+    for end in ("dst", "src"):
+        out = hub_join(out, end, parts.select(F.col("id").alias(end), F.col("part").alias(f"{end}_part")), hubs(edges, end))
+    return out.select("src", "dst", "src_part", "dst_part")
 
 
 def cut_edges(owned: DataFrame) -> DataFrame:
@@ -80,6 +137,18 @@ def routing_lists(owned: DataFrame) -> DataFrame:
     return owned.groupBy("src_part", "src", "dst_part").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("dst")).alias("labels"))
 
 
+def routing_chunks(owned: DataFrame, size: int = 10_000) -> DataFrame:
+    """``routing_lists`` in pieces of about ``size`` receivers at most, for graphs with hubs:
+    src_part, src, dst_part, chunk, n, labels (ascending within the chunk)."""
+    keys = ["src_part", "src", "dst_part"]
+    large = owned.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > size)
+    large = large.select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_c"))
+    most = owned.count() // size  # there are no more long lists than this
+    rows = owned.join(F.broadcast(large) if most <= HUBS * 100 else large, keys, "left")
+    chunk = F.pmod(F.xxhash64("dst"), F.coalesce("_c", F.lit(1))).cast("int")
+    return rows.groupBy(*keys, chunk.alias("chunk")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("dst")).alias("labels"))
+
+
 def routing_size(owned: DataFrame) -> DataFrame:
     """Length of each part's encoded routing list (2 for every part it sends to, 1 for a
     single receiver, n + 1 for a group of n), and the buffer that holds the longest."""
@@ -90,8 +159,8 @@ def routing_size(owned: DataFrame) -> DataFrame:
 
 def buffer_slots(owned: DataFrame) -> DataFrame:
     """A vertex's slot in the buffer from its part to another, in vertex order."""
-    w = Window.partitionBy("src_part", "dst_part").orderBy("src")
-    return owned.select("src_part", "dst_part", "src").distinct().withColumn("slot", (F.row_number().over(w) - 1).cast("int"))
+    pairs = owned.select("src_part", "dst_part", "src").distinct()
+    return ranked_within(pairs, ["src_part", "dst_part"], "src", "slot").withColumn("slot", F.col("slot").cast("int"))
 
 
 def message_counts(owned: DataFrame, parts: int) -> DataFrame:

@@ -6,6 +6,9 @@ supplier, both directions).
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from trailweave.functions import prf
 from trailweave.functions.field import field, field_degree
 from trailweave.operators import kpath, layout
 from trailweave.sources import graphs
+from trailweave.sources.shared import removed, shared_dir
 
 K, SEED, PARTS, THREADS = 5, 11, 9, 3
 CFG = kpath.KPathConfig(K, seed=SEED)
@@ -42,6 +46,14 @@ def _owned(spark: SparkSession, d: str) -> DataFrame:
     return layout.edge_owner(e, layout.block_partition(v, PARTS))
 
 
+def _file(spark: SparkSession, label: str, lines: DataFrame) -> str:
+    """Write lines of text to the shared folder; the path."""
+    path = f"{shared_dir(spark)}/trailweave/{label}-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    atexit.register(removed, spark, path)
+    return path
+
+
 # SQL fragments -----------------------------------------------------------------------
 
 GEO = """
@@ -55,12 +67,12 @@ PART = f"parts AS (SELECT id, CAST(ntile({PARTS}) OVER (ORDER BY id) - 1 AS INTE
 OWN = "own AS (SELECT e.src, e.dst, a.part AS src_part, b.part AS dst_part FROM e JOIN parts a ON a.id = e.src JOIN parts b ON b.id = e.dst)"
 
 
-def _assign(x: str, k: int = K) -> str:
-    return f"({prf.sql(chr(39) + 'a' + chr(39), str(SEED), x)} % {1 << k})"
+def _assign(x: str, k: int = K, seed: int = SEED) -> str:
+    return f"({prf.sql(chr(39) + 'a' + chr(39), str(seed), x)} % {1 << k})"
 
 
-def _weight(level: str) -> str:
-    return f"({prf.sql(chr(39) + 'w' + chr(39), str(SEED), level, 'src', 'dst')} % {GF.size})"
+def _weight(level: str, seed: int = SEED) -> str:
+    return f"({prf.sql(chr(39) + 'w' + chr(39), str(seed), level, 'src', 'dst')} % {GF.size})"
 
 
 def _times(a: str, b: str, d: int = GF.degree, poly: int = GF.poly) -> str:
@@ -71,13 +83,25 @@ def _times(a: str, b: str, d: int = GF.degree, poly: int = GF.poly) -> str:
     return f"list_reduce([{whole}] || [CAST(i AS BIGINT) FOR i IN range({2 * d - 2}, {d - 1}, -1)], lambda p, i: CASE WHEN (p >> i) & 1 = 1 THEN xor(p, {poly}::BIGINT << (i - {d})) ELSE p END)"
 
 
-LEVELS = f"""l1 AS (SELECT id, it, CAST(1 AS BIGINT) AS val FROM v, (SELECT unnest(range({1 << K})) AS it) WHERE bit_count({_assign("id")} & it) % 2 = 0)"""
-for _n in range(2, K + 1):
-    LEVELS += f""",
-w{_n} AS (SELECT src, dst, {_weight(str(_n))} AS w FROM e),
-l{_n} AS (SELECT * FROM (SELECT dst AS id, it, bit_xor(CAST({_times("w", "val")} AS BIGINT)) AS val FROM w{_n} JOIN l{_n - 1} ON l{_n - 1}.id = w{_n}.src
-       WHERE bit_count({_assign("dst")} & it) % 2 = 0 GROUP BY dst, it) WHERE val <> 0)"""
-TOTALS = f"WITH {GEO}, {LEVELS}, totals AS (SELECT id, bit_xor(val) AS total FROM l{K} GROUP BY id HAVING bit_xor(val) <> 0) "
+def _levels(low: int = 0, high: int = 1 << K, seed: int = SEED) -> str:
+    """The state after each level, over the masks from ``low`` to below ``high``."""
+    out = f"""l1 AS (SELECT id, it, CAST(1 AS BIGINT) AS val FROM v, (SELECT unnest(range({low}, {high})) AS it) WHERE bit_count({_assign("id", seed=seed)} & it) % 2 = 0)"""
+    for n in range(2, K + 1):
+        out += f""",
+w{n} AS (SELECT src, dst, {_weight(str(n), seed)} AS w FROM e),
+l{n} AS (SELECT * FROM (SELECT dst AS id, it, bit_xor(CAST({_times("w", "val")} AS BIGINT)) AS val FROM w{n} JOIN l{n - 1} ON l{n - 1}.id = w{n}.src
+       WHERE bit_count({_assign("dst", seed=seed)} & it) % 2 = 0 GROUP BY dst, it) WHERE val <> 0)"""
+    return out
+
+
+LEVELS = _levels()
+
+
+def _totals(low: int = 0, high: int = 1 << K, seed: int = SEED) -> str:
+    return f"WITH {GEO}, {_levels(low, high, seed)}, totals AS (SELECT id, bit_xor(val) AS total FROM l{K} GROUP BY id HAVING bit_xor(val) <> 0) "
+
+
+TOTALS = _totals()
 
 
 # Sources ------------------------------------------------------------------------------
@@ -93,9 +117,31 @@ def adjacency_scan(spark, d):
 @query("edge_list_scan", f"WITH {GEO} SELECT src, dst FROM e")
 def edge_list_scan(spark, d):
     e = _graph(spark, d)[1]
-    lines = e.select(F.lit(2).cast("long").alias("line_no"), F.concat_ws(" ", "src", "dst").alias("value"))
-    head = spark.createDataFrame([(0, "3"), (1, "4")], "line_no long, value string")
-    return graphs.parse_edge_list(head.unionByName(lines))
+    head = spark.createDataFrame([("3",), ("4",)], "value string")
+    return graphs.parse_edge_list(head.unionByName(e.select(F.concat_ws(" ", "src", "dst").alias("value"))))
+
+
+@query("adjacency_file", ORACLE_SQL["adjacency_scan"])
+def adjacency_file(spark, d):
+    """As ``adjacency_scan``, by way of a text file."""
+    lines = graphs.render_adjacency(graphs.adjacency_of(_graph(spark, d)[1]))
+    a = graphs.read_adjacency(spark, _file(spark, "adjacency", lines))
+    return a.select("id", "weight", F.size("nbrs").cast("long").alias("n_nbrs"), F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+
+
+@query("edge_list_file", ORACLE_SQL["edge_list_scan"])
+def edge_list_file(spark, d):
+    """As ``edge_list_scan``, by way of a text file with its two head lines."""
+    e = _graph(spark, d)[1]
+    head = spark.createDataFrame([("3",), ("4",)], "value string")
+    return graphs.read_edge_list(spark, _file(spark, "edges", head.unionByName(e.select(F.concat_ws(" ", "src", "dst").alias("value")))))
+
+
+@query("big_endian_ints", "SELECT o_orderkey AS key, o_orderkey AS first, o_custkey AS second FROM orders")
+def big_endian_ints(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    raw = F.unhex(F.concat(*[F.lpad(F.hex(c), 8, "0") for c in ("o_orderkey", "o_custkey")]))
+    return o.select(F.col("o_orderkey").alias("key"), graphs.big_endian_int(raw, 0).alias("first"), graphs.big_endian_int(raw, 1).alias("second"))
 
 
 @query("edge_explode", f"WITH {GEO} SELECT src, dst FROM e")
@@ -181,6 +227,44 @@ def message_count_matrix(spark, d):
     return layout.message_counts(_owned(spark, d), PARTS)
 
 
+@query("routing_chunks", ORACLE_SQL["routing_lists"])
+def routing_chunks(spark, d):
+    """The routing lists put together again from pieces of some 50 receivers."""
+    c = layout.routing_chunks(_owned(spark, d), 50)
+    r = c.groupBy("src_part", "src", "dst_part").agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list("labels"))).alias("labels"))
+    return r.withColumn("labels", F.array_join(F.transform("labels", lambda x: x.cast("string")), " "))
+
+
+@query(
+    "message_matrix_file",
+    "WITH m AS (" + ORACLE_SQL["message_count_matrix"] + ") SELECT string_agg(CAST(msg_count AS VARCHAR), ' ' ORDER BY dst_part) AS line FROM m GROUP BY src_part",
+)
+def message_matrix_file(spark, d):
+    path = f"{shared_dir(spark)}/trailweave/matrix-{uuid.uuid4().hex}"
+    graphs.write_message_matrix(layout.message_counts(_owned(spark, d), PARTS), PARTS, path)
+    atexit.register(removed, spark, path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("gather_labels", f"WITH {GEO} SELECT row_number() OVER (ORDER BY id) - 1 AS position, id FROM v")
+def gather_labels(spark, d):
+    """The labels of all parts in part order, as (position, label) rows and not as one array."""
+    return layout.ranked(_graph(spark, d)[0], "id", "position").select("position", "id")
+
+
+@query("gather_ints", f"SELECT string_agg(CAST(i // {PARTS} AS VARCHAR), ' ' ORDER BY i) AS gathered FROM (SELECT unnest(range({PARTS * PARTS})) AS i)")
+def gather_ints(spark, d):
+    """Every rank sends its number to the first rank once for each rank."""
+    sent = spark.range(PARTS).select(F.col("id").cast("int").alias("rank"), F.array_repeat("id", PARTS).alias("ints"))
+    all_ = graphs.gathered(sent, "rank", "ints", PARTS)
+    return all_.select(F.array_join(F.transform(F.flatten("ints"), lambda x: x.cast("string")), " ").alias("gathered"))
+
+
+@query("rank_texts", "SELECT string_agg(n_name, '' ORDER BY n_nationkey) AS joined FROM nation")
+def rank_texts(spark, d):
+    return layout.joined_text(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name"), "n_nationkey", "n_name")
+
+
 @query("timing_summary", "SELECT event_type AS phase, min(value) AS min_ms, max(value) AS max_ms, round(avg(value), 4) AS avg_ms FROM events GROUP BY event_type")
 def timing_summary(spark, d):
     t = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("phase"), F.col("value").alias("ms"))
@@ -190,9 +274,9 @@ def timing_summary(spark, d):
 # Draws --------------------------------------------------------------------------------
 
 
-@query("vertex_iteration_cross", f"WITH {GEO} SELECT id, it FROM v, (SELECT unnest(range(8)) AS it)")
+@query("vertex_iteration_cross", f"WITH {GEO} SELECT id, it FROM v, (SELECT unnest(range({1 << K})) AS it)")
 def vertex_iteration_cross(spark, d):
-    return _graph(spark, d)[0].select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("it"))
+    return _graph(spark, d)[0].select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << K) - 1).cast("long"))).alias("it"))
 
 
 @query("eigenvalue_bits", f"WITH {GEO} SELECT id, it, CAST(1 - bit_count({_assign('id')} & it) % 2 AS INTEGER) AS x FROM v, (SELECT unnest(range({1 << K})) AS it)")
@@ -284,6 +368,55 @@ def poly_degree(spark, d):
     return _polys(spark, d).select("key", P.col_degree(F.col("a")).cast("int").alias("degree"))
 
 
+@query("poly_shift_left", f"SELECT key, a << 3 AS shifted FROM {_POLY}")
+def poly_shift_left(spark, d):
+    return _polys(spark, d).select("key", P.col_shift_left(F.col("a"), 3).alias("shifted"))
+
+
+@query(
+    "poly_bits",
+    "SELECT key, (a >> 3) & 1 = 1 AS has_3, CAST(bit_count(a - b) AS INTEGER) AS plain_bits, CAST(CASE WHEN a < b THEN 64 - bit_count(a - b) ELSE bit_count(a - b) END AS INTEGER) AS bits, "
+    f"CAST(sign(a - b) AS INTEGER) AS compared, (key >> 9) & 1 = 1 AS byte_bit FROM {_POLY}",
+)
+def poly_bits(spark, d):
+    raw = F.unhex(F.lpad(F.hex("key"), 16, "0"))
+    diff = F.col("a") - F.col("b")
+    return _polys(spark, d).select(
+        "key", P.col_has_degree(F.col("a"), 3).alias("has_3"), F.bit_count(diff).alias("plain_bits"), P.col_bit_count(diff).alias("bits"),
+        P.col_compare(F.col("a"), F.col("b")).alias("compared"), P.col_byte_bit(raw, 9).alias("byte_bit"),
+    )
+
+
+@query("poly_from_bytes", f"SELECT key, (key & 511) | 512 AS poly FROM {_POLY}")
+def poly_from_bytes(spark, d):
+    return _polys(spark, d).select("key", P.col_from_bytes(F.unhex(F.lpad(F.hex("key"), 16, "0")), 9).alias("poly"))
+
+
+@query("poly_random", f"SELECT key, ({prf.sql(chr(39) + 'p' + chr(39), str(SEED), 'key')} % 512) | 512 AS poly FROM {_POLY}")
+def poly_random(spark, d):
+    return _polys(spark, d).select("key", P.col_random(SEED, F.col("key"), 9).alias("poly"))
+
+
+@query(
+    "poly_degrees",
+    f"WITH p AS (SELECT key, [i FOR i IN range(5, -1, -1) IF (a >> i) & 1 = 1] AS da, [i FOR i IN range(5, -1, -1) IF (b >> i) & 1 = 1] AS db FROM {_POLY}) "
+    "SELECT key, array_to_string(da, ' ') AS degrees, array_to_string([x FOR x IN da IF NOT list_contains(db, x)], ' ') AS only_a, "
+    "array_to_string(list_sort([x FOR x IN da IF NOT list_contains(db, x)] || [x FOR x IN db IF NOT list_contains(da, x)]), ' ') AS one_of FROM p",
+)
+def poly_degrees(spark, d):
+    """Degrees in descending order, the set difference, and the symmetric difference."""
+    a, b = (P.col_degrees(F.col(c), 6) for c in "ab")
+    text = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), " ")
+    both = F.concat(F.array_except(a, b), F.array_except(b, a))
+    return _polys(spark, d).select("key", text(a).alias("degrees"), text(F.array_except(a, b)).alias("only_a"), text(F.sort_array(both)).alias("one_of"))
+
+
+@query("int_halves", "SELECT o_orderkey AS key, o_orderkey >> 16 AS high, o_orderkey & 65535 AS low FROM orders")
+def int_halves(spark, d):
+    k = F.col("o_orderkey")
+    return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("key"), F.shiftright(k, 16).alias("high"), k.bitwiseAND(65535).alias("low"))
+
+
 @query(
     "irreducible_polys",
     "WITH p AS (SELECT CAST(i AS BIGINT) AS a FROM (SELECT unnest(range(2, 128)) AS i)), q AS (SELECT a AS b FROM p), "
@@ -329,6 +462,43 @@ def kpath_totals(spark, d):
     return kpath.totals(*_graph(spark, d), CFG)
 
 
+@query("kpath_slice", _totals(0, 21) + "SELECT id, total FROM totals")
+def kpath_slice(spark, d):
+    """The masks of one of several instances."""
+    return kpath.totals(*_graph(spark, d), CFG, 0, 21)
+
+
+@query("kpath_slices_merged", TOTALS + "SELECT id, total FROM totals")
+def kpath_slices_merged(spark, d):
+    v, e = _graph(spark, d)
+    e = kpath.prepared(e, CFG)
+    return kpath.merged([kpath.totals(v, e, CFG, low, high) for _, low, high in kpath.iteration_slices(K, 3)])
+
+
+LOOPS = kpath.KPathConfig(K, epsilon=0.5, seed=SEED)
+
+
+@query(
+    "kpath_loops",
+    " UNION ALL ".join(f"SELECT * FROM ({_totals(seed=c.seed)} SELECT CAST({n} AS INTEGER) AS loop, {K} AS k, count(*) > 0 AS found FROM totals)" for n, c in enumerate(kpath.seeds(LOOPS))),
+)
+def kpath_loops(spark, d):
+    """The verdict of every loop that epsilon asks for."""
+    v, e = _graph(spark, d)
+    e = kpath.prepared(e, LOOPS)
+    out = [kpath.verdict(kpath.totals(v, e, c), K).select(F.lit(n).alias("loop"), "k", "found") for n, c in enumerate(kpath.seeds(LOOPS))]
+    for x in out[1:]:
+        out[0] = out[0].unionByName(x)
+    return out[0]
+
+
+@query("verdict_line", TOTALS + f"SELECT 'Graph ' || CASE WHEN count(*) > 0 THEN 'contains' ELSE 'does not contain' END || ' a {K}-path.' AS line FROM totals")
+def verdict_line(spark, d):
+    found = kpath_verdict(spark, d)
+    line = F.when(F.col("found"), F.lit(kpath.report(True, K))).otherwise(F.lit(kpath.report(False, K)))
+    return spark.read.text(_file(spark, "verdict", found.select(line))).select(F.col("value").alias("line"))
+
+
 @query("kpath_verdict", TOTALS + f"SELECT {K} AS k, count(*) > 0 AS found FROM totals")
 def kpath_verdict(spark, d):
     return kpath.verdict(kpath.totals(*_graph(spark, d), CFG), K)

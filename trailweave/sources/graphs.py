@@ -28,19 +28,16 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     return parse_adjacency(spark.read.text(path))
 
 
-def parse_edge_list(lines: DataFrame, value: str = "value", line_no: str = "line_no") -> DataFrame:
-    """Edge-list lines, the first two of which hold the numbers of vertices and edges -> src, dst."""
+def parse_edge_list(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Edge-list lines ``src dst``. The lines before them hold one number each, of vertices
+    and of edges; with blank lines they are left out, so splits of a file need no order."""
     t = F.split(F.trim(F.col(value)), " +")
-    return lines.filter((F.col(line_no) > 1) & (F.length(F.trim(F.col(value))) > 0)).select(t[0].cast("long").alias("src"), t[1].cast("long").alias("dst"))
-
-
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their number from 0, for formats in which order counts."""
-    return spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("line_no long, value string")
+    return lines.filter(F.size(t) == 2).select(t[0].cast("long").alias("src"), t[1].cast("long").alias("dst"))
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
-    return parse_edge_list(numbered(spark, path))
+    """An edge-list text file, read in splits."""
+    return parse_edge_list(spark.read.text(path))
 
 
 def big_endian_int(raw: Column, index: Column | int) -> Column:
@@ -50,7 +47,8 @@ def big_endian_int(raw: Column, index: Column | int) -> Column:
 
 
 def read_binary_header(spark: SparkSession, path: str, vertices: int) -> DataFrame:
-    """(i, value) of the 2 * vertices integers at the start of a binary graph file."""
+    """(i, value) of the 2 * vertices integers at the start of a binary graph file, which
+    Spark's reader takes as a whole (2 GB at most)."""
     raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8 * vertices).alias("c"))
     return raw.select("c", F.explode(F.sequence(F.lit(0), F.lit(2 * vertices - 1))).alias("i")).select("i", big_endian_int(F.col("c"), F.col("i")).alias("value"))
 
@@ -102,7 +100,8 @@ def vertices_of(edges: DataFrame) -> DataFrame:
 
 
 def adjacency_of(edges: DataFrame) -> DataFrame:
-    """id, weight, nbrs (ascending) from edges; the weight is (id mod 7) + 0.5."""
+    """id, weight, nbrs (ascending) from edges; the weight is (id mod 7) + 0.5. A row holds all
+    neighbours of its vertex, as the adjacency format does; edges themselves know no such rows."""
     rows = edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_set("dst")).alias("nbrs"))
     return rows.select("id", (F.col("id") % 7 + 0.5).cast("float").cast("double").alias("weight"), "nbrs")
 
@@ -117,3 +116,10 @@ def write_message_matrix(matrix: DataFrame, parts: int, path: str) -> None:
     rows = matrix.groupBy("src_part").pivot("dst_part", list(range(parts))).agg(F.sum("msg_count")).na.fill(0)
     line = F.concat_ws(" ", *[F.col(str(p)).cast("string") for p in range(parts)])
     rows.repartitionByRange(1, "src_part").sortWithinPartitions("src_part").select(line.alias("value")).write.text(path)
+
+
+def gathered(rows: DataFrame, rank: str, value: str, ranks: int) -> DataFrame:
+    """One row with the values of all ranks as an array in rank order; a rank without a row
+    gives null. The array holds ``ranks`` entries whatever the data."""
+    at = F.map_from_entries(F.collect_list(F.struct(rank, value)))
+    return rows.groupBy(rank).agg(F.max(value).alias(value)).agg(at.alias("_m")).select(F.transform(F.sequence(F.lit(0), F.lit(ranks - 1)), lambda r: F.try_element_at("_m", r)).alias(value))
