@@ -100,10 +100,40 @@ def test_fingerprints(spark, docs, texts, empty):
     assert {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(clash).collect()} == {i: g["fingerprint"] for i, g in got.items()}
 
 
-def test_colliding_hashes_are_told_apart(spark):
+def test_colliding_hashes_are_told_apart(spark, docs, texts, monkeypatch):
     rows = spark.createDataFrame([(1, 2, "a"), (1, 2, "b"), (1, 2, "a"), (3, 4, "c")], "h1 long, h2 long, canon string")
-    got = fingerprints.collisions(rows).collect()
+    full = fingerprints.crowded(rows.select("h1", "h2", F.sha2("canon", 256).alias("digest")))
+    assert [tuple(r) for r in full.collect()] == [(1, 2)]
+    got = fingerprints.collisions(rows, full).collect()
     assert sorted(r["ordinal"] for r in got) == [0, 1] and {r["h1"] for r in got} == {1}
+    # With a hash of four values nearly all texts collide, originals and edited ones alike.
+    monkeypatch.setattr(fingerprints, "wide_hash", lambda c: (F.xxhash64(c) % 2, F.xxhash64(F.lit("b"), c) % 2))
+    order = sorted(range(len(texts)), reverse=True)
+    following = {i: texts[order[(k + 1) % len(order)]] or "" for k, i in enumerate(order)}
+    prints = defaultdict(set)
+    for r in fingerprints.edited(docs).collect():
+        t = texts[r["doc_id"]] or ""
+        third = len(t) // 3
+        prints[r["fingerprint"]].add(_canon(t))
+        prints[r["edited_fingerprint"]].add(_canon(t[: len(t) - third] + following[r["doc_id"]][:third]))
+    assert all(len(x) == 1 for x in prints.values()) and len(prints) == len(set().union(*prints.values()))
+    plain = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint(docs).collect()}
+    assert all((plain[i] == plain[j]) == (_canon(texts[i]) == _canon(texts[j])) for i in plain for j in plain)
+
+
+def test_next_rows_of_shared_ids(spark):
+    r = np.random.default_rng(12)
+    rows = [(int(i) if i else None, f"t{j}") for j, i in enumerate(r.choice([0, 0, 0, 7, 7, 7, *range(20, 60)], size=700))] + [(3, "same")] * 9
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id", "text"]).collect()
+    assert Counter((x["doc_id"], x["text"]) for x in got) == Counter(rows) == Counter((x["next_doc_id"], x["next_text"]) for x in got)
+    key = lambda i: -1 if i is None else i
+    assert sum(key(x["next_doc_id"]) > key(x["doc_id"]) for x in got) == 1  # the last row's next is the first
+    after = {(x["doc_id"], x["text"]): (x["next_doc_id"], x["next_text"]) for x in got if x["text"] != "same"}
+    at, seen = max(after, key=lambda x: key(x[0])), set()
+    while at in after and at not in seen:
+        seen.add(at)
+        at = after[at]
+    assert len(seen) > 300
 
 
 # 3 ------------------------------------------------------------------------------------

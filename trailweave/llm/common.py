@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailweave.sources.shared import shared_dir, written
+
+__all__ = ["crc_of_id", "importable", "partitions", "shared_dir", "table", "written"]
+
 
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package wherever the driver was started.
@@ -31,42 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*[F.col(c) if c in have else F.lit(None).alias(c) for c in cols])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session does not name one (tests, a laptop) a local temporary
-    folder is chosen and set on the context.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    known = getattr(spark.sparkContext, "_trailweave_dir", None)
-    if known is None:
-        known = tempfile.mkdtemp(prefix="trailweave-")
-        spark.sparkContext.setCheckpointDir(known)
-        spark.sparkContext._trailweave_dir = known
-    return known
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost
-    executor costs no recomputation. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trailweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already
-        pass
-
-
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
