@@ -22,12 +22,18 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import words as W
 from trailweave.llm.common import partitions, written
+from trailweave.operators import layout
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 4: a pair at the threshold shares none with probability 5e-8.
 HASHES, ROWS = 128, 4
 BANDS, STEP, TOLERANCE = HASHES // ROWS, 16, 1e-6
-BLOCK = 256
+#: Classes and shingles of a block of a large bucket, about; one class may have more shingles.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Shingles that are columns of a bit table at once.
+COLUMNS = 1 << 16
+#: 64-bit words of a sieve.
+WORDS = 1 << 19
 
 
 @lru_cache(1)
@@ -202,13 +208,16 @@ def _links(rows: dict, memo: W.WordHashes, threshold: float):
     size = np.array([len(s) for s in sets])
     copies = np.array([rows[c][1] for c in names], dtype=np.int64)
     links, classes, root = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64), list(range(len(names)))
-    bits = None
-    if len(names) > 8:  # sets as rows of bits over the block's shingles
-        _, inv = np.unique(np.concatenate(sets), return_inverse=True)
-        flat = np.zeros((len(names), -(-(int(inv.max(initial=0)) + 1) // 64) * 64), dtype=bool)
-        flat[np.repeat(np.arange(len(names)), size), inv] = True
-        bits = np.packbits(flat, axis=1).view(np.uint64)
-        del flat
+    pairs = [(at[c], at[p]) for c in names for p in rows[c][0] if p in at]
+    if not pairs:
+        return
+    left, right = (np.array(x, dtype=np.int64) for x in zip(*pairs))
+    inter = _overlaps(sets, left, right)
+    good = inter >= threshold * (size[left] + size[right] - inter) - 1e-9
+    left, right = left[good], right[good]
+    for i, j in ((left, right), (right, left)):
+        np.add.at(links, i, copies[j])
+        np.add.at(classes, i, 1)
 
     def find(i):
         while root[i] != i:
@@ -216,38 +225,81 @@ def _links(rows: dict, memo: W.WordHashes, threshold: float):
             i = root[i]
         return i
 
-    for c in names:
-        i, js = at[c], np.array([at[p] for p in rows[c][0] if p in at], dtype=np.int64)
-        if not len(js):
-            continue
-        if bits is None:
-            inter = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js])
-        else:
-            inter = np.concatenate([np.bitwise_count(bits[js[k : k + 256]] & bits[i]).sum(1, dtype=np.int64) for k in range(0, len(js), 256)])
-        js = js[inter >= threshold * (size[i] + size[js] - inter) - 1e-9]
-        links[i] += copies[js].sum()
-        classes[i] += len(js)
-        np.add.at(links, js, copies[i])
-        np.add.at(classes, js, 1)
-        for j in js:
-            x, y = find(i), find(int(j))
-            root[max(x, y)] = min(x, y)
+    for i, j in zip(left.tolist(), right.tolist()):
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
     for c in names:
         i = at[c]
         if classes[i]:
             yield c, int(links[i]), int(classes[i]), names[find(i)]
 
 
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets. Sets are rows of bits over the block's
+    shingles, COLUMNS of them at a time, so memory grows with the texts and not with
+    texts times shingles."""
+    out = np.zeros(len(left), dtype=np.int64)
+    if len(left) < 8:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right)], dtype=np.int64)
+    used = np.unique(np.concatenate([left, right]))
+    row = np.full(len(sets), -1)
+    row[used] = np.arange(len(used))
+    _, place = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    i, j = row[left], row[right]
+    for c in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, b = np.searchsorted(place, (c, c + COLUMNS))
+        wide = min(COLUMNS, -(-(int(place[b - 1]) - c + 1) // 64) * 64)
+        flat = np.zeros((len(used), wide), dtype=bool)
+        flat[owner[a:b], place[a:b] - c] = True
+        bits = np.packbits(flat, axis=1).view(np.uint64)
+        del flat
+        step = max(1, (1 << 21) // bits.shape[1])
+        for k in range(0, len(i), step):
+            out[k : k + step] += np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(1, dtype=np.int64)
+    return out
+
+
+def sieve(wanted: DataFrame) -> DataFrame:
+    """A blocked Bloom filter of keys (column ``k``, 64-bit hashes): (word, bits), WORDS rows at
+    most, so it may be broadcast whatever the data. Once it is full it lets everything pass."""
+    return wanted.select(_word("k").alias("word"), _bits("k").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _word(k: str):
+    return F.pmod(F.col(k), F.lit(WORDS)).cast("int")
+
+
+def _bits(k: str):
+    one = F.lit(1).cast("long")
+    out = None
+    for at in (20, 27, 34, 41):
+        bit = F.call_function("shiftleft", one, F.shiftrightunsigned(k, at).bitwiseAND(63).cast("int"))
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
+
+
+def maybe(rows: DataFrame, filter_: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with a key ``k``) and ``name``: may the key be in the sieve? False is certain."""
+    hit = rows.join(F.broadcast(filter_.withColumnRenamed("word", "_word").withColumnRenamed("bits", "_bits")), _word("k") == F.col("_word"), "left")
+    return hit.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(_bits("k")) == _bits("k"), F.lit(False))).drop("_word", "_bits")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): node, label (the least node). Labels go along edges
-    and then jump to their label's label, so rounds grow with the logarithm of a chain."""
-    both = written(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    and then jump to their label's label, so rounds grow with the logarithm of a chain. Nodes
+    with very many edges get their labels by broadcast."""
+    one = edges.filter("a <> b").select("a", "b")
+    both = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    few = written(layout.hubs(both, "b").select("b"), "cc-hubs")
     labels = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "cc-labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("seen"))
+        near = layout.hub_join(both, "b", labels.withColumnRenamed("node", "b"), few).groupBy("a").agg(F.min("label").alias("seen"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        up = labels.select(F.col("node").alias("at"), F.col("label").alias("above"))
-        step = step.join(up, step["label"] == up["at"], "left").select("node", "old", F.least("label", "above").alias("label"))
+        step = layout.hub_join(step, "label", labels.select(F.col("node").alias("label"), F.col("label").alias("above")), how="left")
+        step = step.select("node", "old", F.least("label", "above").alias("label"))
         labels = written(step, "cc-labels")
         if labels.filter("old <> label").isEmpty():
             return labels.select("node", "label")
@@ -266,56 +318,65 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     hashed = written(_hashed(docs), "join-hashed")
     classes = written(
-        hashed.filter("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig")),
+        hashed.filter("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
         "join-classes",
     )
-    bands = classes.select("cid", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> struct(b AS band, substring(sig, b * 8 + 1, 8) AS v))")).alias("x"))
-    bands = bands.select("cid", F.col("x.band").alias("band"), F.xxhash64("x.band", "x.v").alias("bucket"))
-    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("cid")).alias("f1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("f2")).filter("n > 1")
+    bands = classes.select("cid", "n_shingles", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> struct(b AS band, substring(sig, b * 8 + 1, 8) AS v))")).alias("x"))
+    bands = bands.select("cid", "n_shingles", F.col("x.band").alias("band"), F.xxhash64("x.band", "x.v").alias("bucket"))
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("cid")).alias("f1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("f2")).filter("n > 1")
     # Buckets with the same members are one: the one of the least band stays.
-    kept = sizes.groupBy("n", "f1", "f2").agg(F.min(F.struct("band", "bucket")).alias("m")).select("n", F.col("m.bucket").alias("bucket"))
-    members = bands.join(kept, "bucket").join(classes.select("cid", "sig"), "cid")
-    nb = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cid", F.lit(2)), nb).cast("int")
-    members = members.withColumn("nb", nb).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    nb = F.ceil(F.greatest(F.col("n") / BLOCK, F.least(F.col("n"), F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    kept = sizes.groupBy("n", "shingles", "f1", "f2").agg(F.min(F.struct("band", "bucket")).alias("m")).select(nb.alias("nb"), F.col("m.bucket").alias("bucket"))
+    members = bands.drop("n_shingles").join(kept, "bucket").join(classes.select("cid", "sig"), "cid")
+    own = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("nb")).cast("int")
+    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     n = 4 * partitions(spark)
     blocks = members.select(F.xxhash64("bucket", low, high).alias("blk"), "band", (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "sig")
     blocks = blocks.repartition(n, "blk").sortWithinPartitions("blk")
     left = written(_pruned(blocks, threshold), "join-pruned")
-    texts = _marked(docs)
-    wanted = left.join(classes.select("cid", "rep", "size"), "cid")
-    same = wanted["rep.doc_id"].eqNullSafe(texts["doc_id"]) & (wanted["rep.mark"] == texts["mark"])
-    verify = wanted.join(texts, same).select("blk", "cid", "partners", "size", "text").repartition(n, "blk").sortWithinPartitions("blk")
+    wanted = written(left.join(classes.select("cid", _key("rep.doc_id", "rep.mark"), "size"), "cid").select("blk", "cid", "partners", "size", "key.*"), "join-wanted")
+    # Only texts that a block may want are shipped, once each; rows that repeat fall together.
+    texts = _marked(docs).select(_key("doc_id", "mark"), "text").select("key.*", "text")
+    texts = maybe(texts, sieve(wanted), "hit").filter("hit").groupBy("id", "none", "mark").agg(F.first("text").alias("text"))
+    verify = wanted.drop("k").join(texts, ["id", "none", "mark"]).select("blk", "cid", "partners", "size", "text").repartition(n, "blk").sortWithinPartitions("blk")
     links = written(_verified(verify, threshold), "join-links")
     labels = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     per = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    info = classes.select("cid", "size", F.col("rep.doc_id").alias("copy_id")).join(per, "cid", "left").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "size", "copy_id", "links", F.coalesce("label", "cid").alias("label"))
-    least = info.filter("links IS NOT NULL").groupBy("label").agg(F.min("copy_id").alias("least"))
-    info = info.join(least, "label", "left").select("cid", "size", "copy_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("least", "copy_id").alias("class_id"))
-    return hashed.select("doc_id", F.when(F.col("n_shingles") > 0, F.col("cid")).alias("cid")).join(info, "cid", "left").select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("copy_id", "doc_id").alias("copy_id"),
-        F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)).cast("long").alias("n_links"),
+    info = classes.select("cid", "size", F.col("rep.doc_id").alias("copy_id")).join(per, "cid").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "size", "copy_id", "links", F.coalesce("label", "cid").alias("label"))
+    linked = written(info, "join-linked")
+    least = linked.groupBy("label").agg(F.min("copy_id").alias("class_id"))
+    linked = layout.hub_join(linked, "label", least).select("cid", "links", "class_id")
+    info = classes.select("cid", "size", F.col("rep.doc_id").alias("copy_id")).join(linked, "cid", "left")
+    rows = layout.hub_join(hashed.filter("n_shingles > 0").select("doc_id", "cid"), "cid", info)
+    alone = hashed.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
+    return alone.unionByName(
+        rows.select(
+            "doc_id",
+            F.coalesce("class_id", "copy_id", "doc_id").alias("class_id"),
+            F.coalesce("copy_id", "doc_id").alias("copy_id"),
+            (F.coalesce(F.col("links"), F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"),
+        )
     )
 
 
+def _key(doc_id: str, mark: str):
+    """A row's id and mark without nulls, and a hash of both."""
+    return F.struct(F.coalesce(F.col(doc_id), F.lit(0)).alias("id"), F.col(doc_id).isNull().alias("none"), F.col(mark).alias("mark"), F.xxhash64(doc_id, mark).alias("k")).alias("key")
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group stays, the one of the least id, with all its columns. Rows
     that repeat an id are one document: the one of the least text hash stays. Rows without
-    an id are judged by nothing and stay."""
-    linked = written(join(docs, threshold), "join-rows")
-    again = linked.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    gone = linked.filter("doc_id <> class_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    if again.isEmpty():
-        return left.select(docs.columns)
-    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    name = "_mark"
-    while name in docs.columns:
-        name += "_"
-    twice = left.join(again, "doc_id", "left_semi").withColumn(name, mark)
-    least = twice.groupBy("doc_id").agg(F.min(name).alias(name))
-    once = twice.join(least, ["doc_id", name]).dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    an id are judged by nothing and stay. Only rows that may have to go are shuffled."""
+    linked = written(join(docs, threshold), "join-rows").filter("doc_id IS NOT NULL")
+    again = linked.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(False).alias("gone"))
+    gone = linked.filter("doc_id <> class_id").select("doc_id", F.lit(True).alias("gone"))
+    odd = written(gone.unionByName(again).groupBy("doc_id").agg(F.max("gone").alias("gone")), "join-odd")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark"))
+    rows = maybe(rows.withColumn("k", F.xxhash64("id")), sieve(odd.select(F.xxhash64("doc_id").alias("k"))), "hit")
+    sure = rows.filter("id IS NULL OR NOT hit").select("doc")
+    judged = rows.filter("id IS NOT NULL AND hit").select("doc", "id", "mark").join(odd.withColumnRenamed("doc_id", "id"), "id", "left")
+    once = judged.filter("gone IS NULL").select("doc")
+    twice = judged.filter("NOT gone").groupBy("id").agg(F.min_by("doc", "mark").alias("doc")).select("doc")
+    return sure.unionByName(once).unionByName(twice).select("doc.*")
