@@ -257,11 +257,28 @@ def test_bpe_on_odd_texts(reference_codec):
     c = bpe.codec(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
     r = np.random.default_rng(5)
     odd = ["".join(r.choice(list("ab 1'\n\t .é²ª_ßЖ中😀\x1c\x85½ſ"), 40)) for _ in range(60)] + ["the" * 700, "a" * 256, "a" * 257, "'s'll <|endoftext|>"]
+    for letters in ("eth", "ab", "a-", "etaoinshr", "日本語のは", "ภาษไทย"):  # long words without a blank
+        odd += ["".join(r.choice(list(letters), int(r.integers(65, 500)))) for _ in range(12)]
     assert c.encode_ids(odd) == [reference_codec.encode_ordinary(t) for t in odd]
+    lens, spelled, decoded = c.digests(odd + [""])
+    assert lens.tolist() == [len(reference_codec.encode_ordinary(t)) for t in odd] + [0]
+    assert decoded == [hashlib.sha256(t.encode()).hexdigest() for t in odd + [""]]
     with pytest.raises(ValueError):
         c.decode([[999999]])
 
 
+def test_bpe_on_many_and_very_long_words(reference_codec):
+    c = bpe.codec(f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    r = np.random.default_rng(15)
+    han = " ".join("".join(map(chr, r.integers(0x4E00, 0x9FA5, 80))) for _ in range(3000))
+    thai = "".join(map(chr, r.integers(0xE01, 0xE3A, 30000)))
+    for text in (han, thai, "".join(r.choice(list("etaoinshrdlucm"), 8000))):
+        assert c.encode_ids([text])[0] == reference_codec.encode_ordinary(text)
+    for text in ("the" * 100_000, "-" * 400_000, "é" * 1_000_000):
+        ids = c.encode_ids([text])[0]
+        assert c.decode([ids])[0].decode() == text and len(set(ids)) < 40
+
+
 # 6 ------------------------------------------------------------------------------------
 
 
