@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.common import written
+from trailweave.llm.sieve import maybe, sieve
+from trailweave.operators.layout import hub_join
 
 #: Titles by gender, names by script and gender.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "госпожа", "г-жа", "κυρία")
@@ -30,6 +32,9 @@ NAMES = {
     ("greek", "m"): ("Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Πέτρος", "Σπύρος"),
     ("greek", "s"): ("Βλάχου", "Γαλάνη", "Δούκα", "Μακρή", "Παππά", "Ρήγα"),
 }
+#: Attempts after which a format has no values left. With half of them free, an entity gets
+#: this far with a probability of 2 ** -ATTEMPTS.
+ATTEMPTS = 128
 _TITLE = "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=len, reverse=True))
 
 #: Type -> pattern, in the order in which they are tried at a place.
@@ -43,7 +48,7 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no entity; the costly pattern is not tried on it.
+#: Every entity holds one of these; the costly pattern is not tried on a text without them.
 HINT = rf"@|\d\d|\d\.\d\.\d\.\d|(?:{_TITLE})\.? \p{{Lu}}"
 
 
@@ -86,8 +91,8 @@ def surrogate(key: str) -> tuple[Column, Column]:
     h = F.sha2(F.concat_ws("|", F.lit(key), "type", "canon", F.col("attempt").cast("string")), 256)
     return F.expr(
         f"""CASE type
-WHEN 'email' THEN {_spell("canon", "lower")}
-WHEN 'iban' THEN concat(substr(canon, 1, 2), {_spell("substr(canon, 3)", "any")})
+WHEN 'email' THEN {_mail()}
+WHEN 'iban' THEN {_iban()}
 WHEN 'ip' THEN array_join(transform(sequence(1, 4), i -> cast(1 + pmod(xxhash64(_h, i), 254) AS string)), '.')
 WHEN 'person' THEN {_person()}
 WHEN 'card' THEN {_checked()}
@@ -104,6 +109,24 @@ def _spell(s: str, case: str) -> str:
     return f"array_join(transform(split({s}, ''), (c, i) -> CASE WHEN {keep} THEN c {cases} ELSE c END), '')"
 
 
+def _mail() -> str:
+    """Every third attempt adds a letter before the @, without end."""
+    more = "array_join(transform(sequence(1, 1 + cast(attempt div 3 AS int)), i -> CASE WHEN i = 1 THEN '' ELSE substr('bcdfghjklmnpqrstvwxz', cast(1 + pmod(xxhash64(_h, i), 20) AS int), 1) END), '')"
+    return f"replace({_spell('canon', 'lower')}, '@', concat({more}, '@'))"
+
+
+def _iban() -> str:
+    """The country stays; the check digits are right if they were, and wrong if they were not."""
+
+    def rest(s: str) -> str:  # of the number that the letters (A is 10) and digits spell
+        return f"aggregate(split({s}, ''), 0, (a, c) -> cast(pmod(CASE WHEN c RLIKE '^[0-9]$' THEN a * 10 + cast(c AS int) ELSE a * 100 + ascii(c) - 55 END, 97) AS int))"
+
+    country, right = "substr(canon, 1, 2)", rest("concat(substr(canon, 5), substr(canon, 1, 4))") + " = 1"
+    check = f"98 - {rest('concat(b, ' + country + ', ' + chr(39) + '00' + chr(39) + ')')}"
+    shown = f"CASE WHEN {right} THEN {check} ELSE pmod({check} + 1 + pmod(xxhash64(_h, 0), 96), 97) END"
+    return f"element_at(transform(array({_spell('substr(canon, 5)', 'any')}), b -> concat({country}, lpad(cast({shown} AS string), 2, '0'), b)), 1)"
+
+
 def _checked() -> str:
     """A number of the same length and first digit whose last digit keeps the Luhn check as
     it was: right numbers stay right, wrong ones wrong."""
@@ -140,9 +163,10 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """A distinct surrogate for each distinct (type, canon): type, canon, s.
 
     An attempt that gives two entities one surrogate leaves it with the least of them; the
-    others, and entities whose surrogate is a real entity, try again. Names grow with the
-    attempts. The other types keep their length: a corpus that holds more than half of all
-    values of a type and length leaves too few surrogates, and the attempts do not end.
+    others, and entities whose surrogate is a real entity, try again. Names and e-mails grow
+    with the attempts, so there are always more of them. The other types keep their length:
+    a corpus that holds nearly all values of a format has no surrogates left, and that is a
+    ValueError after ATTEMPTS attempts.
     """
     value, digest = surrogate(key)
 
@@ -152,7 +176,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     names = written(entities.select("type", "canon").distinct(), "pii-names")
     real = names.select("type", F.col("canon").alias("s"), F.lit(True).alias("taken"))
     state = written(tried(names.withColumn("attempt", F.lit(0))), "pii-state")
-    while True:
+    for _ in range(ATTEMPTS):
         first = state.groupBy("type", "s").agg(F.min(F.struct("attempt", "canon")).alias("f"))
         judged = state.join(first, ["type", "s"]).join(real, ["type", "s"], "left")
         judged = judged.select("type", "canon", "attempt", "s", ((F.col("f.canon") != F.col("canon")) | F.col("taken").isNotNull()).alias("clash"))
@@ -161,6 +185,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
             return judged.select("type", "canon", "s")
         again = tried(judged.filter("clash").withColumn("attempt", F.col("attempt") + 1).drop("s", "clash"))
         state = written(judged.filter("NOT clash").drop("clash").unionByName(again), "pii-state")
+    raise ValueError("a format has fewer values than the corpus needs surrogates")
 
 
 def render(type_: Column, e: Column, s: Column) -> Column:
@@ -188,17 +213,19 @@ def anonymise(docs: DataFrame, key: str = "trailweave") -> DataFrame:
     and no surrogate is an entity of the corpus. Null texts stay null and have none; empty
     and entity-free texts stay as they are; repeated rows stay; an empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     seen = rows.withColumn("ents", found(F.col("text"))).filter(F.size("ents") > 0)
     # A row is known by its id and the hash of its text; rows equal in both get the same text.
-    seen = written(seen.withColumn("mark", F.xxhash64("text")).select("doc_id", "mark", "ents", F.split("text", ANY, -1).alias("parts")), "pii-found")
+    seen = written(seen.select("doc_id", "mark", "ents", F.split("text", ANY, -1).alias("parts")), "pii-found")
     each = seen.select("doc_id", "mark", F.posexplode("ents").alias("pos", "e")).withColumn("type", kind(F.col("e")))
-    each = written(each.withColumn("canon", canonical(F.col("type"), F.col("e"))), "pii-each")
-    map_ = assign(each, key)
-    new = each.join(map_, ["type", "canon"]).select("doc_id", "mark", F.struct("pos", "type", render(F.col("type"), F.col("e"), F.col("s")).alias("v")).alias("x"))
+    each = written(each.withColumn("canon", canonical(F.col("type"), F.col("e"))).withColumn("entity", F.concat_ws("|", "type", "canon")), "pii-each")
+    map_ = assign(each, key).select(F.concat_ws("|", "type", "canon").alias("entity"), "s")
+    new = hub_join(each, "entity", map_).select("doc_id", "mark", F.struct("pos", "type", render(F.col("type"), F.col("e"), F.col("s")).alias("v")).alias("x"))
     new = new.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("x")).alias("new"))
     put = F.zip_with("parts", F.transform("new", lambda x: x["v"]), lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
     back = seen.join(new, seen["doc_id"].eqNullSafe(new["doc_id"]) & (seen["mark"] == new["mark"]))
     changed = back.select(seen["doc_id"], F.size("ents").alias("n_entities"), F.transform("new", lambda x: x["type"]).alias("types"), F.array_join(put, "").alias("text"))
-    same = rows.filter(F.coalesce(F.size(found(F.col("text"))), F.lit(0)) <= 0)
+    # The pattern is tried again only on texts that the sieve takes for one of those above.
+    rows = maybe(rows.withColumn("k", F.xxhash64("doc_id", "mark")), sieve(seen.select(F.xxhash64("doc_id", "mark").alias("k"))), "hit")
+    same = rows.filter(F.when(F.col("hit"), F.coalesce(F.size(found(F.col("text"))), F.lit(0)) <= 0).otherwise(F.lit(True)))
     return same.select("doc_id", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("types"), "text").unionByName(changed)

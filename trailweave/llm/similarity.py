@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import words as W
 from trailweave.llm.common import partitions, written
+from trailweave.llm.sieve import maybe, sieve
 from trailweave.operators import layout
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -32,8 +33,6 @@ BANDS, STEP, TOLERANCE = HASHES // ROWS, 16, 1e-6
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Shingles that are columns of a bit table at once.
 COLUMNS = 1 << 16
-#: 64-bit words of a sieve.
-WORDS = 1 << 19
 
 
 @lru_cache(1)
@@ -262,31 +261,6 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def sieve(wanted: DataFrame) -> DataFrame:
-    """A blocked Bloom filter of keys (column ``k``, 64-bit hashes): (word, bits), WORDS rows at
-    most, so it may be broadcast whatever the data. Once it is full it lets everything pass."""
-    return wanted.select(_word("k").alias("word"), _bits("k").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-
-
-def _word(k: str):
-    return F.pmod(F.col(k), F.lit(WORDS)).cast("int")
-
-
-def _bits(k: str):
-    one = F.lit(1).cast("long")
-    out = None
-    for at in (20, 27, 34, 41):
-        bit = F.call_function("shiftleft", one, F.shiftrightunsigned(k, at).bitwiseAND(63).cast("int"))
-        out = bit if out is None else out.bitwiseOR(bit)
-    return out
-
-
-def maybe(rows: DataFrame, filter_: DataFrame, name: str) -> DataFrame:
-    """``rows`` (with a key ``k``) and ``name``: may the key be in the sieve? False is certain."""
-    hit = rows.join(F.broadcast(filter_.withColumnRenamed("word", "_word").withColumnRenamed("bits", "_bits")), _word("k") == F.col("_word"), "left")
-    return hit.withColumn(name, F.coalesce(F.col("_bits").bitwiseAND(_bits("k")) == _bits("k"), F.lit(False))).drop("_word", "_bits")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): node, label (the least node). Labels go along edges
     and then jump to their label's label, so rounds grow with the logarithm of a chain. Nodes
