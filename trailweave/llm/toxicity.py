@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from trailweave.llm import similarity
 from trailweave.llm import words as W
 
-#: Labelled documents that are fitted on at most; texts longer than this are left out of the fit only.
-TRAIN_ROWS, TRAIN_CHARS = 4000, 40_000
+#: Labelled documents that are fitted on at most, and the characters of all of them together.
+TRAIN_ROWS, TRAIN_CHARS = 4000, 30_000_000
 WINDOW, EPOCHS, L2, SEED = 24, 50, 0.02, 17
 STEM = 5
 #: Families with a cue for it to be taken beside the cover.
@@ -271,12 +271,22 @@ def _calibrate(f1, f2, y) -> tuple[float, float, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list:
-    """A bounded sample of labelled documents: the ``rows`` smallest hashes of labelled
-    ids. The ids come first, alone; texts are read for the chosen ones only."""
+    """A bounded sample of labelled documents: whole texts by ascending hash of the id, as
+    many as ``rows`` and, together, ``chars`` characters allow. Ids and lengths come first,
+    alone; texts are read for the chosen ones only. Copies of a row count once."""
     named = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = named.orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(rows)
-    texts = docs.filter(F.length("text") <= chars).select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * rows).collect()
+    known = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sizes = known.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("mark"), F.max(F.length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    taken, left = [], chars
+    for r in sizes:
+        if r["n"] <= left:
+            taken.append((r["doc_id"], r["mark"]))
+            left -= r["n"]
+    wanted = docs.sparkSession.createDataFrame(taken, known.select("doc_id", F.xxhash64("text").alias("mark")).schema)
+    texts = known.join(F.broadcast(wanted.withColumnRenamed("doc_id", "_id")), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("mark")))
+    got = {r["doc_id"]: r for r in texts.select("doc_id", "text", "toxic").toLocalIterator()}
+    return [got[d] for d, _ in taken if d in got]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
@@ -316,20 +326,33 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("proba
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
-    """Neighbouring toxic words as one span."""
+    """Neighbouring toxic words as one span, by the words' places in the text as written."""
+    lower, place = text, None
+    if not _latin(text):  # a letter may be longer in lower case
+        lower = text.lower()
+        if len(lower) != len(text):
+            place = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
     out: list[dict] = []
-    lower = text if len(text.lower()) != len(text) else text.lower()
     before = -2
     for i, m in enumerate(W._WORD.finditer(lower)):
         if i < len(p) and p[i] >= SPAN:
+            start, end = m.span() if place is None else (int(place[m.start()]), int(place[m.end() - 1]) + 1)
             if before == i - 1:
-                out[-1]["end"], out[-1]["probability"] = m.end(), max(out[-1]["probability"], float(p[i]))
+                out[-1]["end"], out[-1]["probability"] = end, max(out[-1]["probability"], float(p[i]))
             else:
-                out.append({"start": m.start(), "end": m.end(), "probability": float(p[i])})
+                out.append({"start": start, "end": end, "probability": float(p[i])})
             before = i
     return out
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def keep_clean(docs: DataFrame, chain: Chain, limit: float = 0.5) -> DataFrame:
     """Rows whose text scores below ``limit``, with all columns; no shuffle."""
 
