@@ -14,13 +14,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailweave.llm import words as W
 
-#: Labelled documents read for each language at most, and languages modelled at most.
-ROWS_PER_LANG, LANGS = 1500, 200
+#: Labelled documents read for each language at most, and for all of them together about.
+ROWS_PER_LANG, ROWS = 1500, 20_000
+#: Entries of the trigram table: beyond 128 languages it has fewer slots, but all languages.
+TABLE = 1 << 24
 BITS, ROUNDS, PENALTY, SHARPEST = 17, 12, 4.0, 12.0
 NONE = "und"
 
@@ -43,7 +45,12 @@ def _letters() -> np.ndarray:
     return out
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slot_bits(langs: int) -> int:
+    """Bits of a trigram's slot, so that slots times languages stay within TABLE."""
+    return max(10, min(BITS, (TABLE // max(1, langs)).bit_length() - 1))
+
+
+def trigrams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all texts together: the slot of the trigram around each letter, the first
     letter of each word, and the number of words of each text."""
     sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
@@ -55,7 +62,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = (pad[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (pad[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (pad[2:] * np.uint64(0x165667B19E3779F9))
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    slot = (h >> np.uint64(64 - BITS)).astype(np.int32)
+    slot = (h >> np.uint64(64 - bits)).astype(np.int32)
     first = letter & ~np.concatenate([[False], letter[:-1]])
     ends = np.cumsum(sizes)
     per = np.diff(np.concatenate([[0], np.cumsum(first)[ends - 1]])) if len(texts) else np.zeros(0, dtype=np.int64)
@@ -66,26 +73,33 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(texts: list[str], langs: list[str]) -> Model:
     """Trigram distributions with add-one smoothing; languages in alphabetical order."""
     names = sorted(set(langs))
-    counts = np.zeros((1 << BITS, len(names)))
+    bits = slot_bits(len(names))
+    own: dict[str, list[str]] = {}
+    for t, lang in zip(texts, langs):
+        own.setdefault(lang, []).append(t)
+    logp = np.zeros((1 << bits, len(names)), dtype=np.float32)
     for k, name in enumerate(names):
-        own = [t for t, lang in zip(texts, langs) if lang == name]
-        for i in range(0, len(own), 256):
-            counts[:, k] += np.bincount(trigrams(own[i : i + 256])[0], minlength=1 << BITS)
-    p = (counts + 0.05) / (counts.sum(0) + 0.05 * (1 << BITS)) if names else counts
-    return Model(names, np.log(p).astype(np.float32))
+        counts = np.zeros(1 << bits)
+        for i in range(0, len(own[name]), 256):
+            counts += np.bincount(trigrams(own[name][i : i + 256], bits)[0], minlength=1 << bits)
+        logp[:, k] = np.log((counts + 0.05) / (counts.sum() + 0.05 * (1 << bits)))
+    return Model(names, logp)
 
 
 def train(docs: DataFrame, rows: int = ROWS_PER_LANG) -> Model:
-    """Fit on a bounded sample: of each language about ``rows`` documents, chosen by a
-    hash of the id. Rows with a null text or language are not used; beyond LANGS
-    languages the rarest are left out."""
+    """Fit on a bounded sample: of each language about ``rows`` documents, or ROWS divided by
+    the number of languages if that is less, chosen by a hash of the id. Every language is
+    modelled. Rows with a null text or language are not used."""
     usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not sizes:
         return Model([], np.zeros((1 << BITS, 0), dtype=np.float32))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows / r["n"]))])
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
-    got = usable.filter(drawn).select("lang", "text").limit(2 * rows * len(sizes)).collect()
+    rows = max(1, min(rows, ROWS // len(sizes)))
+    # About twice the rows are drawn, and of these the ones of least hash taken.
+    share = {r["lang"]: min(1.0, 2 * rows / r["n"] + 30 / r["n"]) for r in sizes}
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")] * (1 << 30)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit(3)))
+    got = usable.filter(drawn).select("lang", "text", F.row_number().over(order).alias("_n")).filter(F.col("_n") <= rows).collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
@@ -106,7 +120,7 @@ def mixtures(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     the number of languages kept."""
     K = len(model.langs)
     out, kept = np.zeros((len(texts), K)), np.zeros(len(texts), dtype=np.int64)
-    slots, first, per = trigrams(texts)
+    slots, first, per = trigrams(texts, slot_bits(K))
     if not K or not len(first):
         return out, kept
     logs = np.add.reduceat(model.logp[slots], first, axis=0)
