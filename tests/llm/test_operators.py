@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from trailweave.llm import bpe, fingerprints, language, packing, pii, pretoken, quality_rules, secret_scan, sharding, similarity, toxicity
@@ -65,6 +66,78 @@ def test_marginals_against_enumeration():
         assert np.allclose(got[a:b], one / total)
 
 
+def test_gradient_against_enumeration():
+    """The gradient is the slope of the log likelihood, which is summed over all taggings."""
+    r = np.random.default_rng(21)
+    oov, n, m = 4, 5, 3
+    X, Z = r.integers(0, oov + 1, (m, n)), r.integers(0, oov + 1, (m, n))
+    S, Y = r.integers(0, 16, (m, n)), r.integers(0, 2, (m, n))
+    lengths = np.array([5, 3, 1])
+    on = (np.arange(n) < lengths[:, None]).astype(np.int64)
+    Y, S = Y * on, S * on
+    X, Z = np.where(on, X, oov), np.where(on, Z, oov)
+    theta = r.normal(size=oov + 1 + 16 + 6) * 0.7
+
+    def likelihood(theta):
+        wv, sv, tr, st = np.split(theta, [oov + 1, oov + 17, oov + 21])
+        wv, tr, total = np.append(wv[:-1], 0.0), tr.reshape(2, 2), 0.0
+        for i in range(m):
+            k = lengths[i]
+            e = wv[X[i, :k]] + wv[Z[i, :k]] + sv[S[i, :k]]
+            worth = lambda tags: st[tags[0]] + sum(tr[a, b] for a, b in zip(tags, tags[1:])) + sum(x for x, t in zip(e, tags) if t)  # noqa: B023, E731
+            total += worth(Y[i, :k]) - np.log(sum(np.exp(worth(t)) for t in itertools.product((0, 1), repeat=int(k))))
+        return total
+
+    got = toxicity._gradient(theta, X, Z, S, Y, on, lengths, oov)
+    for i in range(len(theta)):
+        if i != oov:
+            up, down = theta.copy(), theta.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            assert abs(got[i] - (likelihood(up) - likelihood(down)) / 2e-5) < 1e-5
+
+
+def test_document_scores_against_plain_recursion(spark):
+    r = np.random.default_rng(22)
+    words = [f"w{i}" for i in range(30)]
+    chain = toxicity.Chain({w: float(x) for w, x in zip(words, r.normal(size=30))}, r.normal(size=16), r.normal(size=(2, 2)), r.normal(size=2), (-1.0, 0.4, 0.7))
+    texts = [" ".join(r.choice(words, n)) for n in (1, 2, 63, 64, 65, 130, 700)]
+    got = {x["doc_id"]: x for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
+    for i, t in enumerate(texts):
+        e = np.array([chain.word[w] + chain.shape[toxicity.shape(w)] for w in t.split()])
+        T, f, b = np.exp(chain.trans), [np.exp(chain.start) * [1, np.exp(e[0])]], [np.ones(2)]
+        for x in e[1:]:
+            f.append((f[-1] @ T) * [1, np.exp(x)])
+            f[-1] /= f[-1].sum()
+        for x in e[:0:-1]:
+            b.append(T @ (b[-1] * [1, np.exp(x)]))
+            b[-1] /= b[-1].sum()
+        p = np.array([(u * v)[1] / (u * v).sum() for u, v in zip(f, b[::-1])])
+        top = np.clip(p.max(), 1e-5, 1 - 1e-5)
+        z = -1.0 + 0.4 * np.log(top / (1 - top)) + 0.7 * np.log(max(p.sum(), 6e-6))
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+        tagged = np.flatnonzero(p >= toxicity.SPAN)
+        assert got[i]["n_spans"] == sum(k == 0 or tagged[k] != tagged[k - 1] + 1 for k in range(len(tagged)))
+
+
+def test_spans_are_places_in_the_text_as_written(spark):
+    chain = toxicity.Chain({"vileword": 20.0}, start=np.array([0.0, -5.0]), trans=np.array([[0.0, -5.0], [0.0, -5.0]]))
+    texts = ["İstanbul vileword", "VILEWORD İİ x vileword", "naïve vileword – Ж İ Vileword", "\x85vileword", "ΣΑΣ vileword", "a vileword vileword b"]
+    for t, g in zip(texts, sorted(toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect())):
+        found = [t[s["start"] : s["end"]] for s in g["spans"]]
+        assert [w.lower() for x in found for w in re.findall(r"(?i)vileword", x)] == ["vileword"] * len(re.findall("(?i)vileword", t)) and found
+        assert all(x.lower().startswith("vileword") for x in found)
+
+
+def test_training_sample_takes_whole_texts(spark):
+    docs = spark.createDataFrame([(i, "w " * (50_000 if i % 7 == 0 else 10)) for i in range(40)] + [(1, "w " * 10), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (None, 1), (90, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels)
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 40 and max(len(r["text"]) for r in rows) == 100_000
+    few = toxicity.training_rows(docs, labels, rows=30, chars=250_000)
+    assert len(few) <= 30 and sum(len(r["text"]) for r in few) <= 250_000 and {r["doc_id"]: r["text"] for r in few}.items() <= {r["doc_id"]: r["text"] for r in rows}.items()
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     chain = toxicity.train(docs, labels)
@@ -231,6 +304,54 @@ def test_language_mixture(spark, empty):
     assert {x["lang_pred"] for x in language.predict(spark.createDataFrame(test, "doc_id long, text string"), none).collect()} == {"und"}
 
 
+def test_mixtures_against_plain_em():
+    """The language set and shares as a loop over sets of all sizes finds them."""
+    r = np.random.default_rng(23)
+    parts = {"aa": ["ka", "lo", "mi"], "bb": ["schu", "reng", "tz"], "cc": ["ção", "lh", "nha"], "dd": ["ka", "tz", "wo"]}
+    make = lambda k, n: " ".join("".join(r.choice(parts[k], 2)) for _ in range(n))
+    model = language.fit([make(k, 80) for k in parts for _ in range(12)], [k for k in parts for _ in range(12)])
+    texts = [make("aa", 40), make("bb", 30) + " " + make("cc", 20), make("dd", 25) + " " + make("aa", 5), make("aa", 15) + " " + make("bb", 15) + " " + make("cc", 15), "ka", "x", "", "12"]
+    texts += [texts[0]] * 2
+    got, kept = language.mixtures(texts, model)
+    for text, share, size in zip(texts, got, kept):
+        words = ["".join(w) for w in re.findall(r"[^\W\d_]+", text)]
+        if not words:
+            assert size == 0 and not share.any()
+            continue
+        logs = np.array([model.logp[language.trigrams([w])[0]].sum(0) for w in words], dtype=float)
+        like = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -language.SHARPEST))
+
+        def em(allowed):
+            pi = allowed / allowed.sum()
+            for _ in range(language.ROUNDS):
+                post = like * pi
+                pi = (post / post.sum(1, keepdims=True)).mean(0)
+            return pi, np.log((like * pi).sum(1)).sum()
+
+        order = np.argsort(-em(np.ones(4))[0], kind="stable")
+        sets = []
+        for k in range(1, 5):
+            allowed = np.zeros(4)
+            allowed[order[:k]] = 1
+            pi, value = em(allowed)
+            sets.append((value - language.PENALTY * np.log(len(words) + 1) * (k - 1), -k, pi))
+        best = max(sets, key=lambda x: x[:2])
+        assert size == -best[1] and np.allclose(share, best[2], atol=1e-4)
+
+
+def test_every_language_is_modelled_and_long_and_repeated_rows(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{i:03}": letters[i % 26] + letters[i // 26] + "q" for i in range(260)}
+    rows = [(i * 3 + j, " ".join([w] * 20), lang) for i, (lang, w) in enumerate(own.items()) for j in range(3)]
+    model = language.train(spark.createDataFrame([*rows, rows[0], (9999, None, "l000"), (None, "abc", None)], "doc_id long, text string, lang string"))
+    assert model.langs == sorted(own) and model.logp.shape == (1 << language.slot_bits(260), 260)
+    test = [(i, t) for i, t, _ in rows[::40]] + [(0, "aaq " * 200_000), (0, "aaq " * 200_000)]
+    got = language.predict(spark.createDataFrame(test, "doc_id long, text string"), model).collect()
+    assert len(got) == len(test) and sum(g["lang_pred"] == dict((i, lang) for i, _, lang in rows)[g["doc_id"]] for g in got) >= len(test) - 1
+    tie = language.predict(spark.createDataFrame([(1, "zzzz")], "doc_id long, text string"), language.fit(["same words"] * 2, ["b", "a"])).first()
+    assert tie["lang_pred"] == "a"
+
+
 # 5 ------------------------------------------------------------------------------------
 
 
@@ -347,6 +468,59 @@ def test_every_entity_passes_the_hint(spark):
     assert "8.8.8.8" not in got[1]["text"] and got[1]["text"].split()[3] == got[3]["text"].split()[-1] != got[2]["text"]
 
 
+#: Of each type: entities as they are found in a text.
+ENTITIES = {
+    "email": ["a@b.co", "Änne_1%x+y@mail.sub-x.example.org"],
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR0012345678"],
+    "ip": ["8.8.8.8", "10.200.3.4"],
+    "card": ["4111 1111 1111 1111", "378282246310005"],
+    "ssn": ["078-05-1120"],
+    "phone": ["+49 30 1234 5678", "(212) 555-0100", "212.555.0101"],
+    "person": ["Mrs. Brown", "г-н Иван Петров", "κυρία Ελένη", "Dr O'Neil-Smith"],
+}
+
+
+def test_found_types_against_brute_force(spark):
+    """Every pattern through ``found``; places, types and what is left against Python's own search."""
+    own = [regex.compile(p) for p in pii.PATTERNS.values()]
+    flat = [(k, e) for k, v in ENTITIES.items() for e in v]
+    texts = [e for _, e in flat] + [f"x {a} and {b}, so" for (_, a), (_, b) in itertools.product(flat, flat)] + ["no 1 entity", "v1.2.3", "@", "1.2.3.4.5", "long " * 40_000 + "a@b.co"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in pii.anonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    surrogates = defaultdict(set)
+    for i, t in rows:
+        at, types, gaps, begin = 0, [], [], 0
+        while at < len(t):  # the first pattern, in order, that matches here
+            m = next(((k, m) for k, p in zip(pii.PATTERNS, own) if (m := p.match(t, at))), None)
+            if m:
+                types.append((m[0], m[1][0]))
+                gaps.append(t[begin:at])
+                begin = m[1].end()
+            at = m[1].end() if m else at + 1
+        gaps.append(t[begin:])
+        assert got[i]["types"] == [k for k, _ in types], t[:80]
+        parts = re.fullmatch("(.*)".join(map(re.escape, gaps)), got[i]["text"], re.S).groups()
+        for (k, e), s in zip(types, parts):
+            assert s != e
+            surrogates[k, e].add(s)
+    assert all(len(s) == 1 for s in surrogates.values())  # one entity, one surrogate
+    assert {k for k in surrogates} >= set(flat) and len(set().union(*surrogates.values())) == len(surrogates)
+    rest = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+    for e in ENTITIES["iban"]:
+        (s,) = surrogates["iban", e]
+        assert s[:2] == e[:2] and [c == " " for c in s] == [c == " " for c in e] and (rest(s.replace(" ", "")) == 1) == (rest(e.replace(" ", "")) == 1)
+
+
+def test_attempts_end(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"m{i % 10}@{'abcdefghijklmnopqrstuvwxyz'[i // 10]}.co") for i in range(260)], "doc_id long, text string")
+    got = [r["text"] for r in pii.anonymise(rows).collect()]
+    assert len(set(got)) == 260 and not set(got) & {r["text"] for r in rows.collect()}
+    monkeypatch.setattr(pii, "ATTEMPTS", 2)
+    monkeypatch.setattr(pii, "surrogate", lambda key: (F.lit("4"), F.lit("")))
+    with pytest.raises(ValueError):
+        pii.anonymise(spark.createDataFrame([(1, "078-05-1120"), (2, "078-05-1121")], "doc_id long, text string"))
+
+
 def test_names_outgrow_the_pools(spark):
     value, digest = pii.surrogate("key")
     tries = spark.range(60).select(F.lit("person").alias("type"), F.lit("m|νίκου").alias("canon"), F.col("id").cast("int").alias("attempt"))
@@ -372,6 +546,56 @@ def test_forest_on_held_out_findings(forest):
     assert np.mean((forest.score(np.array(X)) >= 0.5) == np.array(y)) > 0.97
 
 
+def test_evidence():
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    jwt = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=") + ".eyJzdWIiOiIxIn0." + "x" * 20
+    cases = [
+        ('token = "%s"', key, 1), ("commit: %s", key, 0), ("see %s", key, None), ("%s", "AKIA" + "Q3" * 8, 1), ("a %s", "AKIA" + "Q3" * 7, None), ("%s", jwt, 1), ("%s", "eyJhbGci.b.c", 0),
+        ("%s", "4111111111111111", 0), ("%s", "4111111111111112", None), ("a.b@%s", "mail.example-host.com", 0), ("https://x.org/%s", "a1" * 10, 0), ("%s", "123e4567-e89b-42d3-a456-426614174000", 0),
+        ('password = "%s"', "your_password_here_1", 0), ("%s", "----------------1", 0),
+    ]
+    for form, value, label in cases:
+        text = "some words " + form % value + " more"
+        a = text.index(value)
+        assert secret_scan.evidence(text, a, a + len(value)) == label, (form, value)
+
+
+def test_learned_forest_on_held_out_documents(spark):
+    """Learned from some documents, measured on findings of others, against a plain walk down the trees."""
+    r = np.random.default_rng(31)
+    hexa = lambda n: "".join(r.choice(list("0123456789abcdef"), n))
+    word = lambda: "".join(r.choice(["ba", "lo", "mi", "ter"], 3))
+    rows = []
+    for i in range(600):
+        text = " ".join(word() for _ in range(12)) + " "
+        text += [f'token = "{hexa(40)}"', f"commit {hexa(40)}", f"to x.{i}@mail{i}.example.com", f"{word()}_{word()}_{word()}_{word()}7", f'api_key: "{hexa(32)}"'][i % 5]
+        rows.append((i, text + " " + word()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    forest = secret_scan.learn(docs.filter("doc_id < 400"))
+    assert word() in forest.words and len(forest.words) <= secret_scan.DICTIONARY + 200
+    got = secret_scan.scan(docs.filter("doc_id >= 400"), forest).collect()
+    want = {i: int(i % 5 in (0, 4)) for i in range(400, 600)}
+    assert sum(g["n_secrets"] == want[g["doc_id"]] for g in got) >= 198
+
+    def walk(tree, x):
+        feature, cut, left, right, share = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if x[feature[at]] <= cut[at] else right[at]
+        return share[at]
+
+    for g in got[:40]:
+        text = rows[g["doc_id"]][1]
+        for f in g["findings"]:
+            a, b = f["start"], f["end"]
+            x = secret_scan.features(text[a:b], text[max(0, a - 40) : a], text[b : b + 40], forest.words)
+            assert abs(f["score"] - np.mean([walk(t, x) for t in forest.trees])) < 1e-12
+    long = ("word " * 200_000) + f'token = "{hexa(40)}"'
+    twice = secret_scan.scan(spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string"), forest).collect()
+    assert [x["n_secrets"] for x in twice] == [1, 1] and twice[0] == twice[1]
+    assert secret_scan.scan(docs.limit(0), secret_scan.learn(docs.limit(0))).count() == 0
+
+
 def test_scan_and_redact(spark, docs, empty, forest):
     key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     rows = [(1, f'some words token = "{key}" and more'), (2, f"sha1 {key} of the commit"), (3, None), (4, ""), (5, "password: hunter2x!9"), (6, "/usr/local/lib/python3/file_name.py")]

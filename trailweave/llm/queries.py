@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from trailweave.llm import bpe, fingerprints, language, packing, pii, quality_ru
 from trailweave.llm.common import crc_of_id, table
 
 #: Folder of the public vocabulary files; a parameter, never a copy.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +56,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secret_scan.fit(*secret_scan.labelled_findings())
-    return secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"), forest)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return secret_scan.scan(docs, secret_scan.learn(docs))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
