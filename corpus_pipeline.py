@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked in their texts."""
     importable(spark)
-    return secret_scan.redact(docs, secret_scan.fit(*secret_scan.labelled_findings()))
+    return secret_scan.redact(docs, secret_scan.learn(docs.select("doc_id", "text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
