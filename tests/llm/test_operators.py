@@ -97,14 +97,11 @@ def test_gradient_against_enumeration():
             assert abs(got[i] - (likelihood(up) - likelihood(down)) / 2e-5) < 1e-5
 
 
-def test_document_scores_against_plain_recursion(spark):
-    r = np.random.default_rng(22)
-    words = [f"w{i}" for i in range(30)]
-    chain = toxicity.Chain({w: float(x) for w, x in zip(words, r.normal(size=30))}, r.normal(size=16), r.normal(size=(2, 2)), r.normal(size=2), (-1.0, 0.4, 0.7))
-    texts = [" ".join(r.choice(words, n)) for n in (1, 2, 63, 64, 65, 130, 700)]
-    got = {x["doc_id"]: x for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
-    for i, t in enumerate(texts):
-        e = np.array([chain.word[w] + chain.shape[toxicity.shape(w)] for w in t.split()])
+def plain_score(words, chain):
+    """A document's score and the marginals of its words, token by token."""
+    weight = lambda w: sum(chain.word.get(c, 0.0) for c in toxicity.cues(w)) + chain.shape[toxicity.shape(w)]
+    e, p, f1, f2 = np.clip([weight(w) for w in words], -30, 30), np.zeros(0), -12.0, -12.0
+    if words:
         T, f, b = np.exp(chain.trans), [np.exp(chain.start) * [1, np.exp(e[0])]], [np.ones(2)]
         for x in e[1:]:
             f.append((f[-1] @ T) * [1, np.exp(x)])
@@ -114,8 +111,19 @@ def test_document_scores_against_plain_recursion(spark):
             b[-1] /= b[-1].sum()
         p = np.array([(u * v)[1] / (u * v).sum() for u, v in zip(f, b[::-1])])
         top = np.clip(p.max(), 1e-5, 1 - 1e-5)
-        z = -1.0 + 0.4 * np.log(top / (1 - top)) + 0.7 * np.log(max(p.sum(), 6e-6))
-        assert abs(got[i]["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+        f1, f2 = np.log(top / (1 - top)), np.log(max(p.sum(), 6e-6))
+    return 1 / (1 + np.exp(-np.clip(np.dot(chain.doc, [1, f1, f2]), -30, 30))), p
+
+
+def test_document_scores_against_plain_recursion(spark):
+    r = np.random.default_rng(22)
+    words = [f"w{i}" for i in range(30)]
+    chain = toxicity.Chain({w: float(x) for w, x in zip(words, r.normal(size=30))}, r.normal(size=16), r.normal(size=(2, 2)), r.normal(size=2), (-1.0, 0.4, 0.7))
+    texts = [" ".join(r.choice(words, n)) for n in (1, 2, 63, 64, 65, 130, 700)]
+    got = {x["doc_id"]: x for x in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).collect()}
+    for i, t in enumerate(texts):
+        score, p = plain_score(t.split(), chain)
+        assert abs(got[i]["score"] - score) < 1e-9
         tagged = np.flatnonzero(p >= toxicity.SPAN)
         assert got[i]["n_spans"] == sum(k == 0 or tagged[k] != tagged[k - 1] + 1 for k in range(len(tagged)))
 
@@ -715,3 +723,38 @@ def test_layout_of_sizes():
         assert sum(b - a + 1 for _, a, b, _ in whole) == len(rows)
         assert {**rows, **parts} == {(s, k): list(range(s)) for s, c in sizes.items() for k in range(c)}
         assert all(used[i] <= room[i] for i in range(8))
+
+
+def _least_cut(sizes, quota):
+    """The fewest linked pairs in different shards, over all layouts with these quotas."""
+    best = {tuple(quota): 0}
+    for n in sizes:
+        after = {}
+        for room, cost in best.items():
+            for part in itertools.product(*[range(min(n, r) + 1) for r in room]):
+                if sum(part) == n:
+                    left = tuple(r - p for r, p in zip(room, part))
+                    c = cost + (n * (n - 1) - sum(p * (p - 1) for p in part)) // 2
+                    after[left] = min(after.get(left, c), c)
+        best = after
+    return min(best.values())
+
+
+@pytest.mark.parametrize("sizes,alone", [([4, 4, 3, 2], 5), ([9, 2, 2], 2), ([5, 5, 5], 0), ([7, 3, 2, 2], 1)])
+def test_cut_is_the_least_on_small_graphs(spark, sizes, alone):
+    rows = [(g * 100 + i, f"group {g}") for g, n in enumerate(sizes) for i in range(n)] + [(9000 + i, f"own {i}") for i in range(alone)]
+    placed = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), F.col("doc_id"), 3)
+    got = sharding.cut(placed, F.col("text")).first()
+    n = len(rows)
+    quota = [n // 3 + (s < n % 3) for s in range(3)]
+    assert sorted(Counter(r["shard"] for r in placed.collect()).values()) == sorted(quota)
+    assert (got["groups"], got["edges"]) == (len(sizes), sum(x * (x - 1) // 2 for x in sizes))
+    assert got["cut_edges"] == _least_cut(sizes, quota)
+
+
+def test_shards_of_repeated_rows(spark):
+    rows = [(1, "same")] * 50 + [(None, "same")] * 10 + [(2, None)] * 20 + [(i, f"t{i}") for i in range(40)]
+    placed = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), F.struct("doc_id", "text"), 4).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in placed) == Counter(rows)
+    assert set(Counter(r["shard"] for r in placed).values()) == {30}
+    assert all(sorted(r["slot"] for r in placed if r["shard"] == s) == list(range(30)) for s in range(4))

@@ -1,57 +1,104 @@
-"""The pipeline's stages, each against its own input."""
+"""The pipeline's stages, each against a plain version on its own input."""
 
 import itertools
 import os
 import re
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from tests.llm.test_operators import _shingles
+from tests.llm.test_operators import _shingles, plain_score
+from trailweave.llm import secret_scan, toxicity
+from trailweave.llm import words as W
+from trailweave.llm.queries import TOKENIZERS
 
 DATA = os.environ.get("TRAILWEAVE_DATA", "/root/testdata/sf0.001")
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
-def test_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns, seen = docs.columns, []
-    for k, (_, stage) in enumerate(C.STAGES):
-        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
-        docs = spark.read.parquet(str(tmp_path / str(k)))
-        seen.append({r["doc_id"]: r["text"] for r in docs.collect()} if k < 4 else docs.collect())
-        assert k == 4 or docs.columns == columns
-    quality, toxic, single, masked, pieces = seen
-    assert all(len(t.split()) >= 10 for t in quality.values()) and set(toxic) <= set(quality)
-    parent = {i: i for i in toxic}
+def _rejected(text):
+    """Does a rule of the standard policy fail?"""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars = len(w), sum(map(len, w))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(w[k : k + 5]) for k in range(n - 4))
+    repeated = len({k + o for k in range(n - 4) if windows[tuple(w[k : k + 5])] > 1 for o in range(5)})
+    symbols, again = sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines))
+    return n < 10 or 100 * repeated > 20 * n or 10 * symbols > 3 * n or 10 * again > 3 * len(lines) or chars < 2 * n or chars > 25 * n
+
+
+def _groups(texts):
+    """The least id of each document's group of near duplicates."""
+    parent = {i: i for i in texts}
 
     def find(a):
         while parent[a] != a:
             a = parent[a]
         return a
 
-    sets = {i: _shingles(t) for i, t in toxic.items()}
-    for i, j in itertools.combinations(sorted(toxic), 2):
-        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+    sets = {i: _shingles(t) for i, t in texts.items()}
+    for i, j in itertools.combinations(sorted(texts), 2):
+        if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
             x, y = find(i), find(j)
             parent[max(x, y)] = min(x, y)
-    assert set(single) == {find(i) for i in toxic}
-    assert set(masked) == set(single)
-    for i, t in masked.items():
-        assert not re.search(r'token = "[0-9a-f]{40}"', t)
-        assert t == single[i] or "[SECRET]" in t
-    got = {}
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
+def test_stages(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 20 == 0, F.concat("text", F.lit(' token = "'), F.sha1("text"), F.lit('"'))).otherwise(F.col("text")))
+    columns, tables, seen = docs.columns, [docs], [{r["doc_id"]: r["text"] for r in docs.collect()}]
+    for k, (_, stage) in enumerate(C.STAGES):
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        tables.append(docs)
+        seen.append({r["doc_id"]: r["text"] for r in docs.collect()} if k < 4 else docs.collect())
+        assert k == 4 or docs.columns == columns
+    base, quality, toxic, single, masked, pieces = seen
+    assert quality == {i: t for i, t in base.items() if not _rejected(t or "")}
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    chain = toxicity.train(tables[1].select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    assert toxic == {i: t for i, t in quality.items() if plain_score(W.words(t), chain)[0] < 0.5} and len(toxic) < len(quality)
+    groups = _groups(toxic)
+    assert single == {i: t for i, t in toxic.items() if groups[i] == i}
+    forest = secret_scan.learn(tables[3].select("doc_id", "text"))
+    for i, t in single.items():
+        want, at = "", 0
+        for a, b, score in secret_scan.findings(t, forest):
+            if score >= secret_scan.LIMIT:
+                want, at = want + t[at:a] + "[SECRET]", b
+        assert masked[i] == want + t[at:] and not re.search(r'token = "[0-9a-f]{40}"', masked[i])
+    assert set(masked) == set(single) and any("[SECRET]" in t for t in masked.values())
+    tokenizer = Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json")
+    got, sequences = defaultdict(list), defaultdict(list)
     for p in pieces:
-        got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["length"]
-    assert set(got) == set(masked) and all(got[p["doc_id"]] == p["doc_tokens"] for p in pieces)
+        got[p["doc_id"]].append((p["start"], p["ids"]))
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    assert {i: [x for _, ids in sorted(v) for x in ids] for i, v in got.items()} == {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in masked.items()}
+    for s in sequences.values():
+        ends = np.cumsum([n for _, n in sorted(s)])
+        assert [o for o, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 2048
 
 
-def test_stages_on_nulls_and_empty_tables(spark, docs, empty, tmp_path):
+def test_stages_on_nulls_and_empty_tables(spark, docs, texts, empty, tmp_path):
     docs.select("doc_id").selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic").limit(3).write.parquet(str(tmp_path / "labels.parquet"))
-    for name, table in (("some", docs), ("none", empty)):
+    odd = docs.unionByName(docs.filter("doc_id < 3")).unionByName(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(None).cast("long")))
+    for name in ("hit", "k", "id", "mark", "doc", "gone", "n_words", "kept", "score", "shard"):
+        odd = odd.withColumn(name, F.lit("x"))
+    for name, table in (("some", docs), ("odd", odd), ("none", empty)):
         d = table
         for k, (_, stage) in enumerate(C.STAGES):
             place = str(tmp_path / name / str(k))
             stage(spark, d, str(tmp_path)).write.parquet(place)
-            d = spark.read.parquet(place)
+            after = spark.read.parquet(place)
+            assert k == 4 or (after.columns == d.columns and after.exceptAll(d).filter("text NOT LIKE '%[SECRET]%'").isEmpty())
+            d = after
         assert (d.count() == 0) == (name == "none")
+        if name == "odd":
+            left = [r["doc_id"] for r in spark.read.parquet(str(tmp_path / name / "2")).collect()]
+            assert None in left and len(left) == len(set(left)) and {0, 1, 2, 5} & set(left)

@@ -139,6 +139,15 @@ def settle(state: DataFrame, quota: list[int]) -> tuple[DataFrame, DataFrame]:
     return state.select("grp", "home").join(placed, "grp"), written(cut, "shard-cut")
 
 
+def cut(placed: DataFrame, key: Column) -> DataFrame:
+    """What a layout cuts, in one row: linked groups, groups in several shards, pairs of linked
+    rows (edges), and pairs in different shards. Groups are counted by shard first."""
+    parts = placed.filter(key.isNotNull()).groupBy(key.alias("_g"), "shard").agg(F.count("*").cast("double").alias("_n"))
+    pairs = lambda n: n * (n - 1) / 2
+    groups = parts.groupBy("_g").agg(F.sum("_n").alias("n"), F.count("*").alias("shards"), F.sum(pairs(F.col("_n"))).alias("kept")).filter("n > 1")
+    return groups.agg(F.count("*").alias("groups"), F.count_if(F.col("shards") > 1).alias("cut_groups"), F.coalesce(F.sum(pairs(F.col("n"))), F.lit(0.0)).alias("edges"), F.coalesce(F.sum(pairs(F.col("n")) - F.col("kept")), F.lit(0.0)).alias("cut_edges"))
+
+
 def assign(docs: DataFrame, key: Column, order: Column, shards: int = 40) -> DataFrame:
     """Give every row of ``docs`` a shard so that shard row counts differ by one at most.
 
