@@ -118,6 +118,13 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return measure(docs, text).withColumn("failures", bits)
 
 
+def stored(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The ledger of ``docs`` written to ``path`` without texts: policies and ablations of any
+    version read it and no text again."""
+    ledger(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), text).select(key, *MEASURES, "failures").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def fails(policy: Policy) -> Column:
     """True where the ledger row fails the policy."""
     return F.col("failures").bitwiseAND(F.lit(policy.mask).cast("long")) != 0

@@ -45,7 +45,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     entries = quality_rules.apply_policy(quality_rules.ledger(docs))
     return entries.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
         quality_rules.fails(quality_rules.BASE).alias("base_failed"),
         "kept", "failures",
     )
@@ -113,7 +113,7 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
                 + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
                 + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END)
                 + (CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
        failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
 """,
 }
