@@ -135,6 +135,7 @@ def prepared(edges: DataFrame, cfg: KPathConfig) -> DataFrame:
     The out-edges of a hub are dealt to ``slices`` salts; the hub's state is sent to each, so
     no task gets all edges of a vertex. Hubs are few by definition.
     """
+    edges = written(edges.select("src", "dst"), "kpath-given")
     few = layout.hubs(edges, "src").select("src", F.ceil(F.col("degree") * layout.HUBS / edges.count()).cast("int").alias("slices"))
     n = F.coalesce("slices", F.lit(1))
     out = edges.join(F.broadcast(few), "src", "left")
