@@ -271,6 +271,49 @@ def test_blocks_and_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
 
 
+def test_groups_of_large_buckets(spark, monkeypatch):
+    """Blocks of four classes: groups and counts as without blocks, whatever stays apart in a bucket."""
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    r = np.random.default_rng(41)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{x}" for x in r.integers(500, size=90)]
+        for i in range(36):  # some reach the threshold through others only, some not at all
+            w = list(base)
+            for k in r.choice(90, int(r.integers(0, 4)), replace=False):
+                w[k] = f"z{r.integers(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, links, parent = [_shingles(t) for _, t in rows], Counter(), list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            links[i] += 1
+            links[j] += 1
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in range(len(rows))}
+    assert 3 < len(set(want.values())) < len(rows)
+    assert {x["doc_id"]: x["class_id"] for x in similarity.groups(d).collect()} == want
+    got = similarity.join(d).collect()
+    assert {x["doc_id"]: x["class_id"] for x in got} == want and {x["doc_id"]: x["n_links"] for x in got} == {i: links[i] for i in want}
+
+
+def test_blocks_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_SHINGLES", 60)
+    monkeypatch.setattr(similarity, "COLUMNS", 64)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[:100] + [f"x{i}"] + base[100:])) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x["class_id"], x["n_links"]) for x in similarity.join(d).collect()} == {(0, 11)}
+    assert {x["class_id"] for x in similarity.groups(d).collect()} == {0}
+
+
 def test_pruning_table_is_the_posterior():
     least = similarity.least_matches(0.8, 1e-6)
     grid = np.linspace(0, 1, 20001)[1:-1]
@@ -433,6 +476,18 @@ def test_quality_measurements(spark, docs, texts, empty):
     assert kept.columns == clash.columns and {r["n_words"] for r in kept.collect()} == {-1}
 
 
+def test_stored_ledger(spark, docs, tmp_path):
+    twice = docs.unionByName(docs)
+    entries = quality_rules.stored(twice, str(tmp_path / "ledger"))
+    assert "text" not in entries.columns and entries.count() == twice.count()
+    for rules in (("few_words",), tuple(n for n, _ in quality_rules.RULES)):
+        p = quality_rules.Policy("t", rules)
+        kept = sorted((r["doc_id"] for r in quality_rules.keep(twice, p).collect()))
+        assert kept == sorted(r["doc_id"] for r in quality_rules.apply_policy(entries, p).filter("kept").collect())
+        got = {r["rule"]: r["failed"] for r in quality_rules.ablations(entries, p).collect()}
+        assert got == {r["rule"]: r["failed"] for r in quality_rules.ablations(quality_rules.ledger(twice), p).collect()}
+
+
 def test_ablations(spark):
     rows = spark.createDataFrame([(0,), (1,), (3,), (2,), (4,)], "failures long")
     p = quality_rules.Policy("t", ("few_words", "repeated_windows"))

@@ -96,12 +96,16 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     return np.array(out)
 
 
-def survivors(sig: np.ndarray, side: np.ndarray, band: int, threshold: float, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of a block that this band owns and that outlive the pruning."""
-    if side.any():
-        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
+def survivors(sig: np.ndarray, side: np.ndarray, band: int, threshold: float, tolerance: float = TOLERANCE, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of a block that this band owns and that outlive the pruning. Sides 1 and 2
+    are paired with each other, side 0 with itself; rows of one ``label`` are not paired."""
+    if side[0]:
+        i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 1), np.flatnonzero(side == 2), indexing="ij"))
     else:
         i, j = np.triu_indices(len(sig), 1)
+    if label is not None:
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
     least, hits = least_matches(threshold, tolerance), np.zeros(len(i), dtype=np.int32)
     for k in range(HASHES // STEP):
         part = sig[:, k * STEP : (k + 1) * STEP]
@@ -144,7 +148,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
                 {"doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()), "cid": pa.array(keys, pa.binary()), "n_shingles": pa.array([len(s) for s in sets], pa.int32()), "sig": pa.array([signature(s) if len(s) else None for s in sets], pa.binary())}
             )
 
-    return _marked(docs).mapInArrow(run, "doc_id long, mark long, cid binary, n_shingles int, sig binary")
+    return _marked(docs).mapInArrow(W.released(run), "doc_id long, mark long, cid binary, n_shingles int, sig binary")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -153,18 +157,21 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def _pruned(blocks: DataFrame, threshold: float) -> DataFrame:
-    """For every class with candidates left in a block: its partners there (each pair once)."""
+    """For every class with candidates left in a block: its partners there (each pair once).
+    With a column ``label``, only pairs of different labels."""
+    labelled = "label" in blocks.columns
 
     def run(batches):
         for t, edges in _groups(batches, "blk"):
             cid, side, band = t.column("cid").to_pylist(), t.column("side").to_numpy(), t.column("band").to_numpy()
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
             blk = t.column("blk").to_numpy()
+            label = np.unique(np.array(t.column("label").to_pylist(), dtype=object), return_inverse=True)[1] if labelled else None
             out = ([], [], [])
             for a, b in zip(edges, np.append(edges[1:], len(t))):
                 if b - a < 2:
                     continue
-                i, j = survivors(sig[a:b], side[a:b], band[a], threshold)
+                i, j = survivors(sig[a:b], side[a:b], band[a], threshold, label=label[a:b] if labelled else None)
                 if not len(i):
                     continue
                 partners: dict[int, list] = {}
@@ -177,12 +184,13 @@ def _pruned(blocks: DataFrame, threshold: float) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_pydict({"blk": pa.array(out[0], pa.int64()), "cid": pa.array(out[1], pa.binary()), "partners": pa.array(out[2], pa.list_(pa.binary()))})
 
-    return blocks.mapInArrow(run, "blk long, cid binary, partners array<binary>")
+    return blocks.mapInArrow(W.released(run), "blk long, cid binary, partners array<binary>")
 
 
-def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
+def _verified(blocks: DataFrame, threshold: float, count: bool = True) -> DataFrame:
     """Exact links of each block: per class the copies it links to, and a class that all
-    linked classes of its part of the block share."""
+    linked classes of its part of the block share. Without ``count`` pairs that are connected
+    already are not compared, and the numbers are of those that were."""
 
     def run(batches):
         memo = W.WordHashes()
@@ -191,32 +199,22 @@ def _verified(blocks: DataFrame, threshold: float) -> DataFrame:
             out = ([], [], [], [])
             for a, b in zip(edges, np.append(edges[1:], len(t))):
                 rows = {c: (p, n, x) for c, p, n, x in zip(*(col[a:b] for col in cols))}  # a copy of a row counts once
-                for row in _links(rows, memo, threshold):
+                for row in _links(rows, memo, threshold, count):
                     for col, v in zip(out, row):
                         col.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_pydict({"cid": pa.array(out[0], pa.binary()), "links": pa.array(out[1], pa.int64()), "classes": pa.array(out[2], pa.int64()), "root": pa.array(out[3], pa.binary())})
 
-    return blocks.mapInArrow(run, "cid binary, links long, classes long, root binary")
+    return blocks.mapInArrow(W.released(run), "cid binary, links long, classes long, root binary")
 
 
-def _links(rows: dict, memo: W.WordHashes, threshold: float):
+def _links(rows: dict, memo: W.WordHashes, threshold: float, count: bool = True):
     names = sorted(rows)
     at = {c: i for i, c in enumerate(names)}
     sets = shingles([rows[c][2] for c in names], memo)
     size = np.array([len(s) for s in sets])
     copies = np.array([rows[c][1] for c in names], dtype=np.int64)
     links, classes, root = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64), list(range(len(names)))
-    pairs = [(at[c], at[p]) for c in names for p in rows[c][0] if p in at]
-    if not pairs:
-        return
-    left, right = (np.array(x, dtype=np.int64) for x in zip(*pairs))
-    inter = _overlaps(sets, left, right)
-    good = inter >= threshold * (size[left] + size[right] - inter) - 1e-9
-    left, right = left[good], right[good]
-    for i, j in ((left, right), (right, left)):
-        np.add.at(links, i, copies[j])
-        np.add.at(classes, i, 1)
 
     def find(i):
         while root[i] != i:
@@ -224,9 +222,26 @@ def _links(rows: dict, memo: W.WordHashes, threshold: float):
             i = root[i]
         return i
 
-    for i, j in zip(left.tolist(), right.tolist()):
-        x, y = find(i), find(j)
-        root[max(x, y)] = min(x, y)
+    pairs = [(at[c], at[p]) for c in names for p in rows[c][0] if p in at]
+    turns = [pairs]
+    if not count:  # first a pair for each class, then what these have not connected
+        seen: set[int] = set()
+        lead = [p for p in pairs if not seen.issuperset(p) and not seen.update(p)]
+        turns = [lead, pairs]
+    for k, turn in enumerate(turns):
+        turn = [(i, j) for i, j in turn if find(i) != find(j)] if k else turn
+        if not turn:
+            continue
+        left, right = (np.array(x, dtype=np.int64) for x in zip(*turn))
+        inter = _overlaps(sets, left, right)
+        good = inter >= threshold * (size[left] + size[right] - inter) - 1e-9
+        left, right = left[good], right[good]
+        for i, j in ((left, right), (right, left)):
+            np.add.at(links, i, copies[j])
+            np.add.at(classes, i, 1)
+        for i, j in zip(left.tolist(), right.tolist()):
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
     for c in names:
         i = at[c]
         if classes[i]:
@@ -272,7 +287,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = layout.hub_join(both, "b", labels.withColumnRenamed("node", "b"), few).groupBy("a").agg(F.min("label").alias("seen"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        step = layout.hub_join(step, "label", labels.select(F.col("node").alias("label"), F.col("label").alias("above")), how="left")
+        step = layout.hub_join(step, "label", labels.select(F.col("node").alias("label"), F.col("label").alias("above")), layout.hubs(labels, "label"), "left")
         step = step.select("node", "old", F.least("label", "above").alias("label"))
         labels = written(step, "cc-labels")
         if labels.filter("old <> label").isEmpty():
@@ -280,16 +295,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "label")
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, class_id (least id of its group of linked documents),
-    copy_id (least id of the documents with the same words), n_links (other documents
-    whose similarity is at least the threshold, copies included).
-
-    Words are lower-cased runs of letters, digits and underscores. Null and empty texts,
-    and texts without words, link to nothing and are groups of their own. Rows that repeat
-    are copies of each other. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
+def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The hashed rows; the classes of rows with the same words; and the classes of each bucket
+    (bucket, band, n, nb: number of blocks, cid, sig)."""
     hashed = written(_hashed(docs), "join-hashed")
     classes = written(
         hashed.filter("n_shingles > 0").groupBy("cid").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
@@ -300,25 +308,117 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.min("band").alias("band"), F.bit_xor(F.xxhash64("cid")).alias("f1"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("f2")).filter("n > 1")
     # Buckets with the same members are one: the one of the least band stays.
     nb = F.ceil(F.greatest(F.col("n") / BLOCK, F.least(F.col("n"), F.col("shingles") / BLOCK_SHINGLES))).cast("int")
-    kept = sizes.groupBy("n", "shingles", "f1", "f2").agg(F.min(F.struct("band", "bucket")).alias("m")).select(nb.alias("nb"), F.col("m.bucket").alias("bucket"))
-    members = bands.drop("n_shingles").join(kept, "bucket").join(classes.select("cid", "sig"), "cid")
-    own = F.pmod(F.xxhash64("cid", F.lit(2)), F.col("nb")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    n = 4 * partitions(spark)
-    blocks = members.select(F.xxhash64("bucket", low, high).alias("blk"), "band", (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "sig")
-    blocks = blocks.repartition(n, "blk").sortWithinPartitions("blk")
+    kept = sizes.groupBy("n", "shingles", "f1", "f2").agg(F.min(F.struct("band", "bucket")).alias("m")).select("n", nb.alias("nb"), F.col("m.bucket").alias("bucket"))
+    return hashed, classes, bands.drop("n_shingles").join(kept, "bucket").join(classes.select("cid", "sig"), "cid")
+
+
+def _dealt(nb: str, salt: int):
+    return F.pmod(F.xxhash64("cid", F.lit(salt)), F.col(nb)).cast("int")
+
+
+def _pairs_of_blocks(members: DataFrame, nb: str) -> DataFrame:
+    """Every member once for each block of its bucket: all pairs of the bucket meet in one block."""
+    members = members.withColumn("own", _dealt(nb, 2)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(nb) - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return members.withColumn("blk", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", side)
+
+
+def _compared(docs: DataFrame, classes: DataFrame, blocks: DataFrame, threshold: float, count: bool) -> DataFrame:
+    """Links of the blocks (blk, side, band, cid, sig, perhaps label): cid, links, classes, root."""
+    n = 4 * partitions(docs.sparkSession)
+    blocks = blocks.select("blk", "band", "side", "cid", "sig", *[c for c in blocks.columns if c == "label"]).repartition(n, "blk").sortWithinPartitions("blk")
     left = written(_pruned(blocks, threshold), "join-pruned")
     wanted = written(left.join(classes.select("cid", _key("rep.doc_id", "rep.mark"), "size"), "cid").select("blk", "cid", "partners", "size", "key.*"), "join-wanted")
     # Only texts that a block may want are shipped, once each; rows that repeat fall together.
     texts = _marked(docs).select(_key("doc_id", "mark"), "text").select("key.*", "text")
     texts = maybe(texts, sieve(wanted), "hit").filter("hit").groupBy("id", "none", "mark").agg(F.first("text").alias("text"))
     verify = wanted.drop("k").join(texts, ["id", "none", "mark"]).select("blk", "cid", "partners", "size", "text").repartition(n, "blk").sortWithinPartitions("blk")
-    links = written(_verified(verify, threshold), "join-links")
-    labels = components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+    return written(_verified(verify, threshold, count), "join-links")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")))
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: doc_id, class_id (least id of its group of linked documents),
+    copy_id (least id of the documents with the same words), n_links (other documents
+    whose similarity is at least the threshold, copies included).
+
+    Words are lower-cased runs of letters, digits and underscores. Null and empty texts,
+    and texts without words, link to nothing and are groups of their own. Rows that repeat
+    are copies of each other. An empty table gives no rows. To count all links every pair of
+    a bucket is compared; ``groups`` spares most of that.
+    """
+    hashed, classes, members = _members(docs)
+    links = _compared(docs, classes, _pairs_of_blocks(members, "nb"), threshold, True)
     per = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    info = classes.select("cid", "size", F.col("rep.doc_id").alias("copy_id")).join(per, "cid").join(labels, F.col("cid") == F.col("node"), "left").select("cid", "size", "copy_id", "links", F.coalesce("label", "cid").alias("label"))
-    linked = written(info, "join-linked")
+    return _rows(hashed, classes, _labels(links), per)
+
+
+def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """As ``join`` without n_links, exactly the same groups, but pairs that are connected
+    already are neither shipped nor compared.
+
+    Large buckets first compare within blocks, then one class of each label in blocks, until
+    that connects nothing more. What is still apart in a bucket is compared in full: the
+    classes outside its largest label with each other and with that label's.
+    """
+    hashed, classes, members = _members(docs)
+    members = written(members, "join-members")
+    found = [_compared(docs, classes, members.withColumn("own", _dealt("nb", 2)).withColumn("blk", F.xxhash64("bucket", "own")).withColumn("side", F.lit(0)), threshold, False)]
+    large = members.filter("nb > 1")
+    labels = _labels(found[0])
+    salt = 3
+    while not large.isEmpty():
+        # Buckets of several labels; a class without links is its own label.
+        large = large.drop("label", "held").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        held = large.groupBy("bucket", "label").agg(F.count("*").alias("held"), F.min("cid").alias("leader"))
+        apart = held.groupBy("bucket").agg(F.count("*").alias("labels"), F.max(F.struct("held", "label")).alias("top")).filter("labels > 1")
+        large = written(large.join(apart, "bucket"), "join-large")
+        if large.isEmpty():
+            break
+        leaders = large.join(held.select("bucket", F.col("leader").alias("cid")), ["bucket", "cid"], "left_semi").withColumn("parts", F.ceil(F.col("labels") / BLOCK).cast("int"))
+        blocks = leaders.withColumn("own", _dealt("parts", salt)).withColumn("blk", F.xxhash64("bucket", "own")).withColumn("side", F.lit(0))
+        links = _compared(docs, classes, blocks, threshold, False)
+        found.append(links)
+        salt += 1
+        rest = large
+        large = large.drop("labels", "top")
+        if links.isEmpty():
+            found.append(_compared(docs, classes, _rest(rest), threshold, False))
+            break
+        labels = written(_labels(_united(found)), "join-labels")
+    return _rows(hashed, classes, _labels(_united(found)), None).drop("n_links")
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0].select("cid", "root")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("cid", "root"))
+    return out
+
+
+def _rest(large: DataFrame) -> DataFrame:
+    """Blocks in which every pair of classes of a bucket with different labels meets, unless
+    both are of its largest label."""
+    share = F.col("nb") / F.col("n")  # blocks for each member
+    large = large.withColumn("few", F.ceil((F.col("n") - F.col("top.held")) * share).cast("int")).withColumn("many", F.ceil(F.col("top.held") * share).cast("int"))
+    cols = ["band", "cid", "sig", "label", "blk", "side"]
+    others, most = large.filter("label <> top.label"), large.filter("label = top.label")
+    among = _pairs_of_blocks(others, "few")
+    one = others.withColumn("own", _dealt("few", 2)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    two = most.withColumn("other", _dealt("many", 2)).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
+    blk = F.xxhash64("bucket", "own", "other", F.lit("most"))
+    across = one.withColumn("side", F.lit(1)).select("bucket", "own", "other", *[c for c in cols if c != "blk"]).unionByName(two.withColumn("side", F.lit(2)).select("bucket", "own", "other", *[c for c in cols if c != "blk"]))
+    return among.select(cols).unionByName(across.withColumn("blk", blk).select(cols))
+
+
+def _rows(hashed: DataFrame, classes: DataFrame, labels: DataFrame, per: DataFrame | None) -> DataFrame:
+    """A row for each document from the labels (and link counts) of linked classes."""
+    linked = labels.select(F.col("node").alias("cid"), "label")
+    linked = per.join(linked, "cid", "left") if per is not None else linked.withColumn("links", F.lit(0).cast("long"))
+    linked = written(linked.join(classes.select("cid", F.col("rep.doc_id").alias("copy_id")), "cid").select("cid", "copy_id", "links", F.coalesce("label", "cid").alias("label")), "join-linked")
     least = linked.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     linked = layout.hub_join(linked, "label", least).select("cid", "links", "class_id")
     info = classes.select("cid", "size", F.col("rep.doc_id").alias("copy_id")).join(linked, "cid", "left")
@@ -343,7 +443,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group stays, the one of the least id, with all its columns. Rows
     that repeat an id are one document: the one of the least text hash stays. Rows without
     an id are judged by nothing and stay. Only rows that may have to go are shuffled."""
-    linked = written(join(docs, threshold), "join-rows").filter("doc_id IS NOT NULL")
+    linked = written(groups(docs, threshold), "join-rows").filter("doc_id IS NOT NULL")
     again = linked.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(False).alias("gone"))
     gone = linked.filter("doc_id <> class_id").select("doc_id", F.lit(True).alias("gone"))
     odd = written(gone.unionByName(again).groupBy("doc_id").agg(F.max("gone").alias("gone")), "join-odd")
