@@ -276,7 +276,7 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
         for ids, texts in W.chunks(batches, "doc_id", "text", size=CHUNK):
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(c.encode_ids(texts), pa.list_(pa.int32()))})
 
-    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(W.released(run), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -289,7 +289,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
             lists = [x or [] for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "bytes": pa.array(c.decode(lists), pa.binary())})
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(W.released(run), "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
@@ -302,7 +302,7 @@ def digests(docs: DataFrame, path: str, pattern: str = PATTERN) -> DataFrame:
             lens, spelled, decoded = c.digests(texts)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(lens, pa.int64()), "ids_sha256": spelled, "decoded_sha256": decoded})
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _texts(docs).mapInArrow(W.released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -13,9 +13,14 @@ from trailweave.sources.shared import shared_dir, written
 __all__ = ["crc_of_id", "importable", "partitions", "shared_dir", "table", "written"]
 
 
+#: Bytes of an Arrow batch at most: a worker holds few texts at once besides a long one.
+BATCH_BYTES = 4 << 20
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package wherever the driver was started.
-    On a cluster the package is shipped with the job (``--py-files``)."""
+    """Let Python workers on this machine import the package wherever the driver was started,
+    and send them small batches. On a cluster the package is shipped with the job (``--py-files``)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parent.parent.parent)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):

@@ -100,7 +100,10 @@ def train(docs: DataFrame, rows: int = ROWS_PER_LANG) -> Model:
     drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) < F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")] * (1 << 30)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit(3)))
     got = usable.filter(drawn).select("lang", "text", F.row_number().over(order).alias("_n")).filter(F.col("_n") <= rows).collect()
-    return fit([r["text"] for r in got], [r["lang"] for r in got])
+    model = fit([r["text"] for r in got], [r["lang"] for r in got])
+    del got
+    W.trim()
+    return model
 
 
 def _em(like: np.ndarray, doc: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS):
@@ -180,4 +183,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(W.released(run), SCHEMA)

@@ -150,7 +150,7 @@ def cuts(at: np.ndarray, cost: np.ndarray, width: int, final: bool) -> list[int]
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, keep_ids: bool = False, memo: int = MEMO) -> DataFrame:
+def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, keep_ids: bool = False, memo: int = MEMO, forget: bool = False) -> DataFrame:
     """Pack all documents, each exactly once: one row per piece.
 
     No shuffle: each input partition is one stream in its own order, with its own
@@ -158,7 +158,8 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, k
     Null and empty texts are the end id alone; documents longer than a window are cut
     into several pieces; repeated rows are packed each; an empty table gives no rows.
     ``keep_ids`` adds the pieces' ids (array of int). ``memo`` bounds the pre-tokens that a
-    worker remembers; more of them cost memory and spare CPU time.
+    worker remembers; more of them cost memory and spare CPU time. ``forget`` drops them when
+    a task ends, for executors that have other stages to run.
     """
 
     def run(batches):
@@ -209,6 +210,8 @@ def pack(docs: DataFrame, path: str, width: int = WIDTH, end_id: int = END_ID, k
                     yield from flush(False)
         if held:
             yield from flush(True)
+        if forget:
+            tok.memo, tok.last = {}, []
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(W.released(run), SCHEMA + ", ids array<int>" * keep_ids)

@@ -23,11 +23,12 @@ _TAILS = ("s", "t", "m", "d", "re", "ve", "ll")
 def _classes() -> np.ndarray:
     """code point -> class, as the pattern's own module sees it."""
     out = np.full(0x110000, _OTHER, dtype=np.uint8)
-    points = [*range(0xD800), *range(0xE000, 0x110000)]
-    text, place = "".join(map(chr, points)), np.array(points)
-    for c, p in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
-        for m in regex.finditer(p, text):
-            out[place[m.start() : m.end()]] = c
+    for low in range(0, 0x110000, 0x1000):
+        if not 0xD800 <= low < 0xE000:  # no characters
+            text = "".join(map(chr, range(low, low + 0x1000)))
+            for c, p in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
+                for m in regex.finditer(p, text):
+                    out[low + m.start() : low + m.end()] = c
     return out
 
 

@@ -54,7 +54,7 @@ class Emissions(dict):
         self.chain = chain
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 200_000:
+        if len(self) > 150_000:
             self.clear()
         e = self[word] = float(np.exp(np.clip(sum(self.chain.word.get(c, 0.0) for c in cues(word)) + self.chain.shape[shape(word)], -30, 30)))
         return e
@@ -292,7 +292,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
     """Fit on a bounded sample of the labelled rows (see ``training_rows``)."""
     got = training_rows(docs, labels, rows)
-    return fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
+    chain = fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
+    del got
+    W.trim()
+    return chain
 
 
 SCHEMA = "doc_id long, score double, predicted int, n_spans int, spans array<struct<start:int,end:int,probability:double>>"
@@ -319,7 +322,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 {"doc_id": pa.array(ids, pa.int64()), "score": y, "predicted": pa.array((y >= 0.5).astype(np.int32)), "n_spans": pa.array([len(s) for s in spans], pa.int32()), "spans": pa.array(spans, _SPANS)}
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(W.released(run), SCHEMA)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
@@ -360,13 +363,10 @@ def keep_clean(docs: DataFrame, chain: Chain, limit: float = 0.5) -> DataFrame:
         memo = Emissions(chain)
         b0, b1, b2 = chain.doc
         for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            keep = np.empty(len(texts), dtype=bool)
-            at = 0
-            for (part,) in W.chunks([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})], "text"):
+            keep = [np.zeros(0, dtype=bool)]
+            for (part,) in W.chunks([b], "text"):
                 _, f1, f2 = doc_features([W.words(t) for t in part], memo, chain)
-                keep[at : at + len(part)] = 1 / (1 + np.exp(-np.clip(b0 + b1 * f1 + b2 * f2, -30, 30))) < limit
-                at += len(part)
-            yield b.filter(pa.array(keep))
+                keep.append(1 / (1 + np.exp(-np.clip(b0 + b1 * f1 + b2 * f2, -30, 30))) < limit)
+            yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.released(run), docs.schema)
