@@ -6,6 +6,7 @@ but the last return the columns of ``documents``; the last returns the packed pi
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from trailweave.llm import packing, quality_rules, secret_scan, similarity, toxicity
 from trailweave.llm.common import crc_of_id, importable, shared_dir, table
 from trailweave.llm.queries import TOKENIZERS
+from trailweave.sources.shared import removed
 
 #: No SQL states the trained stages; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -28,6 +30,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain does not find toxic. It learns from the labels of what is
     left, without the held-out fifth."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(F.pmod(crc_of_id(), F.lit(5)) != 0)
+    importable(spark)
     chain = toxicity.train(docs.select("doc_id", "text"), labels)
     return toxicity.keep_clean(docs, chain)
 
@@ -47,17 +50,21 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids."""
     importable(spark)
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=True, memo=400_000)
+    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", keep_ids=True, memo=200_000, forget=True)
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxic), ("near duplicates", near_duplicates), ("secret scan", secrets), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of ``sf_dir``; the result is the last one's."""
+    """All stages on the documents of ``sf_dir``; the result is the last one's. A stage's input
+    is deleted once the next has been written, the result when the driver ends."""
     place = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            removed(spark, f"{place}/{k - 1}")
+    atexit.register(removed, spark, place)
     return docs
