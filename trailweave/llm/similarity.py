@@ -30,9 +30,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 HASHES, ROWS = 128, 4
 BANDS, STEP, TOLERANCE = HASHES // ROWS, 16, 1e-6
 #: Classes and shingles of a block of a large bucket, about; one class may have more shingles.
-BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+BLOCK, BLOCK_SHINGLES = 256, 400_000
 #: Shingles that are columns of a bit table at once.
-COLUMNS = 1 << 16
+COLUMNS = 1 << 15
 
 
 @lru_cache(1)
@@ -258,10 +258,12 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     used = np.unique(np.concatenate([left, right]))
     row = np.full(len(sets), -1)
     row[used] = np.arange(len(used))
-    _, place = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
-    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    owner = np.repeat(np.arange(len(used), dtype=np.int32), [len(sets[i]) for i in used])
+    place = np.concatenate([sets[i] for i in used])
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
+    place = np.cumsum(np.append(False, place[1:] != place[:-1]), dtype=np.int32)  # equal hashes, one column
+    del order
     i, j = row[left], row[right]
     for c in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
         a, b = np.searchsorted(place, (c, c + COLUMNS))
