@@ -9,6 +9,9 @@ canonical bytes.
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,15 +96,19 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = docs.withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("mark", F.xxhash64("text"))
-    size = keyed.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max("k").alias("top")).first()
+    size = keyed.agg(F.sum(F.octet_length("text")).alias("bytes"), F.max("k").alias("top"), F.count("*").alias("rows")).first()
     if size["top"] is None:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     n = min(MAX_BUCKETS, max(4 * partitions(spark), (size["bytes"] or 0) // BUCKET_BYTES))
-    found = keyed.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"]
+    # A row counts once for each mean length of text that it holds, so ranges are alike in bytes.
+    unit = max(1, (size["bytes"] or 0) // size["rows"])
+    units = keyed.select("k", F.explode(F.array_repeat(F.lit(True), F.least(F.lit(4096), F.floor(F.coalesce(F.octet_length("text"), F.lit(0)) / unit).cast("int") + 1))))
+    found = Counter(units.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"])
     cuts = sorted({*found, size["top"]})
     # A cut that is several quantiles is an id of many rows: so many ranges by their hashes.
-    parts = [max(1, found.count(c)) for c in cuts] if len(found) > len(cuts) - 1 else [1] * len(cuts)
-    ahead = [sum(parts[i + 1 :]) for i in range(len(parts))]  # ranges in the order of rows: ids descend
+    parts = [max(1, found[c]) for c in cuts]
+    total = sum(parts)
+    ahead = [total - x for x in accumulate(parts)]  # ranges in the order of rows: ids descend
     b = F.col("b")
     cut, m = F.get(_longs(cuts), b), F.get(_longs(parts), b)
     share = F.least(m - 1, F.floor((F.col("mark") / 2.0**64 + 0.5) * m).cast("long"))
