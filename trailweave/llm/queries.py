@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import bpe, fingerprints, language, packing, pii, quality_rules, secret_scan, sharding, similarity, toxicity
+from trailweave.llm import bpe, filter_audit, fingerprints, language, packing, pii, quality_rules, secret_scan, sharding, similarity, toxicity, whitening
 from trailweave.llm.common import crc_of_id, table
 
 #: Folder of the public vocabulary files; a parameter, never a copy.
@@ -77,6 +77,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return filter_audit.audit(filter_audit.facts(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
@@ -88,6 +97,8 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op12_whitening": op12_whitening,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -115,5 +126,34 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
                 + (CASE WHEN word_chars > 25 * n_words THEN 32 ELSE 0 END) AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
        failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+""",
+    "op13_filter_audit": r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+             + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+             + (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 4 ELSE 0 END)
+             + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+             + (CASE WHEN w.doc_id > first THEN 16 ELSE 0 END) AS fails
+      FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM m GROUP BY part, fails),
+o(filter_order, step, state, filter) AS (
+  SELECT '', 0, 0, -1
+  UNION ALL SELECT filter_order || chr(65 + f), step + 1, CASE WHEN filter < 0 THEN 0 ELSE state + (1 << filter) END, f
+  FROM o, (SELECT CAST(unnest(range(5)) AS INTEGER) AS f) WHERE step < 5 AND NOT contains(filter_order, chr(65 + f))),
+e AS (SELECT d.filter_order, o.step, o.state, o.filter FROM o JOIN o d ON d.step = 5 AND starts_with(d.filter_order, o.filter_order) WHERE o.step > 0),
+r AS (SELECT part, filter_order, step, filter,
+             sum(CASE WHEN fails & state = 0 AND (fails >> filter) & 1 = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN fails & state = 0 AND (fails >> filter) & 1 = 1 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN fails & state <> 0 AND (fails >> filter) & 1 = 1 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN fails = 1 << filter THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN fails & state = 0 AND (fails >> filter) & 1 = 1 THEN g ELSE 0 END) AS good_lost,
+             sum(CASE WHEN fails & state = 0 AND (fails >> filter) & 1 = 1 THEN x ELSE 0 END) AS toxic_lost
+      FROM c, e GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
 """,
 }
