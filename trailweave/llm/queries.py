@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailweave.llm import bpe, filter_audit, fingerprints, language, packing, pii, quality_rules, secret_scan, sharding, similarity, toxicity, whitening
+from trailweave.llm import bpe, filter_audit, fingerprints, language, packing, pii, quality_rules, secret_scan, sentencepiece_codec, sharding, similarity, toxicity, whitening
 from trailweave.llm.common import crc_of_id, table
 
 #: Folder of the public vocabulary files; a parameter, never a copy.
@@ -77,6 +77,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents", "doc_id", "text"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -97,6 +101,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_sentencepiece": op11_sentencepiece,
     "op12_whitening": op12_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
