@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailweave import __main__ as command
+from trailweave.functions.polynomials import is_primitive
 from trailweave.operators import kpath
 from trailweave.sources import graphs
 
@@ -37,21 +38,120 @@ def test_plain_and_sliced_agree(small):
         assert sorted(kpath.plain_totals(v, e, cfg).collect()) == sorted(kpath.totals(v, e, cfg).collect())
 
 
-def test_batches_of_blocks_agree(small):
+def test_batches_of_masks_agree(small):
     v, e = small
-    one, many = (kpath.KPathConfig(7, seed=5, block_batch=b) for b in (64, 1))
-    assert sorted(kpath.totals(v, e, one).collect()) == sorted(kpath.totals(v, e, many).collect())
+    one, many, short = kpath.KPathConfig(8, seed=5), kpath.KPathConfig(8, seed=5, batch_rows=1), kpath.KPathConfig(8, seed=5, level_batch=2)
+    want = sorted(kpath.totals(v, e, one).collect())
+    assert sorted(kpath.totals(v, e, many).collect()) == want == sorted(kpath.totals(v, e, short).collect())
 
 
 def test_slices_of_masks_join_to_the_whole(small):
     v, e = small
     for k, slices in ((3, 3), (7, 5)):
-        cfg = kpath.KPathConfig(k, seed=4, block_batch=1)
+        cfg = kpath.KPathConfig(k, seed=4, batch_rows=1)
         prepared, parts = kpath.prepared(e, cfg), []
         for _, low, high in kpath.iteration_slices(k, slices):
             parts.append(kpath.totals(v, prepared, cfg, low, high))
-            assert sorted(parts[-1].collect()) == sorted(kpath.plain_totals(v, e, cfg, low, high).collect())
+            assert sorted(parts[-1].collect()) == sorted(kpath.plain_totals(v, prepared, cfg, low, high).collect())
         assert sorted(kpath.merged(parts).collect()) == sorted(kpath.totals(v, prepared, cfg).collect())
+        assert kpath.totals(v, prepared, cfg, 2, 2).collect() == []
+
+
+def test_loops_share_a_run(small):
+    v, e = small
+    cfg = kpath.KPathConfig(5, seed=3, max_loops=3)
+    cfgs, graph = kpath.seeds(cfg), kpath.prepared(e, cfg)
+    assert len(cfgs) == 3 and all(is_primitive(c.poly) for c in cfgs)
+    got = kpath.loop_totals(v, graph, cfgs).collect()
+    assert sorted(map(tuple, got)) == sorted((n, r["id"], r["total"]) for n, c in enumerate(cfgs) for r in kpath.plain_totals(v, graph, c).collect())
+    assert {(r["loop"], r["found"]) for r in kpath.loop_verdicts(v, graph, cfg).collect()} == {(n, any(g["l"] == n for g in got)) for n in range(3)}
+
+
+def test_hubs_are_dealt_to_salts(spark, monkeypatch):
+    monkeypatch.setattr(kpath, "HUB_EDGES", 3)
+    v, e = graph(spark, [(0, i) for i in range(1, 12)] + [(i, i + 1) for i in range(1, 11)])
+    cfg = kpath.KPathConfig(4, seed=2)
+    g = kpath.prepared(e, cfg)
+    assert g.hubs.collect() and g.edges.select("salt").distinct().count() > 1
+    hubless = kpath.Graph(e, None, g.count, g.mark)
+    assert sorted(kpath.totals(v, g, cfg).collect()) == sorted(kpath.plain_totals(v, g, cfg).collect()) == sorted(kpath.totals(v, hubless, cfg).collect())
+
+
+def test_a_run_goes_on_from_its_ledger(small, tmp_path, monkeypatch):
+    v, e = small
+    cfg = kpath.KPathConfig(9, seed=7, batch_rows=1)
+    graph_, path = kpath.prepared(e, cfg), str(tmp_path / "ledger")
+    want = sorted(kpath.totals(v, graph_, kpath.KPathConfig(9, seed=7)).collect())
+    counted, whole = [], kpath.sliced_totals
+
+    def killed(vertices, graph, cfgs, low, high):
+        if len(counted) == 5:
+            raise KeyboardInterrupt
+        counted.append((low, high))
+        return whole(vertices, graph, cfgs, low, high)
+
+    monkeypatch.setattr(kpath, "sliced_totals", killed)
+    with pytest.raises(KeyboardInterrupt):
+        kpath.totals(v, graph_, cfg, ledger=path)
+    assert kpath.Ledger(v.sparkSession, path).left(0, 512) == [(320, 512)]
+    (tmp_path / "ledger" / "320-384").mkdir()  # what a driver leaves that dies while it writes
+    first = list(counted)
+    counted.clear()
+    monkeypatch.setattr(kpath, "sliced_totals", lambda *a: counted.append(a[3:]) or whole(*a))
+    assert sorted(kpath.totals(v, graph_, cfg, ledger=path).collect()) == want
+    assert len(first) == 5 and counted == [(320, 384), (384, 448), (448, 512)]
+    with pytest.raises(ValueError):
+        kpath.totals(v, graph_, kpath.KPathConfig(9, seed=8, batch_rows=1), ledger=path)
+
+
+def test_ledger_folds_its_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(kpath.Ledger, "FOLD", 3)
+    book = kpath.Ledger(spark, str(tmp_path))
+    rows = [[(0, 1, 5), (1, 2, 3)], [(0, 1, 5)], [(0, 1, 4)], [(1, 2, 3)], [(0, 9, 1)]]
+    for n, some in enumerate(rows):
+        book.add(64 * n, 64 * n + 64, spark.createDataFrame(some, "l int, id long, total long"))
+    assert len(book.ranges()) < 3 and book.left(0, 400) == [(320, 400)] and book.left(-5, 10) == [(-5, 0)]
+    assert sorted(map(tuple, book.totals().collect())) == [(0, 1, 4), (0, 9, 1)]
+    assert len(list(tmp_path.iterdir())) == len(book.ranges())
+    spark.createDataFrame([(0, 9, 7)], "l int, id long, total long").write.parquet(str(tmp_path / "64-128"))  # inside a folded range
+    assert sorted(map(tuple, book.totals().collect())) == [(0, 1, 4), (0, 9, 1)]
+
+
+def _nodes(plan):
+    """(name, children) of a physical plan."""
+    children = plan.children()
+    return plan.nodeName(), plan.toString().split("\n")[0], [_nodes(children.apply(i)) for i in range(children.size())]
+
+
+def _above_edges(node, exchanges=0):
+    """The shuffles between each scan of the edges and the top of its level's join."""
+    name, text, children = node
+    if "Bucketed: true" in text:
+        yield exchanges
+    for c in children:
+        yield from _above_edges(c, 0 if "Join" in name else exchanges + ("Exchange" in name and "Broadcast" not in name))
+
+
+def test_edges_are_not_shuffled_and_plans_do_not_grow(spark, small):
+    v, e = small
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cfg = kpath.KPathConfig(9, seed=3, batch_rows=10_000_000)
+        g = kpath.prepared(e, cfg)
+        salted = e.withColumn("salt", (F.col("dst") % 2).cast("int"))
+        hubs = spark.createDataFrame([(0, 2), (4, 2)], "id long, slices int")
+        for h in (kpath.Graph(kpath.bucketed(e, ["src"], 3, "test"), None, g.count, g.mark), kpath.Graph(kpath.bucketed(salted, ["src", "salt"], 3, "test"), hubs, g.count, g.mark)):
+            plan = kpath._level(kpath._start(v, [cfg], 0, 512), h, [cfg], 2)._jdf.queryExecution().executedPlan()
+            assert set(_above_edges(_nodes(plan))) == {0}, plan.toString()
+        sizes = []
+        for k in (9, 14):
+            cfg = kpath.KPathConfig(k, seed=3, batch_rows=1 << 40)
+            sizes.append(len(kpath.sliced_totals(v, g, [cfg], 0, 1 << k)._jdf.queryExecution().analyzed().toString()))
+        assert sizes[1] < 1.7 * sizes[0]  # three levels in the last plan, not eight
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_command(spark, tmp_path):
@@ -65,6 +165,8 @@ def test_command(spark, tmp_path):
     merge = ["--merge", *[str(tmp_path / f"s{i}") for i in range(3)]]
     assert command.run(spark, command.options([*base, str(tmp_path / "all"), *merge])) == line
     (tmp_path / "bad.txt").write_text("0 1 5\n")
+    kept = command.options([*base, str(tmp_path / "kept"), "--ledger", str(tmp_path / "ledger")])
+    assert command.run(spark, kept) == line and (tmp_path / "ledger/loops-0/0-8/_SUCCESS").exists()
     with pytest.raises(ValueError):
         command.run(spark, command.options([str(tmp_path / "bad.txt"), *base[1:], str(tmp_path / "bad")]))
 

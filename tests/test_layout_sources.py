@@ -1,3 +1,8 @@
+import subprocess
+import sys
+import time
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from trailweave.operators import layout
@@ -64,3 +69,32 @@ def test_gathered_and_shared(spark):
     assert sorted(back.collect()) == sorted(rows.collect()) and shared.shared_dir(spark)
     d = graphs.adjacency_of(spark.createDataFrame([(0, i) for i in range(40)], "src long, dst long"))
     assert d.first()["nbrs"] == list(range(40))
+
+
+def test_scratch_leaves_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shared, "shared_dir", lambda s: str(tmp_path))
+    with shared.scratch(spark):
+        rows = shared.written(spark.range(5).toDF("id"), "a")
+        with shared.scratch(spark):
+            inner = shared.bucketed(rows.withColumn("k", F.lit(1)), ["id"], 2, "b")
+            assert inner.count() == 5 and len(shared.children(spark, f"{tmp_path}/trailweave")) == 2
+        assert len(shared.children(spark, f"{tmp_path}/trailweave")) == 1 and rows.count() == 5
+    assert shared.children(spark, f"{tmp_path}/trailweave") == [] and not [t for t in spark.catalog.listTables() if t.name.startswith("trailweave_")]
+
+
+def test_shutdown_deletes_tables(tmp_path):
+    """Also after ``stop``, which ends what could delete them before the JVM does."""
+    code = f"""
+from pyspark.sql import SparkSession
+from trailweave.sources import shared
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", "{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+shared.written(spark.range(3).toDF("id"), "x")
+assert len(shared.children(spark, "{tmp_path}/trailweave")) == 1
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent, capture_output=True, timeout=120)
+    for _ in range(50):
+        if not list((tmp_path / "trailweave").glob("x-*")):
+            break
+        time.sleep(0.2)
+    assert not list((tmp_path / "trailweave").glob("x-*"))

@@ -4,6 +4,7 @@ The graph is an adjacency text file (or an edge list). FOLDER gets ``verdict`` (
 text) and, with ``--parts``, ``messages`` (the matrix of message counts). With
 ``--instance I --instances N`` only the I-th slice of the masks is worked on and FOLDER gets
 its ``totals``; ``--merge FOLDER ...`` joins the totals of all slices and gives the verdict.
+With ``--ledger FOLDER`` finished work is kept there, and a run that broke off goes on.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from trailweave.operators import kpath, layout
 from trailweave.sources import graphs
+from trailweave.sources.shared import scratch
 
 
 def options(args: list[str] | None = None) -> argparse.Namespace:
@@ -31,6 +33,7 @@ def options(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--instance", type=int, default=0)
     p.add_argument("--instances", type=int, default=1)
     p.add_argument("--merge", nargs="+", default=[], help="folders of all slices")
+    p.add_argument("--ledger", help="folder of finished work, from which a run that broke off goes on")
     got = p.parse_args(args)
     if not 0 <= got.instance < got.instances:
         p.error("--instance must be from 0 to below --instances")
@@ -66,16 +69,12 @@ def run(spark: SparkSession, o: argparse.Namespace) -> str | None:
         left = whole.groupBy("loop", "id").agg(F.bit_xor("total").alias("total"))
         found = bool(kpath.verdict(left, o.k).first()["found"])
     elif o.instances > 1:
-        edges, parts = kpath.prepared(edges, cfg), []
         _, low, high = kpath.iteration_slices(o.k, o.instances)[o.instance]
-        for loop, c in enumerate(kpath.seeds(cfg)):
-            parts.append(kpath.totals(vertices, edges, c, low, high).select(F.lit(loop).alias("loop"), "id", "total"))
-        for p in parts[1:]:
-            parts[0] = parts[0].unionByName(p)
-        parts[0].write.parquet(f"{o.out}/totals")
+        rows = kpath.loop_totals(vertices, kpath.prepared(edges, cfg), kpath.seeds(cfg), low, high, o.ledger)
+        rows.select(F.col("l").alias("loop"), "id", "total").write.parquet(f"{o.out}/totals")
         return None
     else:
-        found = kpath.detect(vertices, edges, cfg)
+        found = kpath.detect(vertices, edges, cfg, o.ledger)
     line = kpath.report(found, o.k)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{o.out}/verdict")
     return line
@@ -84,7 +83,8 @@ def run(spark: SparkSession, o: argparse.Namespace) -> str | None:
 def main() -> None:
     o = options()
     spark = SparkSession.builder.appName("trailweave").getOrCreate()
-    line = run(spark, o)
+    with scratch(spark):
+        line = run(spark, o)
     if line:
         print(line)
     spark.stop()

@@ -6,6 +6,8 @@ expressions.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import random
 
 from pyspark.sql import Column
@@ -125,6 +127,17 @@ def random_irreducible(d: int, seed: int) -> int:
             return p
 
 
+def random_primitive(d: int, seed: int) -> int:
+    """Rejection sampling among the primitive polynomials of degree d: the first of a sequence
+    of hashes of the seed that is one, so every driver draws the same."""
+    for n in itertools.count():
+        drawn = int.from_bytes(hashlib.md5(f"f:{seed}:{n}".encode()).digest()[:8], "big")
+        p = drawn & (1 << d) - 1 | 1 << d
+        if is_primitive(p):
+            return p
+    raise AssertionError
+
+
 def col_degree(p: Column) -> Column:
     return F.when(p == 0, F.lit(-1)).otherwise(F.length(F.bin(p)) - 1)
 

@@ -29,3 +29,18 @@ def weight(seed: int, degree: int, level: int, src: Column, dst: Column) -> Colu
 def sql(*parts: str) -> str:
     """The draw as DuckDB SQL; parts are SQL expressions or quoted labels."""
     return "CAST('0x' || substr(md5(concat_ws(':', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")), 1, 8) AS BIGINT)"
+
+
+def _spark(*parts: str) -> str:
+    """The draw as Spark SQL; for plans that are spelled out as text."""
+    return "CAST(conv(substring(md5(CAST(concat_ws(':', " + ", ".join(f"CAST({p} AS STRING)" for p in parts) + ") AS BINARY)), 1, 8), 16, 10) AS BIGINT)"
+
+
+def assignment_sql(seed: int, k: int, vertex: str) -> str:
+    """``assignment`` as Spark SQL."""
+    return f"pmod({_spark(chr(39) + 'a' + chr(39), str(seed), vertex)}, {1 << k}L)"
+
+
+def weight_sql(seed: int, degree: int, level: int, src: str, dst: str) -> str:
+    """``weight`` as Spark SQL."""
+    return f"pmod({_spark(chr(39) + 'w' + chr(39), str(seed), str(level), src, dst)}, {1 << degree}L)"

@@ -6,9 +6,6 @@ supplier, both directions).
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +14,7 @@ from trailweave.functions import prf
 from trailweave.functions.field import field, field_degree
 from trailweave.operators import kpath, layout
 from trailweave.sources import graphs
-from trailweave.sources.shared import removed, shared_dir
+from trailweave.sources.shared import place
 
 K, SEED, PARTS, THREADS = 5, 11, 9, 3
 CFG = kpath.KPathConfig(K, seed=SEED)
@@ -48,9 +45,8 @@ def _owned(spark: SparkSession, d: str) -> DataFrame:
 
 def _file(spark: SparkSession, label: str, lines: DataFrame) -> str:
     """Write lines of text to the shared folder; the path."""
-    path = f"{shared_dir(spark)}/trailweave/{label}-{uuid.uuid4().hex}"
+    path = place(spark, label)
     lines.write.text(path)
-    atexit.register(removed, spark, path)
     return path
 
 
@@ -83,13 +79,13 @@ def _times(a: str, b: str, d: int = GF.degree, poly: int = GF.poly) -> str:
     return f"list_reduce([{whole}] || [CAST(i AS BIGINT) FOR i IN range({2 * d - 2}, {d - 1}, -1)], lambda p, i: CASE WHEN (p >> i) & 1 = 1 THEN xor(p, {poly}::BIGINT << (i - {d})) ELSE p END)"
 
 
-def _levels(low: int = 0, high: int = 1 << K, seed: int = SEED) -> str:
+def _levels(low: int = 0, high: int = 1 << K, seed: int = SEED, poly: int = GF.poly) -> str:
     """The state after each level, over the masks from ``low`` to below ``high``."""
     out = f"""l1 AS (SELECT id, it, CAST(1 AS BIGINT) AS val FROM v, (SELECT unnest(range({low}, {high})) AS it) WHERE bit_count({_assign("id", seed=seed)} & it) % 2 = 0)"""
     for n in range(2, K + 1):
         out += f""",
 w{n} AS (SELECT src, dst, {_weight(str(n), seed)} AS w FROM e),
-l{n} AS (SELECT * FROM (SELECT dst AS id, it, bit_xor(CAST({_times("w", "val")} AS BIGINT)) AS val FROM w{n} JOIN l{n - 1} ON l{n - 1}.id = w{n}.src
+l{n} AS (SELECT * FROM (SELECT dst AS id, it, bit_xor(CAST({_times("w", "val", poly=poly)} AS BIGINT)) AS val FROM w{n} JOIN l{n - 1} ON l{n - 1}.id = w{n}.src
        WHERE bit_count({_assign("dst", seed=seed)} & it) % 2 = 0 GROUP BY dst, it) WHERE val <> 0)"""
     return out
 
@@ -97,8 +93,8 @@ l{n} AS (SELECT * FROM (SELECT dst AS id, it, bit_xor(CAST({_times("w", "val")}
 LEVELS = _levels()
 
 
-def _totals(low: int = 0, high: int = 1 << K, seed: int = SEED) -> str:
-    return f"WITH {GEO}, {_levels(low, high, seed)}, totals AS (SELECT id, bit_xor(val) AS total FROM l{K} GROUP BY id HAVING bit_xor(val) <> 0) "
+def _totals(low: int = 0, high: int = 1 << K, seed: int = SEED, poly: int = GF.poly) -> str:
+    return f"WITH {GEO}, {_levels(low, high, seed, poly)}, totals AS (SELECT id, bit_xor(val) AS total FROM l{K} GROUP BY id HAVING bit_xor(val) <> 0) "
 
 
 TOTALS = _totals()
@@ -240,9 +236,8 @@ def routing_chunks(spark, d):
     "WITH m AS (" + ORACLE_SQL["message_count_matrix"] + ") SELECT string_agg(CAST(msg_count AS VARCHAR), ' ' ORDER BY dst_part) AS line FROM m GROUP BY src_part",
 )
 def message_matrix_file(spark, d):
-    path = f"{shared_dir(spark)}/trailweave/matrix-{uuid.uuid4().hex}"
+    path = place(spark, "matrix")
     graphs.write_message_matrix(layout.message_counts(_owned(spark, d), PARTS), PARTS, path)
-    atexit.register(removed, spark, path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
@@ -448,12 +443,13 @@ def kpath_level1(spark, d):
 @query("message_join", f"WITH {GEO}, {LEVELS} SELECT src, dst, it, val FROM e JOIN l1 ON l1.id = e.src")
 def message_join(spark, d):
     v, e = _graph(spark, d)
-    return kpath.messages(kpath.level1(v, CFG), e)
+    return kpath.messages(kpath.level1(v, CFG), e, CFG)
 
 
 @query("kpath_level_n", f"WITH {GEO}, {LEVELS} SELECT id, it, val FROM l3")
 def kpath_level_n(spark, d):
     v, e = _graph(spark, d)
+    e = kpath.prepared(e, CFG)
     return kpath.next_level(kpath.next_level(kpath.level1(v, CFG), e, CFG, 2), e, CFG, 3)
 
 
@@ -475,21 +471,27 @@ def kpath_slices_merged(spark, d):
     return kpath.merged([kpath.totals(v, e, CFG, low, high) for _, low, high in kpath.iteration_slices(K, 3)])
 
 
-LOOPS = kpath.KPathConfig(K, epsilon=0.5, seed=SEED)
+LOOPS = kpath.KPathConfig(K, epsilon=0.1, seed=SEED)
 
 
 @query(
     "kpath_loops",
-    " UNION ALL ".join(f"SELECT * FROM ({_totals(seed=c.seed)} SELECT CAST({n} AS INTEGER) AS loop, {K} AS k, count(*) > 0 AS found FROM totals)" for n, c in enumerate(kpath.seeds(LOOPS))),
+    " UNION ALL ".join(f"SELECT * FROM ({_totals(seed=c.seed, poly=c.field.poly)} SELECT CAST({n} AS INTEGER) AS loop, {K} AS k, count(*) > 0 AS found FROM totals)" for n, c in enumerate(kpath.seeds(LOOPS))),
 )
 def kpath_loops(spark, d):
-    """The verdict of every loop that epsilon asks for."""
+    """The verdict of each of the ten loops that epsilon asks for, which draw their own fields
+    and share one run."""
+    return kpath.loop_verdicts(*_graph(spark, d), LOOPS)
+
+
+@query(
+    "kpath_loop_totals",
+    " UNION ALL ".join(f"SELECT * FROM ({_totals(seed=c.seed, poly=c.field.poly)} SELECT CAST({n} AS INTEGER) AS loop, id, total FROM totals)" for n, c in enumerate(kpath.seeds(LOOPS))),
+)
+def kpath_loop_totals(spark, d):
+    """The totals of all ten loops."""
     v, e = _graph(spark, d)
-    e = kpath.prepared(e, LOOPS)
-    out = [kpath.verdict(kpath.totals(v, e, c), K).select(F.lit(n).alias("loop"), "k", "found") for n, c in enumerate(kpath.seeds(LOOPS))]
-    for x in out[1:]:
-        out[0] = out[0].unionByName(x)
-    return out[0]
+    return kpath.loop_totals(v, kpath.prepared(e, LOOPS), kpath.seeds(LOOPS)).withColumnRenamed("l", "loop")
 
 
 @query("verdict_line", TOTALS + f"SELECT 'Graph ' || CASE WHEN count(*) > 0 THEN 'contains' ELSE 'does not contain' END || ' a {K}-path.' AS line FROM totals")
