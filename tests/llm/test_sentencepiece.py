@@ -92,6 +92,18 @@ def test_long_texts_in_windows(monkeypatch):
         assert len(list(own.windows(long[4].encode()))) > 20
 
 
+@pytest.mark.parametrize(("short", "memo", "together"), [(0, 400_000, 50), (10**9, 40, 50), (64, 0, 10**9)])
+def test_parts_are_joined_alike(monkeypatch, short, memo, together):
+    """One by one, all at once, and with a memo that is always full."""
+    for k, v in (("SHORT", short), ("MEMO", memo), ("TOGETHER", together)):
+        monkeypatch.setattr(S, k, v)
+    own, library = S.Model(_changed()), spm.SentencePieceProcessor(model_file=PATH)
+    for seed in range(4):
+        texts = [*_texts(150, seed), "".join(random.Random(seed).choice("abno ") for _ in range(900))]
+        ids, _, _, count = own.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == library.encode(texts)
+
+
 def test_operator(spark, docs, texts, empty, monkeypatch):
     importable(spark)
     library = spm.SentencePieceProcessor(model_file=PATH)

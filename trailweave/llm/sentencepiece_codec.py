@@ -31,8 +31,11 @@ BPE = 2
 BLANK = "▁"
 #: Bytes that no UTF-8 text holds: they stand before and behind each text of a batch.
 _FRONT, _BACK = 0xFF, 0xFE
-#: Bytes of a window of a long text; remembered parts.
-WINDOW, MEMO = 2_000_000, 300_000
+#: Bytes of a window of a long text; remembered parts; characters up to which parts are joined
+#: all at once, and of the parts that are.
+WINDOW, MEMO, SHORT, TOGETHER = 2_000_000, 400_000, 64, 2_000_000
+#: Characters of texts encoded together.
+CHUNK = 3_000_000
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -138,7 +141,19 @@ class Model:
         self.kind = np.array([k for _, _, k in pieces])
         spelled = [b"%d," % i for i in range(len(pieces))]
         self.digit_size, self.digits = np.array([len(x) for x in spelled]), np.frombuffer(b"".join(spelled), dtype=np.uint8)
-        self.memo: dict[bytes, tuple[bytes, bytes]] = {}
+        self.memo: dict[bytes, int] = {}
+        self.pool, self.counts = (np.zeros(0, dtype=np.int32),) * 2, np.zeros(0, dtype=np.int64)
+        self.last: list[bytes] = []
+        # Symbols are pieces and the single characters of pieces; the others are -1.
+        symbols = dict(own)
+        for c in sorted({c for t in own for c in t} - set(own)):
+            symbols[c] = len(pieces) + len(symbols) - len(own)
+        self.symbol = np.full(0x110000, -1, dtype=np.int64)
+        single = [t for t in symbols if len(t) == 1]
+        self.symbol[[ord(t) for t in single]] = [symbols[t] for t in single]
+        self.base = len(pieces) + len(symbols)
+        joins = sorted((symbols[t[:i]] * self.base + symbols[t[i:]], self.rank[t], j) for t, j in own.items() for i in range(1, len(t)) if t[:i] in symbols and t[i:] in symbols)
+        self.join, self.join_rank, self.joined = (np.array(x, dtype=np.int64) for x in (zip(*joins) if joins else ((-1,), (0,), (0,))))
 
     def _said(self, i: int) -> bytes:
         """What a piece stands for in decoded text."""
@@ -315,6 +330,82 @@ class Model:
                 sizes += [0] * (len(own) - 1) + [len(own)]
         return np.array(ids, dtype=np.int32).tobytes(), np.array(sizes, dtype=np.int32).tobytes()
 
+    def _parts(self, raws: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """``_part`` of many short parts, by the same rule: in each round every part joins the
+        leftmost of its pairs of the best score, until none has a pair left."""
+        texts = [x.decode() for x in raws]
+        lens = np.array([len(t) for t in texts], dtype=np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        ids, at, n = self.symbol[chars], np.arange(len(chars)), len(chars)
+        part, done, worst = np.repeat(np.arange(len(raws)), lens), [], 1 << 40
+
+        def found(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rank and outcome of the pairs of the i-th symbols and the ones behind."""
+            j = np.minimum(i + 1, len(ids) - 1)
+            code = np.where((ids[i] >= 0) & (ids[j] >= 0) & (part[i] == part[j]) & (i < j), ids[i] * self.base + ids[j], -2)
+            k = np.minimum(np.searchsorted(self.join, code), len(self.join) - 1)
+            return np.where(self.join[k] == code, self.join_rank[k], worst), self.joined[k]
+
+        rank, outcome = found(np.arange(n))
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            best = np.minimum.reduceat(rank * n + np.arange(len(ids)), starts)
+            going = best < worst * n
+            hit = best[going] % n
+            ids[hit] = outcome[hit]
+            stay = np.repeat(going, np.diff(np.append(starts, len(ids))))
+            done.append((at[~stay], ids[~stay]))
+            stay[hit + 1] = False
+            ids, at, part, rank, outcome = (x[stay] for x in (ids, at, part, rank, outcome))
+            new = np.cumsum(stay)[hit] - 1  # where the joined symbols are now
+            changed = np.append(new, new[(new > 0)] - 1)
+            if len(changed):
+                rank[changed], outcome[changed] = found(changed)
+        at, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(at)
+        at, ids = at[order], ids[order]
+        wide = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)  # bytes of each character
+        before = np.append(0, np.cumsum(wide))
+        size = before[np.append(at[1:], n)] - before[at]
+        odd = (ids < 0) | (ids >= len(self.pieces))  # single characters that are no pieces
+        count = np.where(odd & self.fallback, size, 1)
+        ends = np.cumsum(count)
+        out, sizes = np.repeat(np.where(odd, self.unknown, ids), count).astype(np.int32), np.zeros(ends[-1], dtype=np.int32)
+        sizes[ends - 1] = size
+        if self.fallback and odd.any():
+            flat = np.frombuffer(b"".join(raws), dtype=np.uint8)
+            place = np.repeat(before[at] - ends + count, count) + np.arange(len(out))
+            spelled = np.repeat(odd, count)
+            table = np.array([self.byte[c] for c in range(256)], dtype=np.int32)
+            out[spelled] = table[flat[place[spelled]]]
+        cuts = (4 * np.append(0, ends)[np.searchsorted(at, np.append(0, np.cumsum(lens)))]).tolist()
+        x, y = out.tobytes(), sizes.tobytes()
+        return [(x[a:b], y[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Remember what ``new`` parts become: a number in the memo, ids and sizes in the pools."""
+        short = [x for x in new if len(x) <= SHORT] if not self.fixed and not self.unused else []
+        sizes, got = np.cumsum([len(x) for x in short]) // TOGETHER, {}
+        for some in np.split(np.arange(len(short)), np.flatnonzero(np.diff(sizes)) + 1):
+            if len(some):
+                some = short[some[0] : some[-1] + 1]
+                got.update(zip(some, self._parts(some)))
+        got.update((x, self._part(x)) for x in new if x not in got)
+        self._remember(got)
+
+    def _remember(self, got: dict[bytes, tuple[bytes, bytes]]) -> None:
+        self.memo.update(zip(got, range(len(self.memo), len(self.memo) + len(got))))
+        known = np.frombuffer(b"".join([a for a, _ in got.values()]), dtype=np.int32), np.frombuffer(b"".join([b for _, b in got.values()]), dtype=np.int32)
+        self.pool = tuple(np.append(a, b) for a, b in zip(self.pool, known))
+        self.counts = np.append(self.counts, np.array([len(a) // 4 for a, _ in got.values()], dtype=np.int64))
+
+    def _forget(self, kept: set[bytes]) -> None:
+        """Remember nothing but ``kept`` parts."""
+        names = [x for x in self.memo if x in kept]
+        index = np.array([self.memo[x] for x in names], dtype=np.int64)
+        self.pool = tuple(gathered(x, self.counts, index) for x in self.pool)
+        self.counts, self.memo = self.counts[index], dict(zip(names, range(len(names))))
+
     def _pieces(self, norm: Normalised) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and sizes of all pieces, and the number of pieces of each text."""
         none = np.zeros(0, dtype=np.int32)
@@ -325,14 +416,15 @@ class Model:
         ends = np.append(at, len(norm.text)).astype(np.int64)
         parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(norm.text.tobytes())]).dictionary_encode()
         names = parts.dictionary.to_pylist()
-        if len(self.memo) + len(names) > MEMO:
-            self.memo = {}
-        for x in names:
-            if x not in self.memo:
-                self.memo[x] = self._part(x)
-        known = [self.memo[x] for x in names]
-        count, index = np.array([len(a) // 4 for a, _ in known]), parts.indices.to_numpy()
-        ids, sizes = (gathered(np.frombuffer(b"".join(x), dtype=np.int32), count, index) for x in zip(*known))
+        new = [x for x in names if x not in self.memo]
+        if len(self.memo) + len(new) > MEMO:  # keep what these texts and the last ones use
+            self._forget({*self.last, *names})
+        self.last = names
+        if new:
+            self._learn(new)
+        index = np.array([self.memo[x] for x in names], dtype=np.int64)[parts.indices.to_numpy()]
+        ids, sizes = (gathered(x, self.counts, index) for x in self.pool)
+        count = self.counts
         done = np.append(0, np.cumsum(count[index]))
         per_text = np.diff(done[np.searchsorted(at, norm.bounds)])
         if not self.fallback and len(ids) > 1:  # unknown characters in a row are one piece
@@ -479,7 +571,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         m = model(path)
-        for ids, texts in W.chunks(batches, "doc_id", "text"):
+        for ids, texts in W.chunks(batches, "doc_id", "text", size=CHUNK):
             pieces, begin, end, count = m.encode([t.encode() for t in texts])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(pieces, count), _lists(begin, count), _lists(end, count)], ["doc_id", "ids", "begins", "ends"])
 
@@ -506,7 +598,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         m = model(path)
-        for ids, texts in W.chunks(batches, "doc_id", "text"):
+        for ids, texts in W.chunks(batches, "doc_id", "text", size=CHUNK):
             raws = [t.encode() for t in texts]
             if len(raws) == 1 and len(raws[0]) > WINDOW:
                 rows = [m.digests(raws[0])]
