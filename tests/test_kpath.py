@@ -165,6 +165,14 @@ def test_command(spark, tmp_path):
     merge = ["--merge", *[str(tmp_path / f"s{i}") for i in range(3)]]
     assert command.run(spark, command.options([*base, str(tmp_path / "all"), *merge])) == line
     (tmp_path / "bad.txt").write_text("0 1 5\n")
+    (tmp_path / "odd.txt").write_text("\n".join([*SMALL, "x 1.0 2", "5 1.0", ""]))
+    odd = [str(tmp_path / "odd.txt"), *base[1:], str(tmp_path / "odd"), "--parts", "3", "--method", "degree"]
+    assert command.run(spark, command.options(odd)) == line
+    assert sorted(r["reason"] for r in spark.read.json(str(tmp_path / "odd/rejected")).collect()) == ["label", "label again"]
+    with pytest.raises(ValueError, match="1 label, 1 label again"):
+        command.run(spark, command.options([*odd, "--strict"]))
+    first = command.options([*base, str(tmp_path / "first"), "--vertices", "3"])
+    assert [r["id"] for r in command.load(spark, first)[0].orderBy("ordinal").collect()] == [0, 1, 3]
     kept = command.options([*base, str(tmp_path / "kept"), "--ledger", str(tmp_path / "ledger")])
     assert command.run(spark, kept) == line and (tmp_path / "ledger/loops-0/0-8/_SUCCESS").exists()
     with pytest.raises(ValueError):

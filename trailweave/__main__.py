@@ -30,6 +30,8 @@ def options(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--max-loops", type=int)
     p.add_argument("--vertices", type=int, help="read the first so many vertices")
     p.add_argument("--parts", type=int, default=0)
+    p.add_argument("--method", choices=("count", "degree", "hash"), default="count", help="how vertices are dealt to parts")
+    p.add_argument("--strict", action="store_true", help="end if a line holds no vertex; else such lines are written to OUT/rejected")
     p.add_argument("--instance", type=int, default=0)
     p.add_argument("--instances", type=int, default=1)
     p.add_argument("--merge", nargs="+", default=[], help="folders of all slices")
@@ -41,16 +43,24 @@ def options(args: list[str] | None = None) -> argparse.Namespace:
 
 
 def load(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, DataFrame]:
-    """Vertices and edges of the graph."""
+    """Vertices and edges of the graph. Vertices of an adjacency file have their place in it as
+    ``ordinal``; lines that hold none are counted, and written or (``--strict``) an error."""
     if o.format == "edges":
         edges = graphs.read_edge_list(spark, o.graph).distinct()
         return graphs.vertices_of(edges), edges
-    adjacency = graphs.read_adjacency(spark, o.graph)
+    adjacency, rejected = graphs.sorted_out(graphs.read_lines(spark, o.graph))
+    counts = {r["reason"]: r["count"] for r in rejected.groupBy("reason").count().collect()}
+    if counts:
+        said = ", ".join(f"{n} {reason}" for reason, n in sorted(counts.items()))
+        if o.strict:
+            raise ValueError(f"lines without a vertex: {said}")
+        print(f"Lines without a vertex: {said}.")
+        rejected.write.json(f"{o.out}/rejected")
     if o.vertices is not None:
         adjacency = graphs.limit_vertices(adjacency, o.vertices)
         edges = graphs.edges_of(adjacency)
-        return adjacency.select("id", "weight"), edges.join(adjacency.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return adjacency.select("id", "weight"), graphs.edges_of(adjacency)
+        return adjacency.select("id", "weight", "ordinal"), edges.join(adjacency.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return adjacency.select("id", "weight", "ordinal"), graphs.edges_of(adjacency)
 
 
 def run(spark: SparkSession, o: argparse.Namespace) -> str | None:
@@ -59,8 +69,10 @@ def run(spark: SparkSession, o: argparse.Namespace) -> str | None:
     vertices, edges = load(spark, o)
     graphs.check(vertices, edges)
     if o.parts:
-        owned = layout.edge_owner(edges, layout.block_partition(vertices, o.parts))
-        graphs.write_message_matrix(layout.message_counts(owned, o.parts), o.parts, f"{o.out}/messages")
+        # Blocks follow the file, if no line was left out of it.
+        dense = o.method == "count" and "ordinal" in vertices.columns and vertices.agg(F.max("ordinal")).first()[0] == vertices.count() - 1
+        owned = layout.edge_owner(edges, layout.partition(vertices, o.parts, o.method, edges, "ordinal" if dense else None))
+        graphs.write_message_matrix(layout.message_counts(owned, o.parts, dense=False), o.parts, f"{o.out}/messages")
     if o.merge:
         parts = [spark.read.parquet(f"{f}/totals") for f in o.merge]
         whole = parts[0]

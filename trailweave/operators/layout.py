@@ -9,44 +9,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailweave.functions import prf
 from trailweave.sources.shared import written
 
 #: Ranges into which rows are cut: one for each ROWS rows, within these bounds.
 LEAST, MOST, ROWS = 256, 4096, 1_000_000
 
 
+def _array(values: list) -> Column:
+    """A literal array; whole numbers as one text, which is read at once."""
+    if all(isinstance(v, int) for v in values):
+        return F.expr("array(" + ", ".join(f"{v}L" for v in values) + ")")
+    return F.array(*[F.lit(v) for v in values])
+
+
 def range_of(value: Column, cuts: list[int]) -> Column:
     """Number of cuts (ascending) below ``value``, found through a coarse and a fine array."""
     if not cuts:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.array(*[F.lit(c) for c in cuts[step - 1 :: step]])
-    whole = F.array(*[F.lit(c) for c in cuts])
+    coarse, whole = _array(cuts[step - 1 :: step]), _array(cuts)
     skipped = F.size(F.filter(coarse, lambda c: c < value)) * step
     return skipped + F.size(F.filter(F.slice(whole, skipped + 1, step), lambda c: c < value))
 
 
 def _cuts(df: DataFrame, order: str) -> list[int]:
-    """Quantiles of a column; null counts as less than all."""
-    n = min(MOST, max(LEAST, df.count() // ROWS))
-    found = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"]
-    return sorted(set(found or []))
+    """Quantiles of a column, more of them the more rows there are; null counts as less than all."""
+    seen = df.agg(F.count("*").alias("n"), F.percentile_approx(order, [i / MOST for i in range(1, MOST)], 10 * MOST).alias("q")).first()
+    step = MOST // min(MOST, max(LEAST, seen["n"] // ROWS))
+    return sorted(set((seen["q"] or [])[step - 1 :: step]))
 
 
-def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
-    """0-based position by a numeric column (unique values).
+def prefix_sums(df: DataFrame, order: str, weight: Column, name: str) -> tuple[DataFrame, int]:
+    """Sum of the weights of all rows before, by a numeric column (unique values), and the sum
+    of all weights. ``df`` is read three times, so it should be a table.
 
-    Quantiles cut the column into ranges; rows are numbered within their range and shifted
-    by the rows of the ranges before, whose counts (MOST at most) the driver adds up.
+    Quantiles cut the column into ranges; weights are summed within their range and shifted
+    by the sum of the ranges before, whose sums (MOST at most) the driver adds up.
     """
-    rows = df.withColumn("_r", range_of(F.col(order), _cuts(df, order)))
-    sizes = {r["_r"]: r["n"] for r in rows.groupBy("_r").agg(F.count("*").alias("n")).collect()}
+    rows = df.withColumn("_r", range_of(F.col(order), _cuts(df, order))).withColumn("_w", weight.cast("long"))
+    sums = {r["_r"]: r["w"] for r in rows.groupBy("_r").agg(F.sum("_w").alias("w")).collect()}
     before, total = [], 0
-    for r in range(max(sizes, default=0) + 1):
-        before.append(F.lit(total).cast("long"))
-        total += sizes.get(r, 0)
-    own = F.row_number().over(Window.partitionBy("_r").orderBy(order)) - 1
-    return rows.withColumn("_k", own).withColumn(name, F.col("_k") + F.get(F.array(*before), F.col("_r"))).drop("_r", "_k")
+    for r in range(max(sums, default=0) + 1):
+        before.append(total)
+        total += sums.get(r) or 0
+    own = F.sum("_w").over(Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_k", F.coalesce(own, F.lit(0))).withColumn(name, F.col("_k") + F.get(_array(before), F.col("_r"))).drop("_r", "_w", "_k"), total
+
+
+def ranked(df: DataFrame, order: str, name: str) -> DataFrame:
+    """0-based position by a numeric column (unique values); no task sorts all rows."""
+    return prefix_sums(written(df, "ranked"), order, F.lit(1), name)[0]
 
 
 def ranked_within(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
@@ -80,23 +93,53 @@ def block_of(position: Column, total: Column, parts: int) -> Column:
     return F.when(position < edge, F.floor(position / (small + 1))).otherwise(more + F.floor((position - edge) / F.greatest(small, F.lit(1)))).cast("int")
 
 
-def block_partition(vertices: DataFrame, parts: int, order: str = "id") -> DataFrame:
-    """Add ``part`` (0 to parts - 1), contiguous in ``order``."""
-    total = vertices.count()
-    rows = ranked(vertices, order, "_p")
+def block_partition(vertices: DataFrame, parts: int, order: str = "id", position: str | None = None) -> DataFrame:
+    """Add ``part`` (0 to parts - 1), contiguous in ``order``. ``position``: a column that holds
+    the places from 0 on, such as the ``ordinal`` of a file's lines; then nothing is sorted."""
+    if position:
+        return vertices.withColumn("part", block_of(F.col(position), F.lit(vertices.count()), parts))
+    rows, total = prefix_sums(written(vertices, "blocks"), order, F.lit(1), "_p")
     return rows.withColumn("part", block_of(F.col("_p"), F.lit(total), parts)).drop("_p")
 
 
 def thread_partition(vertices: DataFrame, parts: int, threads: int, order: str = "id") -> DataFrame:
     """Add ``part`` and, by the same rule inside it, ``thread``."""
-    total = vertices.count()
+    rows, total = prefix_sums(written(vertices, "threads"), order, F.lit(1), "_p")
     small, more = divmod(total, parts)
-    rows = ranked(vertices, order, "_p").withColumn("part", block_of(F.col("_p"), F.lit(total), parts))
+    rows = rows.withColumn("part", block_of(F.col("_p"), F.lit(total), parts))
     start = F.col("part") * small + F.least(F.col("part"), F.lit(more))
     size = F.lit(small) + (F.col("part") < more).cast("int")
     return rows.withColumn("thread", block_of(F.col("_p") - start, size, threads)).drop("_p")
 
 
+def degree_partition(vertices: DataFrame, edges: DataFrame, parts: int) -> DataFrame:
+    """Add ``part``: contiguous in ``id``, with out-edges as even as whole vertices allow. A
+    vertex lies where its first edge does if all edges are cut into ``parts`` equal runs, so a
+    part's edges differ from the mean by less than the degree of one vertex."""
+    degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_d"))
+    rows = written(vertices.join(degrees, "id", "left"), "degrees")
+    rows, total = prefix_sums(rows, "id", F.coalesce("_d", F.lit(0)), "_p")
+    part = F.least(F.floor(F.col("_p") * parts / F.lit(max(1, total))), F.lit(parts - 1)) if total < 1 << 40 else F.least((F.col("_p").cast("decimal(38,0)") * parts / total).cast("long"), F.lit(parts - 1))
+    return rows.withColumn("part", part.cast("int")).drop("_d", "_p")
+
+
+def hash_partition(vertices: DataFrame, parts: int, seed: int = 0) -> DataFrame:
+    """Add ``part`` by a hash of the id, for ids that lie unevenly."""
+    return vertices.withColumn("part", F.pmod(prf.draw("h", seed, F.col("id")), F.lit(parts)).cast("int"))
+
+
+def partition(vertices: DataFrame, parts: int, method: str = "count", edges: DataFrame | None = None, position: str | None = None) -> DataFrame:
+    """Add ``part`` by a method: "count" (contiguous blocks of as many vertices), "degree"
+    (contiguous blocks of as many edges) or "hash"."""
+    if method == "count":
+        return block_partition(vertices, parts, position=position)
+    if method == "degree":
+        return degree_partition(vertices, edges, parts)
+    if method == "hash":
+        return hash_partition(vertices, parts)
+    raise ValueError(f"no partitioning is called {method}")
+
+
 def partition_counts(parts: DataFrame) -> DataFrame:
     return parts.groupBy("part").agg(F.count("*").alias("n"))
 
@@ -119,11 +162,24 @@ def hub_join(rows: DataFrame, key: str, table: DataFrame, few: DataFrame | None
     return flagged.filter("_hub IS NOT NULL").drop("_hub").unionByName(rest)
 
 
+#: Vertices whose parts (16 bytes each) may be sent to every task.
+SMALL = 1_000_000
+
+
 def edge_owner(edges: DataFrame, parts: DataFrame) -> DataFrame:
-    """src, dst, src_part, dst_part."""
-    out = edges.select("src", "dst")
-    for end in ("dst", "src"):
-        out = hub_join(out, end, parts.select(F.col("id").alias(end), F.col("part").alias(f"{end}_part")), hubs(edges, end))
+    """src, dst, src_part, dst_part. Parts of up to SMALL vertices go to every task; beyond, edges
+    are joined by shuffles, but for those of hubs, which one pass finds for both ends."""
+    edges, parts = written(edges.select("src", "dst"), "owned-edges"), written(parts.select("id", "part"), "parts")
+    ends = {e: parts.select(F.col("id").alias(e), F.col("part").alias(f"{e}_part")) for e in ("dst", "src")}
+    out = edges
+    if parts.count() <= SMALL:
+        for end, table in ends.items():
+            out = out.join(F.broadcast(table), end)
+    else:
+        both = edges.select(F.explode(F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("id")) for e in ends])).alias("x")).select("x.*")
+        many = written(both.groupBy("end", "id").agg(F.count("*").alias("n")).filter(F.col("n") * HUBS > edges.count()), "hubs")
+        for end, table in ends.items():
+            out = hub_join(out, end, table, many.filter(F.col("end") == end).select(F.col("id").alias(end)))
     return out.select("src", "dst", "src_part", "dst_part")
 
 
@@ -163,11 +219,13 @@ def buffer_slots(owned: DataFrame) -> DataFrame:
     return ranked_within(pairs, ["src_part", "dst_part"], "src", "slot").withColumn("slot", F.col("slot").cast("int"))
 
 
-def message_counts(owned: DataFrame, parts: int) -> DataFrame:
-    """(src_part, dst_part, msg_count) for all pairs of parts: one message for each vertex and part it sends to."""
-    spark = owned.sparkSession
-    grid = spark.range(parts * parts).select(F.floor(F.col("id") / parts).cast("int").alias("src_part"), (F.col("id") % parts).cast("int").alias("dst_part"))
-    found = owned.groupBy("src_part", "dst_part").agg(F.count_distinct("src").alias("msg_count"))
+def message_counts(owned: DataFrame, parts: int, dense: bool = True) -> DataFrame:
+    """(src_part, dst_part, msg_count): one message for each vertex and part it sends to; for all
+    pairs of parts, or (not ``dense``) those that have messages."""
+    found = owned.select("src_part", "dst_part", "src").distinct().groupBy("src_part", "dst_part").agg(F.count("*").alias("msg_count"))
+    if not dense:
+        return found
+    grid = owned.sparkSession.range(parts * parts).select(F.floor(F.col("id") / parts).cast("int").alias("src_part"), (F.col("id") % parts).cast("int").alias("dst_part"))
     return grid.join(found, ["src_part", "dst_part"], "left").na.fill(0, ["msg_count"])
 
 

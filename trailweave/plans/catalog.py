@@ -13,7 +13,7 @@ from trailweave.functions import polynomials as P
 from trailweave.functions import prf
 from trailweave.functions.field import field, field_degree
 from trailweave.operators import kpath, layout
-from trailweave.sources import graphs
+from trailweave.sources import binary, graphs
 from trailweave.sources.shared import place
 
 K, SEED, PARTS, THREADS = 5, 11, 9, 3
@@ -151,6 +151,58 @@ def vertex_limit(spark, d):
     return graphs.limit_vertices(_graph(spark, d)[0], 50)
 
 
+def _shuffled_file(spark: SparkSession, d: str) -> str:
+    """The geo graph as a text file whose labels are in no order."""
+    lines = graphs.adjacency_of(_graph(spark, d)[1])
+    return _file(spark, "shuffled", graphs.render_adjacency(lines.orderBy(F.md5(F.col("id").cast("string").cast("binary")))))
+
+
+FILE_ORDER = f"{GEO}, placed AS (SELECT id, row_number() OVER (ORDER BY md5(CAST(id AS VARCHAR))) - 1 AS ordinal FROM v)"
+
+
+@query("file_vertex_limit", f"WITH {FILE_ORDER} SELECT id, ordinal FROM placed WHERE ordinal < 50")
+def file_vertex_limit(spark, d):
+    """The vertices of a file's first 50 lines, whatever their labels."""
+    return graphs.limit_vertices(graphs.read_adjacency(spark, _shuffled_file(spark, d), ordinals=True), 50).select("id", "ordinal")
+
+
+@query("file_block_partition", f"WITH {FILE_ORDER} SELECT id, CAST(ntile({PARTS}) OVER (ORDER BY ordinal) - 1 AS INTEGER) AS part FROM placed")
+def file_block_partition(spark, d):
+    """Contiguous blocks in the order of the file."""
+    return layout.partition(graphs.read_adjacency(spark, _shuffled_file(spark, d), ordinals=True), PARTS, position="ordinal").select("id", "part")
+
+
+_LINES = """
+lines AS (SELECT c_custkey % 8 AS kind, CASE c_custkey % 8
+    WHEN 0 THEN 'x' || c_custkey || ' 1.0 2' WHEN 1 THEN '' || c_custkey WHEN 2 THEN c_custkey || chr(9) || '1.0 2'
+    WHEN 3 THEN c_custkey || ' heavy 2' WHEN 4 THEN c_custkey || ' 1.0 2 -3' ELSE c_custkey || ' 1.0 2  3' END AS value FROM customer)"""
+
+
+@query("rejected_lines", f"WITH {_LINES} SELECT value, ['label', 'no weight', 'tab', 'weight', 'neighbour', 'label again'][kind + 1] AS reason FROM lines WHERE kind < 6")
+def rejected_lines(spark, d):
+    """Lines of a file that hold no vertex, one in eight for each reason, by way of the file."""
+    spark.read.parquet(f"{d}/customer.parquet").createOrReplaceTempView("_customer")
+    lines = spark.sql(f"WITH {_LINES.replace('customer)', '_customer)')} SELECT value FROM lines UNION ALL SELECT value FROM lines WHERE kind = 5")
+    return graphs.sorted_out(graphs.read_lines(spark, _file(spark, "lines", lines)))[1].select("value", "reason")
+
+
+@query("accepted_lines", f"WITH {_LINES} SELECT CAST(split_part(value, ' ', 1) AS BIGINT) AS id, 1.0::DOUBLE AS weight, '2 3' AS nbrs FROM lines WHERE kind > 4")
+def accepted_lines(spark, d):
+    """The vertices of the same file, of which each counts once."""
+    spark.read.parquet(f"{d}/customer.parquet").createOrReplaceTempView("_customer")
+    lines = spark.sql(f"WITH {_LINES.replace('customer)', '_customer)')} SELECT value FROM lines UNION ALL SELECT value FROM lines WHERE kind = 5")
+    good = graphs.sorted_out(graphs.read_lines(spark, _file(spark, "lines", lines)))[0]
+    return good.select("id", "weight", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+
+
+@query("binary_ints_file", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_custkey AS value FROM orders")
+def binary_ints_file(spark, d):
+    """Integers by way of binary files, read in ranges."""
+    path = place(spark, "ints")
+    binary.write_ints(spark.read.parquet(f"{d}/orders.parquet").orderBy("o_orderkey").select(F.col("o_custkey").alias("value")), path)
+    return binary.read_ints(spark, path, split=1 << 20)
+
+
 # Layout -------------------------------------------------------------------------------
 
 
@@ -159,6 +211,29 @@ def block_partition(spark, d):
     return layout.block_partition(_graph(spark, d)[0], PARTS)
 
 
+_DEGREE = f"""{GEO}, degrees AS (SELECT src AS id, count(*) AS n FROM e GROUP BY src),
+parts AS (SELECT id, n, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {PARTS} // (SELECT count(*) FROM e) AS INTEGER) AS part FROM degrees)"""
+
+
+@query("degree_partition", f"WITH {_DEGREE} SELECT id, part FROM parts")
+def degree_partition(spark, d):
+    """Contiguous blocks with as many edges each as whole vertices allow."""
+    v, e = _graph(spark, d)
+    return layout.partition(v, PARTS, "degree", e)
+
+
+@query("degree_partition_load", f"WITH {_DEGREE} SELECT part, count(*) AS vertices, CAST(sum(n) AS BIGINT) AS edges FROM parts GROUP BY part")
+def degree_partition_load(spark, d):
+    v, e = _graph(spark, d)
+    owned = layout.edge_owner(e, layout.partition(v, PARTS, "degree", e))
+    return owned.groupBy(F.col("src_part").alias("part")).agg(F.count_distinct("src").alias("vertices"), F.count("*").alias("edges"))
+
+
+@query("hash_partition", f"WITH {GEO} SELECT id, CAST({prf.sql(chr(39) + 'h' + chr(39), '0', 'id')} % {PARTS} AS INTEGER) AS part FROM v")
+def hash_partition(spark, d):
+    return layout.partition(_graph(spark, d)[0], PARTS, "hash")
+
+
 @query("thread_partition", f"WITH {GEO}, {PART} SELECT id, part, CAST(ntile({THREADS}) OVER (PARTITION BY part ORDER BY id) - 1 AS INTEGER) AS thread FROM parts")
 def thread_partition(spark, d):
     return layout.thread_partition(_graph(spark, d)[0], PARTS, THREADS)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trailweave.operators import layout
+from trailweave.sources import binary
+from trailweave.sources.shared import written
+
 
 def parse_adjacency(lines: DataFrame, value: str = "value") -> DataFrame:
     """Adjacency lines ``label weight nbr nbr ...`` -> id, weight, nbrs; extra columns stay.
@@ -23,9 +27,66 @@ def parse_adjacency(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
-    """An adjacency text file, read in splits."""
-    return parse_adjacency(spark.read.text(path))
+#: Splits of files whose first line numbers may be sent to every task.
+SPLITS = 200_000
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files that are not blank, in the order of files and lines: value, file,
+    line (0-based in its file, blank ones counted) and ordinal (0-based over all files, blank
+    ones left out).
+
+    Files are read in splits. A first pass counts the lines of each; the sums of the splits
+    before (a row for each split) shift the numbers that lines have in their own.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
+    solid = F.length(F.trim("value")) > 0
+    splits = raw.groupBy("file", "_s").agg(F.min("_m").alias("_first"), F.count("*").alias("_lines"), F.count_if(solid).alias("_records"))
+    before = (Window.unboundedPreceding, -1)
+
+    def sum_before(col: str, window) -> Column:
+        return F.coalesce(F.sum(col).over(window.rowsBetween(*before)), F.lit(0))
+
+    task = F.shiftright("_first", 33)  # a task numbers the lines of its splits on
+    splits = splits.select(
+        "file", "_s", "_first",
+        sum_before("_lines", Window.partitionBy("file").orderBy("_s")).alias("_line"),
+        sum_before("_records", Window.orderBy("file", "_s")).alias("_ordinal"),
+        (F.shiftleft(task, 33) + sum_before("_records", Window.partitionBy(task).orderBy("_first"))).alias("_base"),
+    )
+    splits = written(splits, "splits")
+    if splits.count() <= SPLITS:
+        splits = F.broadcast(splits)
+    rows = raw.filter(solid).withColumn("_n", F.monotonically_increasing_id()).join(splits, ["file", "_s"])
+    return rows.select("value", "file", (F.col("_m") - F.col("_first") + F.col("_line")).alias("line"), (F.col("_n") - F.col("_base") + F.col("_ordinal")).alias("ordinal"))
+
+
+def read_adjacency(spark: SparkSession, path: str, ordinals: bool = False) -> DataFrame:
+    """An adjacency text file, read in splits; with ``ordinals`` also file, line and ordinal."""
+    return parse_adjacency(read_lines(spark, path) if ordinals else spark.read.text(path))
+
+
+def sorted_out(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of ``read_lines`` as (good, bad): the adjacency of those that hold a vertex, with
+    ordinals from 0 on as before, and file, line, value, reason of the others.
+
+    Reasons: "tab" (only blanks divide), "label" (not a number from 0 on), "no weight",
+    "weight" (not a number), "neighbour" (not a number from 0 on), "label again" (a line before
+    has that label; the first one counts).
+    """
+    t = F.split(F.trim("value"), " +")
+    label, weight = F.expr("try_cast(_t[0] AS BIGINT)"), F.expr("try_cast(get(_t, 1) AS FLOAT)")
+    wrong = F.exists(F.expr("slice(_t, 3, greatest(size(_t) - 2, 0))"), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(-1)) < 0)
+    rows = lines.withColumn("_t", t).withColumn(
+        "reason",
+        F.when(F.col("value").contains("\t"), "tab").when(F.coalesce(label, F.lit(-1)) < 0, "label").when(F.size("_t") < 2, "no weight").when(weight.isNull() | F.isnan(weight), "weight").when(wrong, "neighbour"),
+    )
+    rows = written(rows.withColumn("_id", F.when(F.col("reason").isNull(), label)).drop("_t"), "lines")
+    again = rows.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("ordinal").alias("_o"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    rows = rows.join(again, "_id", "left")
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("ordinal") > F.col("_o"), "label again"))).drop("_id", "_o")
+    good = parse_adjacency(rows.filter("reason IS NULL").drop("reason"))
+    return good, rows.filter("reason IS NOT NULL").select("file", "line", "value", "reason")
 
 
 def parse_edge_list(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -47,10 +108,8 @@ def big_endian_int(raw: Column, index: Column | int) -> Column:
 
 
 def read_binary_header(spark: SparkSession, path: str, vertices: int) -> DataFrame:
-    """(i, value) of the 2 * vertices integers at the start of a binary graph file, which
-    Spark's reader takes as a whole (2 GB at most)."""
-    raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 8 * vertices).alias("c"))
-    return raw.select("c", F.explode(F.sequence(F.lit(0), F.lit(2 * vertices - 1))).alias("i")).select("i", big_endian_int(F.col("c"), F.col("i")).alias("value"))
+    """(i, value) of the 2 * vertices integers at the start of a binary graph file."""
+    return binary.read_ints(spark, path, 2 * vertices)
 
 
 def edges_of(adjacency: DataFrame) -> DataFrame:
@@ -70,8 +129,11 @@ def check(vertices: DataFrame, edges: DataFrame) -> None:
 
 
 def limit_vertices(adjacency: DataFrame, count: int, order: str = "id") -> DataFrame:
-    """The first ``count`` vertices by ``order``; a top-k, no full sort."""
-    return adjacency.orderBy(order).limit(count)
+    """The first ``count`` vertices: by their place in the file, if they have an ``ordinal``, else
+    by ``order``. Rows are chosen by position, so no task takes them all."""
+    if "ordinal" in adjacency.columns:
+        return adjacency.filter(F.col("ordinal") < count)
+    return layout.ranked(adjacency, order, "_p").filter(F.col("_p") < count).drop("_p")
 
 
 #: Vertex kinds of the geo graph; an id is 4 * key + kind, so kinds never meet.
@@ -111,11 +173,23 @@ def render_adjacency(adjacency: DataFrame) -> DataFrame:
     return adjacency.select(F.concat_ws(" ", F.col("id").cast("string"), F.col("weight").cast("string"), F.array_join(F.transform("nbrs", lambda x: x.cast("string")), "  ")).alias("value"))
 
 
+#: Numbers in a file of the message matrix, about.
+CELLS = 4_000_000
+
+
 def write_message_matrix(matrix: DataFrame, parts: int, path: str) -> None:
-    """Square text of message counts: a line for each source part, blanks between."""
-    rows = matrix.groupBy("src_part").pivot("dst_part", list(range(parts))).agg(F.sum("msg_count")).na.fill(0)
-    line = F.concat_ws(" ", *[F.col(str(p)).cast("string") for p in range(parts)])
-    rows.repartitionByRange(1, "src_part").sortWithinPartitions("src_part").select(line.alias("value")).write.text(path)
+    """Square text of message counts: a line for each source part, blanks between. Pairs of
+    parts without a row have no messages. Files follow in the order of their names.
+
+    A line is put together from the numbers that are not zero and the runs of zeros between.
+    """
+    cells = matrix.filter("msg_count <> 0").groupBy("src_part", "dst_part").agg(F.sum("msg_count").alias("n"))
+    rows = cells.groupBy("src_part").agg(F.sort_array(F.collect_list(F.struct("dst_part", "n"))).alias("c"))
+    rows = matrix.sparkSession.range(parts).select(F.col("id").cast("int").alias("src_part")).join(rows, "src_part", "left").withColumn("c", F.coalesce("c", F.expr("CAST(array() AS ARRAY<STRUCT<dst_part: INT, n: BIGINT>>)")))
+    filled = "array_join(transform(c, (x, i) -> repeat('0 ', x.dst_part - coalesce(get(c, i - 1).dst_part + 1, 0)) || x.n || ' '), '')"
+    line = F.expr(f"rtrim({filled} || repeat('0 ', {parts} - coalesce(get(c, size(c) - 1).dst_part + 1, 0)))")
+    files = max(1, parts * parts // CELLS)
+    rows.repartitionByRange(files, "src_part").sortWithinPartitions("src_part").select(line.alias("value")).write.text(path)
 
 
 def gathered(rows: DataFrame, rank: str, value: str, ranks: int) -> DataFrame:

@@ -35,11 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """The driver's own part of the shared folder, which goes when its JVM ends."""
+    path = f"{shared_dir(spark)}/trailweave/{spark.sparkContext.applicationId}"
+    files, target = _files(spark, path)
+    if not files.exists(target):
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return path
+
+
 def place(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, which is deleted as told above."""
-    path = f"{shared_dir(spark)}/trailweave/{label}-{uuid.uuid4().hex}"
-    files, target = _files(spark, path)
-    files.deleteOnExit(target)
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
     if _OPEN:
         _OPEN[-1][0].append(path)
     return path
