@@ -10,20 +10,25 @@ from trailweave.sources import binary
 from trailweave.sources.shared import written
 
 
-def parse_adjacency(lines: DataFrame, value: str = "value") -> DataFrame:
+def parse_adjacency(lines: DataFrame, value: str = "value", checked: bool = False) -> DataFrame:
     """Adjacency lines ``label weight nbr nbr ...`` -> id, weight, nbrs; extra columns stay.
 
     Tokens are divided by runs of blanks (tabs do not divide). The weight has float
-    precision. Blank lines are skipped.
+    precision. Blank lines are skipped. A token that is no number is an error, unless the lines
+    are ``checked``: then none is left, and a filter may run before the check without one.
     """
+
+    def number(c: Column, kind: str) -> Column:
+        return c.try_cast(kind) if checked else c.cast(kind)
+
     line = F.trim(F.col(value))
     t = F.split(line, " +")
     others = [c for c in lines.columns if c != value]
     return lines.filter(F.length(line) > 0).select(
         *others,
-        t[0].cast("long").alias("id"),
-        t[1].cast("float").cast("double").alias("weight"),
-        F.transform(F.slice(t, 3, F.greatest(F.size(t) - 2, F.lit(0))), lambda x: x.cast("long")).alias("nbrs"),
+        number(t[0], "long").alias("id"),
+        number(F.get(t, F.lit(1)) if checked else t[1], "float").cast("double").alias("weight"),
+        F.transform(F.slice(t, 3, F.greatest(F.size(t) - 2, F.lit(0))), lambda x: number(x, "long")).alias("nbrs"),
     )
 
 
@@ -85,7 +90,7 @@ def sorted_out(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = rows.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("ordinal").alias("_o"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
     rows = rows.join(again, "_id", "left")
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("ordinal") > F.col("_o"), "label again"))).drop("_id", "_o")
-    good = parse_adjacency(rows.filter("reason IS NULL").drop("reason"))
+    good = parse_adjacency(rows.filter("reason IS NULL").drop("reason"), checked=True)
     return good, rows.filter("reason IS NOT NULL").select("file", "line", "value", "reason")
 
 
