@@ -35,9 +35,10 @@ def range_of(value: Column, cuts: list[int]) -> Column:
 
 def _cuts(df: DataFrame, order: str) -> list[int]:
     """Quantiles of a column, more of them the more rows there are; null counts as less than all."""
-    seen = df.agg(F.count("*").alias("n"), F.percentile_approx(order, [i / MOST for i in range(1, MOST)], 10 * MOST).alias("q")).first()
-    step = MOST // min(MOST, max(LEAST, seen["n"] // ROWS))
-    return sorted(set((seen["q"] or [])[step - 1 :: step]))
+    n = min(MOST, max(LEAST, df.count() // ROWS))
+    shares = "array(" + ", ".join(f"{i / n!r}D" for i in range(1, n)) + ")"
+    found = df.agg(F.expr(f"percentile_approx(`{order}`, {shares}, {10 * n})").alias("q")).first()["q"]
+    return sorted(set(found or []))
 
 
 def prefix_sums(df: DataFrame, order: str, weight: Column, name: str) -> tuple[DataFrame, int]:
