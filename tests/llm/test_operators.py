@@ -451,6 +451,24 @@ def test_bpe_on_many_and_very_long_words(reference_codec):
         assert c.decode([ids])[0].decode() == text and len(set(ids)) < 40
 
 
+def test_bpe_long_texts_in_windows(monkeypatch):
+    """Windows and pieces give what the library gives for the whole text."""
+    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    library = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    for k, v in (("WINDOW", 50), ("CHUNK", 50), ("DECODED", 37)):
+        monkeypatch.setattr(bpe, k, v)
+    r, c = np.random.default_rng(7), bpe.codec(path)
+    letters = list("abcdefg   \n\t.,'12é—日本語。️🙂") + ["'s", "'ll", " 's", "  "]
+    texts = ["".join(r.choice(letters, 3000)) for _ in range(6)] + ["日本語" * 300 + "。" + "本" * 200, "ab" * 700, " " * 500, "don't " * 200]
+    for t in texts:
+        ids = library.encode_ordinary(t)
+        assert "".join(c.windows(t)) == t and c.encode_ids([t]) == [ids]
+        n, spelled, decoded = c.digests([t])
+        assert (n[0], spelled[0], decoded[0]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert len(list(c.windows(texts[0]))) > 20
+    assert c.encode_ids(texts) == [library.encode_ordinary(t) for t in texts] and c.decode(c.encode_ids(texts)) == [t.encode() for t in texts]
+
+
 # 6 ------------------------------------------------------------------------------------
 
 

@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import regex
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,10 @@ STATE_ROWS = 3_000_000
 #: Parts with more bytes than this contract in several places at once.
 WIDE = 64
 MEMO, CHUNK = 400_000, 3_000_000
+#: Characters of a window of a long text, and ids that are decoded at once.
+WINDOW, DECODED = 3_000_000, 500_000
+#: A letter before another character: what holds the letter ends there, whatever follows.
+_END = regex.compile(r"\p{L}(?=\P{L})")
 
 #: A row of ``state`` is a token with the token after it. Ranks and positions share one
 #: number, so its minimum is the leftmost pair of least rank: rank, pos, pos of the next.
@@ -217,17 +223,43 @@ class Codec:
         return self._decoded(flat, lens)
 
     def _decoded(self, flat: np.ndarray, lens: np.ndarray) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in lens]
+        for k, piece in self._decoded_pieces(flat, lens):
+            out[k].append(piece)
+        return [b"".join(x) for x in out]
+
+    def _decoded_pieces(self, flat: np.ndarray, lens: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(number of the list, bytes) in order; DECODED ids are aggregated at once, so a long
+        list comes in several pieces."""
         if len(flat) and not (0 <= flat.min() and flat.max() < len(self.known) and self.known[flat].all()):
             raise ValueError("ids outside the vocabulary")
         w = np.repeat(np.arange(len(lens)), lens).astype(np.int32)
-        self._table("tokens", pa.table({"w": w, "pos": np.arange(len(flat)), "id": flat.astype(np.int32)}))
-        out = [b""] * len(lens)
-        for k, text in self.db.execute(_DECODE).fetchall():
-            out[k] = text.encode("latin-1")
-        return out
+        for at in range(0, len(flat), DECODED):
+            some = slice(at, at + DECODED)
+            self._table("tokens", pa.table({"w": w[some], "pos": np.arange(len(flat[some])), "id": flat[some].astype(np.int32)}))
+            for k, text in self.db.execute(_DECODE).fetchall():
+                yield k, text.encode("latin-1")
+
+    def windows(self, text: str) -> Iterator[str]:
+        """A text in windows that end where a pre-token does. A run of letters is never cut, and
+        a pattern other than the vocabulary's own gives one window."""
+        at = 0
+        while at < len(text):
+            end = self.split.known and len(text) - at > WINDOW and _END.search(text, at + WINDOW - 1)
+            yield text[at : end.end() if end else len(text)]
+            at = end.end() if end else len(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the number of each text's ids."""
+        if sum(map(len, texts)) <= max(WINDOW, CHUNK):
+            return self._encoded(texts)
+        parts = [(k, w) for k, t in enumerate(texts) for w in self.windows(t)]
+        got = [self._encoded([w]) for _, w in parts]
+        lens = np.zeros(len(texts), dtype=np.int64)
+        np.add.at(lens, [k for k, _ in parts], [n[0] for _, n in got])
+        return np.concatenate([x for x, _ in got]), lens
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words, index, counts = self.split.numbered(texts)
         new = [w for w in words if w not in self.memo]
         if len(self.memo) + len(new) > MEMO:  # keep what this and the last texts use
@@ -250,12 +282,27 @@ class Codec:
 
     def digests(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[str]]:
         """Number of ids, sha-256 of the ids as text, sha-256 of the decoded ids, of each text."""
+        if len(texts) == 1 and len(texts[0]) > WINDOW:
+            return self._long_digests(texts[0])
         flat, lens = self.encode(texts)
         spelled = gathered(self.digits, self.digit_size, flat).tobytes()
         ends = np.append(0, np.cumsum(self.digit_size[flat]))[np.cumsum(lens)].tolist()
         shas = [hashlib.sha256(spelled[a : max(a, b - 1)]).hexdigest() for a, b in zip([0, *ends], ends)]
         return lens, shas, [hashlib.sha256(b).hexdigest() for b in self._decoded(flat, lens)]
 
+    def _long_digests(self, text: str) -> tuple[np.ndarray, list[str], list[str]]:
+        """``digests`` of one long text, of which a window is held at once."""
+        n, spelled, decoded, held = 0, hashlib.sha256(), hashlib.sha256(), b""
+        for window in self.windows(text):
+            flat, lens = self._encoded([window])
+            n += len(flat)
+            digits = held + gathered(self.digits, self.digit_size, flat).tobytes()
+            spelled.update(digits[:-1])
+            held = digits[-1:]
+            for _, piece in self._decoded_pieces(flat, lens):
+                decoded.update(piece)
+        return np.array([n]), [spelled.hexdigest()], [decoded.hexdigest()]
+
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
