@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm import words as W
-from trailweave.llm.common import shared_dir, written
+from trailweave.llm.common import written
 from trailweave.operators import layout
+from trailweave.sources.shared import place
 
 #: A to E: short, repetitive, many capitals, a symbol, a copy of an earlier text.
 FILTERS = "ABCDE"
@@ -100,7 +100,8 @@ def _edges(state: DataFrame, left: list[int]) -> DataFrame:
 def walked(rows: DataFrame, n: int = len(FILTERS)) -> DataFrame:
     """state (bits of the filters applied), part, filter, total, removed, good_lost and
     toxic_lost of every edge of the trie that leads somewhere, from ``facts``."""
-    spark, place, known = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/trailweave/audit-{uuid.uuid4().hex}", set()
+    spark, known = rows.sparkSession, set()
+    folder = place(spark, "audit")
 
     def visit(state: int, survivors: DataFrame) -> None:
         known.add(state)
@@ -108,14 +109,14 @@ def walked(rows: DataFrame, n: int = len(FILTERS)) -> DataFrame:
         if not left:
             return
         survivors = survivors.persist(StorageLevel.MEMORY_AND_DISK)
-        _edges(survivors, left).coalesce(1).write.parquet(f"{place}/state={state}")
+        _edges(survivors, left).coalesce(1).write.parquet(f"{folder}/state={state}")
         for i in left:
             if state | 1 << i not in known:
                 visit(state | 1 << i, survivors.filter(~_fails(i)))
         survivors.unpersist()
 
     visit(0, written(rows, "audit-facts"))
-    return spark.read.schema("part string, total long, filter int, removed long, good_lost long, toxic_lost long, state int").parquet(place)
+    return spark.read.schema("part string, total long, filter int, removed long, good_lost long, toxic_lost long, state int").parquet(folder)
 
 
 def audit(rows: DataFrame, names: str = FILTERS) -> DataFrame:
