@@ -6,16 +6,13 @@ but the last return the columns of ``documents``; the last returns the packed pi
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import packing, quality_rules, secret_scan, similarity, toxicity
-from trailweave.llm.common import crc_of_id, importable, shared_dir, table
+from trailweave.llm.common import crc_of_id, importable, table
 from trailweave.llm.queries import TOKENIZERS
-from trailweave.sources.shared import removed
+from trailweave.sources.shared import place, removed
 
 #: No SQL states the trained stages; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -59,12 +56,11 @@ STAGES = [("quality rules", quality), ("toxicity", toxic), ("near duplicates", n
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``; the result is the last one's. A stage's input
     is deleted once the next has been written, the result when the driver ends."""
-    place = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = place(spark, "corpus")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
-        docs = spark.read.parquet(f"{place}/{k}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
         if k:
-            removed(spark, f"{place}/{k - 1}")
-    atexit.register(removed, spark, place)
+            removed(spark, f"{folder}/{k - 1}")
     return docs
