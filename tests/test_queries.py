@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from trailweave.plans import catalog
+from trailweave.sources import shared
 
 DATA = os.environ.get("TRAILWEAVE_DATA", "/root/testdata/sf0.001")
 
@@ -22,7 +23,9 @@ def db():
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, db, name):
-    got = catalog.QUERIES[name](spark, DATA).toPandas()
+    with shared.scratch(spark):
+        got = catalog.QUERIES[name](spark, DATA).toPandas()
+    assert not shared.children(spark, shared.folder(spark))  # nothing that a query writes outlives it
     want = db.execute(catalog.ORACLE_SQL[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols

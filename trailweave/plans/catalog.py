@@ -178,20 +178,22 @@ lines AS (SELECT c_custkey % 8 AS kind, CASE c_custkey % 8
     WHEN 3 THEN c_custkey || ' heavy 2' WHEN 4 THEN c_custkey || ' 1.0 2 -3' ELSE c_custkey || ' 1.0 2  3' END AS value FROM customer)"""
 
 
+def _odd_file(spark: SparkSession, d: str) -> str:
+    """A text file of which most lines hold no vertex; some come twice."""
+    lines = f"WITH {_LINES.replace('customer)', '{customer})')} SELECT value FROM lines UNION ALL SELECT value FROM lines WHERE kind = 5"
+    return _file(spark, "lines", spark.sql(lines, customer=spark.read.parquet(f"{d}/customer.parquet")))
+
+
 @query("rejected_lines", f"WITH {_LINES} SELECT value, ['label', 'no weight', 'tab', 'weight', 'neighbour', 'label again'][kind + 1] AS reason FROM lines WHERE kind < 6")
 def rejected_lines(spark, d):
     """Lines of a file that hold no vertex, one in eight for each reason, by way of the file."""
-    spark.read.parquet(f"{d}/customer.parquet").createOrReplaceTempView("_customer")
-    lines = spark.sql(f"WITH {_LINES.replace('customer)', '_customer)')} SELECT value FROM lines UNION ALL SELECT value FROM lines WHERE kind = 5")
-    return graphs.sorted_out(graphs.read_lines(spark, _file(spark, "lines", lines)))[1].select("value", "reason")
+    return graphs.sorted_out(graphs.read_lines(spark, _odd_file(spark, d)))[1].select("value", "reason")
 
 
 @query("accepted_lines", f"WITH {_LINES} SELECT CAST(split_part(value, ' ', 1) AS BIGINT) AS id, 1.0::DOUBLE AS weight, '2 3' AS nbrs FROM lines WHERE kind > 4")
 def accepted_lines(spark, d):
     """The vertices of the same file, of which each counts once."""
-    spark.read.parquet(f"{d}/customer.parquet").createOrReplaceTempView("_customer")
-    lines = spark.sql(f"WITH {_LINES.replace('customer)', '_customer)')} SELECT value FROM lines UNION ALL SELECT value FROM lines WHERE kind = 5")
-    good = graphs.sorted_out(graphs.read_lines(spark, _file(spark, "lines", lines)))[0]
+    good = graphs.sorted_out(graphs.read_lines(spark, _odd_file(spark, d)))[0]
     return good.select("id", "weight", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
 
 
