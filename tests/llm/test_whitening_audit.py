@@ -42,6 +42,7 @@ def test_whitened_against_numpy(spark, monkeypatch, d, pairs):
     deviation, white, explained = _plain(vectors, 32)
     k = min(d, 32)
     assert len(got) == 151 * k and {g["n"] for g in got} == {151} and {g["component"] for g in got} == set(range(1, k + 1))
+    assert sorted((r["vec_id"], r["n"], r["deviation"]) for r in whitening.deviations(df).collect()) == sorted((i % 150, 151, x) for i, x in enumerate(deviation))
     signs = {}
     for g in got:
         i, c = g["vec_id"], g["component"] - 1
@@ -59,6 +60,7 @@ def test_whitening_without_variance(spark):
     got = whitening.whitened(spark.createDataFrame(flat, schema)).collect()
     assert len(got) == 6 and {g["component"] for g in got} == {1} and abs(got[0]["explained"] - 1) < 1e-12
     for rows in ([], [(1, None)], [(1, [1.0, 2.0])], [(1, []), (2, [])], [(i, [1.0, 2.0]) for i in range(4)]):
+        assert len(whitening.deviations(spark.createDataFrame(rows, schema)).collect()) == sum(v is not None for _, v in rows)
         none = whitening.whitened(spark.createDataFrame(rows, schema))
         assert none.collect() == [] and none.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
 

@@ -85,6 +85,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def whitening_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of the whitening, which SQL can state."""
+    return whitening.deviations(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return filter_audit.audit(filter_audit.facts(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")))
@@ -104,6 +109,7 @@ QUERIES = {
     "op11_sentencepiece": op11_sentencepiece,
     "op12_whitening": op12_whitening,
     "op13_filter_audit": op13_filter_audit,
+    "whitening_deviation": whitening_deviation,
 }
 
 ORACLE_SQL = {
@@ -160,5 +166,12 @@ r AS (SELECT part, filter_order, step, filter,
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
        CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+""",
+    "whitening_deviation": """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS v
+           FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT i, sum(c) AS total, count(*) AS n FROM (SELECT unnest(v) AS c, generate_subscripts(v, 1) AS i FROM x) GROUP BY i),
+t AS (SELECT list(CAST(total AS HUGEINT) ORDER BY i) AS totals, max(n) AS n FROM s)
+SELECT vec_id, n, CAST(list_sum(list_transform(list_zip(v, totals), lambda z: (n * z[1] - z[2]) * (n * z[1] - z[2]))) AS BIGINT) AS deviation FROM x, t
 """,
 }

@@ -103,6 +103,19 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def _deviation(n: int, sums: tuple[int, ...]) -> str:
+    """SQL of the sum over the dimensions of (n * x - S)^2, exact."""
+    off = ", ".join(f"CAST({n}L * x{d} - {s}L AS DECIMAL(19, 0))" for d, s in enumerate(sums))
+    return f"CAST(aggregate(array({off}), CAST(0 AS DECIMAL(38, 0)), (t, y) -> CAST(t + y * y AS DECIMAL(38, 0))) AS BIGINT)"
+
+
+def deviations(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """key, n, deviation of every usable vector, as in ``whitened``, without components."""
+    x = entries(rows, width(rows, vector), key, vector)
+    n, *sums = _summed(x, ["1L", *[c for c in x.columns if c != "_k"]]) or [0]
+    return x.selectExpr(f"_k AS `{key}`", f"{n}L AS n", f"{_deviation(n, tuple(sums)) if sums else '0L'} AS deviation")
+
+
 def whiten(x: DataFrame, basis: Basis, count: int = COMPONENTS) -> DataFrame:
     """_k, ``deviation`` (sum over the dimensions of (n * x - S)^2, exact) and ``white``, the
     whitened components as an array, of every row of ``entries``."""
@@ -114,9 +127,7 @@ def whiten(x: DataFrame, basis: Basis, count: int = COMPONENTS) -> DataFrame:
             ends = pa.array(np.arange(len(w) + 1, dtype=np.int32) * w.shape[1])
             yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("deviation"), pa.ListArray.from_arrays(ends, pa.array(w.ravel()))], ["_k", "deviation", "white"])
 
-    off = ", ".join(f"CAST({basis.n}L * x{d} - {s}L AS DECIMAL(19, 0))" for d, s in enumerate(basis.sums))
-    exact = f"aggregate(array({off}), CAST(0 AS DECIMAL(38, 0)), (t, y) -> CAST(t + y * y AS DECIMAL(38, 0)))"
-    rows = x.selectExpr("_k", f"CAST({exact} AS BIGINT) AS deviation", "array(" + ", ".join(f"x{d}" for d in range(size)) + ") AS x")
+    rows = x.selectExpr("_k", f"{_deviation(basis.n, basis.sums)} AS deviation", "array(" + ", ".join(f"x{d}" for d in range(size)) + ") AS x")
     kind = rows.schema["_k"].dataType.simpleString()
     return rows.mapInArrow(W.released(run), f"_k {kind}, deviation long, white array<double>")
 
