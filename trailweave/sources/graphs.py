@@ -88,8 +88,10 @@ def sorted_out(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     rows = written(rows.withColumn("_id", F.when(F.col("reason").isNull(), label)).drop("_t"), "lines")
     again = rows.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("ordinal").alias("_o"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
-    rows = rows.join(again, "_id", "left")
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("ordinal") > F.col("_o"), "label again"))).drop("_id", "_o")
+    # A label on many lines is joined by broadcast, and lines that have none are not joined.
+    labelled = layout.hub_join(rows.filter("_id IS NOT NULL"), "_id", again, how="left")
+    labelled = labelled.withColumn("reason", F.when(F.col("ordinal") > F.col("_o"), F.lit("label again"))).drop("_o")
+    rows = labelled.unionByName(rows.filter("_id IS NULL")).drop("_id")
     good = parse_adjacency(rows.filter("reason IS NULL").drop("reason"), checked=True)
     return good, rows.filter("reason IS NOT NULL").select("file", "line", "value", "reason")
 
@@ -128,7 +130,7 @@ def check(vertices: DataFrame, edges: DataFrame) -> None:
         raise ValueError("vertex ids must be 0 or more")
     if not vertices.groupBy("id").count().filter("count > 1").isEmpty():
         raise ValueError("a vertex id comes twice")
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()  # so no task gets all edges of a vertex
     if not ends.join(vertices, "id", "left_anti").isEmpty():
         raise ValueError("an edge ends at a vertex that does not exist")
 
