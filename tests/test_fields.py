@@ -49,3 +49,9 @@ def test_small_helpers():
     assert P.from_bytes(b"\xff\x05", 4) == 0b10101
     assert P.is_irreducible(P.random_irreducible(9, 1))
     assert P.reduce_exponent(1, 0b1011) == P.mod(0b100 ^ 0b10, 0b1011)
+
+
+@pytest.mark.parametrize("d", range(3, 8))
+def test_sampled_polynomials_are_primitive(d):
+    drawn = [P.random_primitive(d, seed) for seed in range(200)]
+    assert set(drawn) == set(P.primitive(d)) and drawn == [P.random_primitive(d, seed) for seed in range(200)]
