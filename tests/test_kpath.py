@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,28 @@ def test_small_graph_counts(small):
         assert kpath.exact_paths(e, v, k).count() == n
 
 
+def test_path_count(spark):
+    """As listed, on directed graphs with triangles, edges in one or both ways, loops and edges listed twice."""
+    r = random.Random(5)
+    for n, m in ((6, 14), (12, 60), (9, 70), (5, 0)):
+        found = {(r.randrange(n), r.randrange(n)) for _ in range(m)}
+        v, e = graph(spark, sorted(found), both=False, isolated=range(n)) if m else (spark.range(n), spark.createDataFrame([], "src long, dst long"))
+        for k in range(1, 6):
+            want = kpath.exact_paths(e, v, k).count()
+            assert [tuple(x) for x in kpath.path_count(e, v, k).collect()] == [(want,)]
+            assert k > 4 or kpath.path_count(e.unionByName(e.limit(3)), v, k).first()["paths"] == want
+
+
+def test_path_count_lists_no_paths_over_a_hub(spark):
+    """A hub with 300,000 leaves and a tail of two: 9e10 paths on three vertices go over the hub."""
+    n = 300_000
+    one = spark.range(n).selectExpr("-1L AS src", "id AS dst").unionByName(spark.createDataFrame([(-1, -2), (-2, -3)], "src long, dst long"))
+    e = one.unionByName(one.selectExpr("dst AS src", "src AS dst"))
+    v = graphs.vertices_of(e).select("id")
+    assert kpath.path_count(e, v, 3).first()["paths"] == (n + 1) * n + 2
+    assert kpath.path_count(e, v, 4).first()["paths"] == 2 * n
+
+
 def test_plain_and_sliced_agree(small):
     v, e = small
     for k in (3, 5):

@@ -406,3 +406,43 @@ def exact_paths(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
         step = paths.join(edges, F.col("last") == F.col("src"))
         paths = step.filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("last"))
     return paths.select("path")
+
+
+def path_count(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """One row (paths): the number of rows of ``exact_paths``, without listing them up to k = 4.
+
+    A path a, b, c, d has a middle edge b, c; any other edge into b and any other edge out of c
+    make one, unless they start and end at the same vertex, which closes a triangle. So edges are
+    joined to degrees only, and triangles are sought from their vertex of least degree: the rows
+    are at most the edges to the power 1.5, however large the hubs. An edge listed again or to
+    its own vertex counts for nothing; all ends of edges are vertices.
+    """
+    if k == 1:
+        return vertices.select("id").distinct().agg(F.count("*").alias("paths"))
+    if k > 4:
+        return exact_paths(edges, vertices, k).agg(F.count("*").alias("paths"))
+    # ways: 1 from a to b, 2 from b to a, 3 both.
+    pairs = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.bit_or(F.when(F.col("src") < F.col("dst"), 1).otherwise(2)).cast("int").alias("ways"))
+    if k == 2:
+        return pairs.agg(F.coalesce(F.sum(F.bit_count("ways")), F.lit(0)).cast("long").alias("paths"))
+    pairs = written(pairs, "path-pairs")
+    ends = pairs.selectExpr("inline(array(struct(a AS id, ways & 1 AS o, shiftright(ways, 1) AS i), struct(b AS id, shiftright(ways, 1) AS o, ways & 1 AS i)))")
+    degrees = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.sum(F.expr("o * i")).alias("r"), F.count("*").alias("n"))
+    if k == 3:
+        return degrees.agg(F.coalesce(F.sum(F.expr("o * i - r")), F.lit(0)).alias("paths"))
+    degrees = written(degrees.drop("r"), "path-degrees")
+    few = degrees.filter(F.col("n") * layout.HUBS > pairs.count())
+    for end in ("a", "b"):
+        at = [F.col(c).alias(end if c == "id" else f"{c}{end}") for c in degrees.columns]
+        pairs = layout.hub_join(pairs, end, degrees.select(*at), few.select(F.col("id").alias(end)))
+    pairs = written(pairs, "path-edges")
+    both = "CAST(ways = 3 AS INT)"
+    walks = pairs.agg(F.sum(F.expr(f"(ways & 1) * (ia - {both}) * (ob - {both}) + shiftright(ways, 1) * (ib - {both}) * (oa - {both})")).alias("walks"))
+    first = "(na < nb OR na = nb AND a < b)"  # each pair from the end of lower degree: x to y
+    low = pairs.selectExpr(f"IF({first}, a, b) AS x", f"IF({first}, b, a) AS y", f"IF({first}, nb, na) AS ny", f"IF({first}, ways, shiftright(ways, 1) + 2 * (ways & 1)) AS ways")
+    xy, xz, yz = low.alias("xy"), low.alias("xz"), low.selectExpr("x AS y", "y AS z", "ways AS ways_yz").alias("yz")
+    wedges = xy.join(xz, F.expr("xy.x = xz.x AND (xy.ny < xz.ny OR xy.ny = xz.ny AND xy.y < xz.y)")).selectExpr("xy.y AS y", "xz.y AS z", "xy.ways AS ways_xy", "xz.ways AS ways_xz")
+    rings = "(ways_xy & 1) * (ways_yz & 1) * shiftright(ways_xz, 1) + (ways_xz & 1) * shiftright(ways_yz, 1) * shiftright(ways_xy, 1)"
+    closed = wedges.join(yz, ["y", "z"]).agg(F.sum(F.expr(rings).cast("long")).alias("rings"))
+    # A ring is closed at each of its three edges.
+    return walks.crossJoin(closed).select((F.coalesce("walks", F.lit(0)) - 3 * F.coalesce("rings", F.lit(0))).cast("long").alias("paths"))
