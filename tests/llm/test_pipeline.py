@@ -46,6 +46,16 @@ def _groups(texts):
     return {i: find(i) for i in texts}
 
 
+def test_secrets_stage_learns_from_all_documents(spark, monkeypatch):
+    """A word of exactly 5 of 60,000 documents is in the dictionary of the stage's forest."""
+    text = F.when(F.col("id") % 12_000 == 7, "ba lo quizzical").otherwise("ba lo mi")
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    seen = []
+    monkeypatch.setattr(secret_scan, "redact", lambda docs, forest: seen.append(forest) or docs)
+    C.secrets(spark, docs, DATA)
+    assert "quizzical" in seen[0].words
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
 def test_stages(spark, tmp_path):
     from tokenizers import Tokenizer
