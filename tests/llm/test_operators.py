@@ -146,6 +146,39 @@ def test_training_sample_takes_whole_texts(spark):
     assert len(few) <= 30 and sum(len(r["text"]) for r in few) <= 250_000 and {r["doc_id"]: r["text"] for r in few}.items() <= {r["doc_id"]: r["text"] for r in rows}.items()
 
 
+def test_training_uses_every_labelled_document(spark, monkeypatch):
+    """All of more than 4000 give cues, windows and calibration; each window lies in one share."""
+    rows = _toxic_corpus(4500)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(7, rows[7][0]), (None, "x"), (9000, "no label")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
+    seen, lexicon, blocks, calibrated = {}, toxicity.lexicon, toxicity._blocks, toxicity._calibrated
+
+    def cut(windows, vocab, shares):
+        got = blocks(windows, vocab, shares)
+        seen["windows"] = windows.count(), sum(b.agg(F.sum("m")).first()[0] for b in got), len(got)
+        return got
+
+    monkeypatch.setattr(toxicity, "STEPS", 4)
+    monkeypatch.setattr(toxicity, "SHARE", 2000)
+    monkeypatch.setattr(toxicity, "lexicon", lambda rows: seen.update(rows=rows.count(), words=lexicon(rows)) or seen["words"])
+    monkeypatch.setattr(toxicity, "_blocks", cut)
+    monkeypatch.setattr(toxicity, "_calibrated", lambda known: seen.update(known=known.count()) or calibrated(known))
+    toxicity.train(docs, labels)
+    assert seen["rows"] == seen["known"] == 4500 and seen["words"] >= {"vileword", "nastyword"}
+    assert seen["windows"][0] == seen["windows"][1] >= 2 * 4500 - 900 and seen["windows"][2] > 1
+    assert lexicon(toxicity._labelled(docs.repartition(5), labels)) == seen["words"]
+
+
+def test_leaders_against_plain(spark, texts):
+    """No smaller document of the same label shares a band."""
+    rows = [(i, i % 3 % 2, t) for i, t in enumerate(texts)]
+    sets = {i: set(enumerate(np.frombuffer(similarity.signature(s), dtype=np.uint64).tolist())) for i, _, t in rows if len(s := similarity.shingles([" ".join(W.words(t or ""))], W.WordHashes())[0])}
+    label = {i: y for i, y, _ in rows}
+    want = {i for i in sets if not any(j < i and label[j] == label[i] and sets[j] & sets[i] for j in sets)}
+    got = toxicity.leaders(spark.createDataFrame(rows, "id long, y int, text string").repartition(3)).collect()
+    assert {r["id"]: r["y"] for r in got} == {i: label[i] for i in want} and len(want) < len(sets)
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     chain = toxicity.train(docs, labels)

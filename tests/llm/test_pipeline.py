@@ -56,6 +56,21 @@ def test_secrets_stage_learns_from_all_documents(spark, monkeypatch):
     assert "quizzical" in seen[0].words
 
 
+def test_toxicity_stage_learns_from_all_labels(spark, tmp_path):
+    """A cue of documents that lie behind the first 4000 labelled ones, in the order of the hashes of
+    their ids, is learnt."""
+    r = np.random.default_rng(8)
+    vocab = ["".join(r.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    ids = spark.range(7500).select(F.col("id").alias("doc_id"))
+    learnt = [x["doc_id"] for x in ids.filter(F.pmod(C.crc_of_id(), F.lit(5)) != 0).orderBy(F.xxhash64("doc_id")).collect()]
+    late, bad = set(learnt[4200::60]), set(range(0, 7500, 10))
+    cue = {**dict.fromkeys(bad, "vileword"), **dict.fromkeys(late, "quizzical")}
+    texts = [" ".join([*r.choice(vocab, 15), cue.get(i, "plain"), *r.choice(vocab, 5)]) for i in range(7500)]
+    spark.createDataFrame([(i, int(i in cue)) for i in range(7500)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = {x["doc_id"] for x in C.toxic(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path)).collect()}
+    assert len(learnt) > 5900 and len(late) > 25 and not left & set(cue) and len(left) > 0.99 * (7500 - len(cue))
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no data")
 def test_stages(spark, tmp_path):
     from tokenizers import Tokenizer

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailweave.sources.shared import shared_dir, written
 
-__all__ = ["crc_of_id", "importable", "partitions", "shared_dir", "table", "written"]
+__all__ = ["crc_of_id", "importable", "most_frequent", "partitions", "shared_dir", "table", "written"]
 
 
 #: Bytes of an Arrow batch at most: a worker holds few texts at once besides a long one.
@@ -45,3 +45,14 @@ def partitions(spark: SparkSession) -> int:
 def crc_of_id(col: str = "doc_id"):
     """crc32 of the id written as text, as the hold-out rules define it."""
     return F.crc32(F.col(col).cast("string").cast("binary"))
+
+
+def most_frequent(counts: DataFrame, word: str, size: int) -> set[str]:
+    """The ``size`` words of (word, n) with the greatest n, equal ones by name. A limit alone would
+    send the driver that many words of each task."""
+    cut, total = 0, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
+        cut, total = r["n"], total + r["words"]
+        if total >= size:
+            break
+    return {r[word] for r in counts.filter(F.col("n") >= cut).orderBy(F.desc("n"), word).limit(size).collect()}

@@ -1,29 +1,40 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tags are clean (0) and toxic (1). Document labels become token labels by a greedy
-cover: the cue (a word or its stem) that best separates the toxic documents not yet explained from the
-clean ones is taken, again and again, until none separates well. The chain
+cover: the cues (words or their stems) that best separate the toxic documents not yet explained from
+the clean ones are taken, again and again, until none separates well. The chain
 is trained on windows around those tokens and on windows of clean documents. Forward-
 backward marginals give offending offsets; their maximum and sum give the document's
 score through a small logistic calibration.
+
+``train`` learns from every labelled document: cues are counted, windows cut, gradients summed and the
+calibration fitted on the executors; the driver gets the cues, the vocabulary and the parameters.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailweave.llm import similarity
 from trailweave.llm import words as W
+from trailweave.llm.common import most_frequent, partitions
+from trailweave.llm.sieve import maybe, sieve
+from trailweave.sources.shared import bucketed, place, scratch, written
 
-#: Labelled documents that are fitted on at most, and the characters of all of them together.
+#: Rows and characters of ``training_rows`` at most; ``train`` has no such bounds.
 TRAIN_ROWS, TRAIN_CHARS = 4000, 30_000_000
-WINDOW, EPOCHS, L2, SEED = 24, 50, 0.02, 17
+WINDOW, STEPS, L2, SEED = 24, 50, 0.02, 17
+#: Shares of the windows that steps take in turn, so each window is used STEPS / SHARES times or, where
+#: there are fewer than SHARE windows a share, more often; windows whose gradient is taken at once.
+SHARES, SHARE, BLOCK = 10, 4000, 4096
+#: Most frequent cues in the chain's vocabulary beside the lexicon; cues that a task counts at once.
+VOCABULARY, HELD = 50_000, 200_000
 STEM = 5
 #: Families with a cue for it to be taken beside the cover.
 WITNESSES = 6
@@ -108,105 +119,258 @@ def cues(word: str) -> tuple[str, ...]:
     return (word, word[:STEM] + "*") if len(word) > STEM else (word,)
 
 
-def families(texts: list[list[str]]) -> list[int]:
-    """The first text of each text's family: texts that share a MinHash band of word
-    shingles, directly or through others. Copies would make all their words look telling."""
-    memo, root, band = W.WordHashes(), list(range(len(texts))), {}
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, y, text) of every document with a label, each id once, in buckets of the id. A sieve
+    keeps other texts out of the shuffle, the only one that texts go through."""
+    named = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
+    known = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    known = maybe(known.withColumn("k", F.xxhash64("id")), sieve(named.select(F.xxhash64("id").alias("k"))), "hit").filter("hit")
+    rows = known.select("id", "text").join(named, "id").groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return bucketed(rows, ["id"], partitions(docs.sparkSession), "toxic-rows")
+
+
+def leaders(rows: DataFrame) -> DataFrame:
+    """(id, y) of documents that share no MinHash band of word shingles with one of the same label
+    and a smaller id. Copies would make all their words look telling."""
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def run(batches):
+        memo = W.WordHashes()
+        for ids, ys, texts in W.chunks(batches, "id", "y", "text"):
+            of, keys = [], []
+            for k, s in enumerate(similarity.shingles([" ".join(W.words(t)) for t in texts], memo)):
+                if len(s):
+                    bands = np.frombuffer(similarity.signature(s), dtype=np.uint64)
+                    keys.append(bands + np.arange(len(bands), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    of.append(np.full(len(bands), k))
+            if of:
+                k = np.concatenate(of)
+                yield pa.RecordBatch.from_pydict({"id": np.array(ids)[k], "y": np.array(ys, dtype=np.int32)[k], "key": np.concatenate(keys).view(np.int64), "n": np.array([len(x) for x in of], dtype=np.int32).repeat([len(x) for x in of])})
+
+    bands = rows.mapInArrow(W.released(run), "id long, y int, key long, n int")
+    first = bands.groupBy("y", "key").agg(F.min(F.struct("id", "n")).alias("f"))
+    return first.groupBy("f.id", "y", "f.n").agg(F.count("*").alias("led")).filter("led = n").select("id", "y")
+
+
+def _counted(rows: DataFrame, cues_of, *columns: str) -> DataFrame:
+    """(c, y, n): rows by cue and label; ``cues_of`` gives the cues and label of a row."""
+
+    def batch(seen):
+        keys = list(seen)
+        return pa.RecordBatch.from_pydict({"c": pa.array([c for c, _ in keys], pa.string()), "y": pa.array([y for _, y in keys], pa.int32()), "n": pa.array(seen.values(), pa.int64())})
+
+    def run(batches):
+        seen = (Counter(), Counter())
+        flat = lambda: {(c, y): n for y in (0, 1) for c, n in seen[y].items()}
+        for lists in W.chunks(batches, *columns):
+            for row in zip(*lists):
+                found, y = cues_of(*row)
+                seen[y].update(found)
+                if len(seen[0]) + len(seen[1]) >= HELD:
+                    yield batch(flat())
+                    seen[0].clear(), seen[1].clear()
+        yield batch(flat())
 
-    for i, s in enumerate(similarity.shingles([" ".join(t) for t in texts], memo)):
-        if len(s):
-            for k, v in enumerate(np.frombuffer(similarity.signature(s), dtype=np.uint64).tolist()):
-                x, y = find(i), find(band.setdefault((k, v), i))
-                root[max(x, y)] = min(x, y)
-    return [find(i) for i in range(len(texts))]
+    return rows.mapInArrow(W.released(run), "c string, y int, n long").groupBy("c", "y").agg(F.sum("n").alias("n"))
 
 
-def lexicon(texts: list[list[str]], toxic: list[int]) -> set[str]:
+def _cues_of_text(y: int, text: str):
+    return {c for w in set(W.words(text)) for c in cues(w)}, y
+
+
+def _separates(count, n, good, n_good):
+    """How well a cue in ``count`` of n toxic and ``good`` of n_good clean documents separates them:
+    its log odds ratio in standard errors."""
+    odds = F.log((count + 0.5) / (n - count + 0.5)) - F.log((good + 0.5) / (n_good - good + 0.5))
+    return odds / F.sqrt(1 / (count + 0.5) + 1 / (n - count + 0.5) + 1 / (good + 0.5) + 1 / (n_good - good + 0.5))
+
+
+def lexicon(rows: DataFrame) -> set[str]:
     """Cues that explain toxic labels: a greedy cover of the toxic documents, and all other
-    cues that are as one-sided. A family of near copies counts once for each label."""
-    once = {(f, int(y)): t for f, t, y in zip(families(texts), texts, toxic)}
-    sets = [({c for w in set(t) for c in cues(w)}, y) for (_, y), t in sorted(once.items())]
-    seen = Counter(c for d, y in sets if y for c in d)
-    names = sorted(c for c, n in seen.items() if n > 1)
-    index = {c: i for i, c in enumerate(names)}
-    bad = [np.array(sorted(index[c] for c in d if c in index), dtype=np.int64) for d, y in sets if y]
-    n_good, good, count = sum(not y for _, y in sets), np.zeros(len(names)), np.zeros(len(names))
-    for d, y in sets:
-        if not y:
-            for c in d:
-                if (i := index.get(c)) is not None:
-                    good[i] += 1
-    where = defaultdict(list)
-    for k, d in enumerate(bad):
-        count[d] += 1
-        for i in d.tolist():
-            where[i].append(k)
-    total, left, taken = count.copy(), set(range(len(bad))), set()
-    usual = (total >= 4 * good * len(bad) / max(1, n_good)) & (good <= 0.05 * n_good + 1)
-    while left and len(names):
-        n = len(left)
-        odds = np.log((count + 0.5) / (n - count + 0.5)) - np.log((good + 0.5) / (n_good - good + 0.5))
-        z = odds / np.sqrt(1 / (count + 0.5) + 1 / (n - count + 0.5) + 1 / (good + 0.5) + 1 / (n_good - good + 0.5))
-        z[~usual | (count < 2)] = 0
-        best = int(np.argmax(z))
-        if z[best] < 2.5:
-            break
-        taken.add(names[best])
-        for k in where[best]:
-            if k in left:
-                count[bad[k]] -= 1
-                left.discard(k)
-    share = total / np.maximum(1.0, total + good * len(bad) / max(1, n_good))
-    return taken | {names[i] for i in np.flatnonzero(usual & (total >= WITNESSES) & (share >= 0.95))}
+    cues that are as one-sided, both of cues that separate all documents well. Of near copies one
+    counts for each label.
+
+    In each round a document that is not yet explained names the cue of its own that separates best;
+    cues that separate well by the documents that name them are taken."""
+    spark = rows.sparkSession
+    first = bucketed(leaders(rows), ["id"], partitions(spark), "toxic-leaders")
+    sizes = {r["y"]: r["n"] for r in first.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
+    ratio = n_bad / max(1, n_good)
+    kept = rows.join(first.select("id"), "id", "left_semi")
+    by_label = _counted(kept, _cues_of_text, "y", "text").groupBy("c").agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(n) for y, n in ((1, "total"), (0, "good"))])
+    usual = (F.col("total") > 1) & (F.col("total") >= 4 * ratio * F.col("good")) & (F.col("good") <= 0.05 * n_good + 1)
+    apart = _separates(F.col("total"), n_bad, F.col("good"), n_good) >= 2.5
+    names = written(by_label.filter(usual & apart), "toxic-cues")
+    share = F.col("total") / F.greatest(F.lit(1.0), F.col("total") + ratio * F.col("good"))
+    taken = {r["c"] for r in names.filter((F.col("total") >= WITNESSES) & (share >= 0.95)).select("c").collect()}
 
+    def run(batches):
+        for ids, texts in W.chunks(batches, "id", "text"):
+            found = [sorted(_cues_of_text(1, t)[0]) for t in texts]
+            yield pa.RecordBatch.from_pydict({"id": np.array(ids, dtype=np.int64).repeat([len(f) for f in found]), "c": pa.array([c for f in found for c in f], pa.string())})
+
+    held = kept.filter("y = 1").select("id", "text").mapInArrow(W.released(run), "id long, c string").withColumn("k", F.xxhash64("c"))
+    left, n = maybe(held, sieve(names.select(F.xxhash64("c").alias("k"))), "hit").filter("hit").select("id", "c").join(names.select("c", "good"), "c"), n_bad
+    while True:
+        left = written(left, "toxic-left")
+        z = left.groupBy("c").agg(F.count("*").alias("k"), F.first("good").alias("good")).filter("k > 1").select("c", "good", _separates(F.col("k"), n, F.col("good"), n_good).alias("z")).filter("z >= 2.5")
+        named = left.select("id", "c").join(z, "c").groupBy("id").agg(F.max(F.struct("z", "c", "good")).alias("best"))
+        votes = named.groupBy("best.c", "best.good").agg(F.count("*").alias("k")).filter((F.col("k") > 1) & (_separates(F.col("k"), n, F.col("good"), n_good) >= 2.5))
+        votes = written(votes.select("c"), "toxic-votes")
+        new = {r["c"] for r in votes.collect()}
+        if not new:
+            return taken
+        taken |= new
+        done = written(left.join(votes, "c", "left_semi").select("id").distinct(), "toxic-done")
+        n -= done.count()
+        left = left.join(done, "id", "left_anti")
+
+
+def _windows(rows: DataFrame, bad: set[str]) -> DataFrame:
+    """(share, w, tags): windows of WINDOW words, joined by blanks, and their tags as digits. Up to six
+    around cues of a toxic document; two anywhere in one without cues and in a clean one, and up to
+    three around what looks like a cue in clean text, which counts as clean."""
 
-def fit(texts: list[str], toxic: list[int]) -> Chain:
-    """Train the chain and the calibration; no toxic labels give a chain that scores near 0."""
-    if not any(toxic):
-        return Chain()
-    pool: dict[str, str] = {}  # one object for each word, however often it comes
-    docs = [[pool.setdefault(w, w) for w in W.words(t)] for t in texts]
-    bad = lexicon(docs, toxic)
-    rng = np.random.default_rng(SEED)
-    seqs: list[tuple[list[str], list[int]]] = []
-    for d, y in zip(docs, toxic):
-        tags = [int(bool(y) and not bad.isdisjoint(cues(w))) for w in d]
-        for at in [i for i, x in enumerate(tags) if x][:6] or ([int(rng.integers(len(d)))] * 2 if d else []):
-            lo = max(0, at - int(rng.integers(WINDOW)))
-            seqs.append((d[lo : lo + WINDOW], tags[lo : lo + WINDOW]))
-        if not y:  # what looks like a cue in clean text counts as clean
-            for at in [i for i, w in enumerate(d) if not bad.isdisjoint(cues(w))][:3]:
-                lo = max(0, at - int(rng.integers(WINDOW)))
-                seqs.append((d[lo : lo + WINDOW], tags[lo : lo + WINDOW]))
-    seqs = [s for s in seqs if s[0]]
-    if not seqs:
-        return Chain()
-    counts = Counter(c for s, _ in seqs for w in s for c in cues(w))
-    vocab = {c: i for i, c in enumerate(sorted(c for c, n in counts.items() if n > 1 or c in bad))}
-    m, oov = len(seqs), len(vocab)
-    X, Z, S, Y, on = (np.zeros((m, WINDOW), dtype=np.int64) for _ in range(5))
+    def run(batches):
+        memo: dict[str, bool] = {}
+        for ids, ys, texts in W.chunks(batches, "id", "y", "text"):
+            shares, words, marks = [], [], []
+            for k, y, t in zip(ids, ys, texts):
+                d = W.words(t)
+                if not d:
+                    continue
+                if len(memo) > HELD:
+                    memo.clear()
+                for w in set(d):
+                    if w not in memo:
+                        memo[w] = not bad.isdisjoint(cues(w))
+                hits = [i for i, w in enumerate(d) if memo[w]]
+                rng = np.random.default_rng([SEED, k & (2**64 - 1)])
+                places = hits[:6] if y and hits else [int(rng.integers(len(d)))] * 2 + hits[:3]
+                for at in places:
+                    lo = max(0, at - int(rng.integers(WINDOW)))
+                    part = d[lo : lo + WINDOW]
+                    shares.append(k % SHARES)
+                    words.append(" ".join(part))
+                    marks.append("".join("1" if y and memo[w] else "0" for w in part))
+            yield pa.RecordBatch.from_pydict({"share": pa.array(shares, pa.int32()), "w": pa.array(words, pa.string()), "tags": pa.array(marks, pa.string())})
+
+    return rows.mapInArrow(W.released(run), "share int, w string, tags string")
+
+
+def _arrays(windows: list[tuple[str, str]], vocab: dict[str, int]) -> tuple[np.ndarray, ...]:
+    """X, Z, S, Y, on of ``_gradient``."""
+    X, Z, S, Y, on = (np.zeros((len(windows), WINDOW), dtype=np.int32) for _ in range(5))
+    oov = len(vocab)
     X[:], Z[:] = oov, oov
-    for i, (s, y) in enumerate(seqs):
+    for i, (w, tags) in enumerate(windows):
+        s = w.split(" ")
         k = len(s)
-        S[i, :k], Y[i, :k], on[i, :k] = [shape(w) for w in s], y, 1
-        X[i, :k], Z[i, :k] = [vocab.get(w, oov) for w in s], [vocab.get(cues(w)[-1], oov) if len(w) > STEM else oov for w in s]
-    theta = np.zeros(oov + 1 + 16 + 4 + 2)
-    lengths = on.sum(1)
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, EPOCHS + 1):
-        g = _gradient(theta, X, Z, S, Y, on, lengths, oov) / m - L2 / np.sqrt(m) * theta * 0.1
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
-        theta = theta + 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    wv, sv, tr, st = np.split(theta, [oov + 1, oov + 17, oov + 21])
-    chain = Chain({w: float(wv[i]) for w, i in vocab.items()}, sv, tr.reshape(2, 2), st)
-    chain.doc = _calibrate(*doc_features(docs, Emissions(chain), chain)[1:], toxic)
-    return chain
+        S[i, :k], Y[i, :k], on[i, :k] = [shape(x) for x in s], [int(x) for x in tags], 1
+        X[i, :k], Z[i, :k] = [vocab.get(x, oov) for x in s], [vocab.get(cues(x)[-1], oov) if len(x) > STEM else oov for x in s]
+    return X, Z, S, Y, on
+
+
+def _blocks(windows: DataFrame, vocab: dict[str, int], shares: int) -> list[DataFrame]:
+    """The windows of each share as arrays, BLOCK at most in a row."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def block(k):
+            got = held.pop(k)
+            return pa.RecordBatch.from_pydict({"share": pa.array([k], pa.int32()), "m": pa.array([len(got)], pa.int32()), "x": pa.array([np.stack(_arrays(got, vocab)).tobytes()], pa.binary())})
+
+        for ks, ws, tags in W.chunks(batches, "share", "w", "tags"):
+            for k, w, t in zip(ks, ws, tags):
+                own = held.setdefault(k % shares, [])
+                own.append((w, t))
+                if len(own) == BLOCK:
+                    yield block(k % shares)
+        for k in list(held):
+            yield block(k)
+
+    spark = windows.sparkSession
+    path = place(spark, "toxic-blocks")
+    windows.mapInArrow(W.released(run), "share int, m int, x binary").write.partitionBy("share").parquet(path)
+    all_ = spark.read.schema("m int, x binary, share int").parquet(path)
+    return [all_.filter(F.col("share") == k).select("m", "x") for k in range(shares)]
+
+
+def _summed(blocks: DataFrame, theta: np.ndarray, oov: int) -> tuple[np.ndarray, int]:
+    """The gradient of all blocks, and how many windows they hold."""
+
+    def run(batches):
+        g, m = np.zeros_like(theta), 0
+        for b in batches:
+            for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                X, Z, S, Y, on = np.frombuffer(x, dtype=np.int32).reshape(5, n, WINDOW)
+                g += _gradient(theta, X, Z, S, Y, on, on.sum(1), oov)
+                m += n
+        yield pa.RecordBatch.from_pydict({"m": pa.array([m], pa.int64()), "g": pa.array([g.tobytes()], pa.binary())})
+
+    got = blocks.mapInArrow(run, "m long, g binary").collect()
+    return sum((np.frombuffer(r["g"]) for r in got), np.zeros_like(theta)), sum(r["m"] for r in got)
+
+
+def _calibrated(known: DataFrame) -> tuple[float, float, float]:
+    """Logistic regression of y on (1, f1, f2) by Newton steps with a weak prior."""
+    x, w = [F.lit(1.0), F.col("f1"), F.col("f2")], np.zeros(3)
+    for _ in range(40):
+        t = sum((float(v) * c for v, c in zip(w, x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), t))))
+        some = known.select("y", *[c.alias(f"x{i}") for i, c in enumerate(x)], p.alias("p"))
+        x_ = [F.col(f"x{i}") for i in range(3)]
+        got = some.agg(*[F.sum(a * (F.col("y") - F.col("p"))) for a in x_], *[F.sum(a * b * F.col("p") * (1 - F.col("p"))) for a in x_ for b in x_]).first()
+        step = np.linalg.solve(np.array(got[3:]).reshape(3, 3) + 0.05 * np.eye(3), np.array(got[:3]) - 0.05 * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(float(v) for v in w)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Chain:
+    """The chain and the calibration, of every labelled document with a text, copies of
+    a row once. No toxic labels give a chain that scores near 0."""
+    with scratch(docs.sparkSession):
+        rows = _labelled(docs, labels)
+        if rows.filter("y = 1").isEmpty():
+            return Chain()
+        bad = lexicon(rows)
+        windows = written(_windows(rows, bad), "toxic-windows")
+        m = windows.count()
+        if not m:
+            return Chain()
+        counts = _counted(windows, lambda w: ([c for x in w.split(" ") for c in cues(x)], 0), "w").select("c", "n")
+        vocab = {c: i for i, c in enumerate(sorted(most_frequent(written(counts.filter("n > 1"), "toxic-vocabulary"), "c", VOCABULARY) | bad))}
+        oov = len(vocab)
+        shares = max(1, min(SHARES, m // SHARE))
+        blocks = _blocks(windows, vocab, shares)
+        theta = np.zeros(oov + 1 + 16 + 4 + 2)
+        m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, STEPS + 1):
+            g, n = _summed(blocks[step % shares], theta, oov)
+            g = g / max(1, n) - L2 / np.sqrt(m) * theta * 0.1
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+            theta = theta + 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+        wv, sv, tr, st = np.split(theta, [oov + 1, oov + 17, oov + 21])
+        chain = Chain({w: float(wv[i]) for w, i in vocab.items()}, sv, tr.reshape(2, 2), st)
+
+        def run(batches):
+            memo = Emissions(chain)
+            for ys, texts in W.chunks(batches, "y", "text"):
+                _, f1, f2 = doc_features([W.words(t) for t in texts], memo, chain)
+                yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "f1": f1, "f2": f2})
+
+        chain.doc = _calibrated(written(rows.select("y", "text").mapInArrow(W.released(run), "y int, f1 double, f2 double"), "toxic-known"))
+        return chain
+
+
+def fit(texts: list[str], toxic: list[int]) -> Chain:
+    """``train`` on a few texts and their labels."""
+    spark = SparkSession.active()
+    rows = list(enumerate(texts))
+    return train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int"))
 
 
 def _gradient(theta, X, Z, S, Y, on, lengths, oov):
@@ -259,19 +423,8 @@ def doc_features(docs: list[list[str]], memo: Emissions, chain: Chain):
     return p, f1, f2
 
 
-def _calibrate(f1, f2, y) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a weak prior."""
-    X, y = np.stack([np.ones(len(y)), np.array(f1), np.array(f2)], 1), np.array(y, dtype=float)
-    w = np.zeros(3)
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
-        h = (X * (p * (1 - p))[:, None]).T @ X + 0.05 * np.eye(3)
-        w += np.linalg.solve(h, X.T @ (y - p) - 0.05 * w)
-    return tuple(float(v) for v in w)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> list:
-    """A bounded sample of labelled documents: whole texts by ascending hash of the id, as
+    """A bounded sample of labelled documents to look at on the driver; ``train`` takes all: whole texts by ascending hash of the id, as
     many as ``rows`` and, together, ``chars`` characters allow. Ids and lengths come first,
     alone; texts are read for the chosen ones only. Copies of a row count once."""
     named = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -289,15 +442,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
     return [got[d] for d, _ in taken if d in got]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Chain:
-    """Fit on a bounded sample of the labelled rows (see ``training_rows``)."""
-    got = training_rows(docs, labels, rows)
-    chain = fit([r["text"] for r in got], [int(r["toxic"] > 0) for r in got])
-    del got
-    W.trim()
-    return chain
-
-
 SCHEMA = "doc_id long, score double, predicted int, n_spans int, spans array<struct<start:int,end:int,probability:double>>"
 
 
