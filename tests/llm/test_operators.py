@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -169,6 +170,20 @@ def test_training_uses_every_labelled_document(spark, monkeypatch):
     assert lexicon(toxicity._labelled(docs.repartition(5), labels)) == seen["words"]
 
 
+def test_emissions_cost_little_more_than_their_cues():
+    """A corpus has many words that are seen once; they are the larger part of a score's work."""
+    r = np.random.default_rng(33)
+    words = ["".join(w) for w in r.choice(list("abcdefgh1"), (60_000, 9))] + ["ab", "a" * 30, "é1"]
+    chain = toxicity.Chain({w: float(x) for w, x in zip(words[::7], r.normal(size=9000) * 20)}, r.normal(size=16))
+    spent = []
+    for make in (toxicity.cues, toxicity.Emissions(chain).__getitem__):
+        began = time.process_time()
+        got = [make(w) for w in words]
+        spent.append(time.process_time() - began)
+    assert np.allclose(got, [np.exp(np.clip(sum(chain.word.get(c, 0.0) for c in toxicity.cues(w)) + chain.shape[toxicity.shape(w)], -30, 30)) for w in words], rtol=1e-12)
+    assert spent[1] < 9 * spent[0]
+
+
 def test_leaders_against_plain(spark, texts):
     """No smaller document of the same label shares a band."""
     rows = [(i, i % 3 % 2, t) for i, t in enumerate(texts)]
