@@ -170,6 +170,39 @@ def test_training_uses_every_labelled_document(spark, monkeypatch):
     assert lexicon(toxicity._labelled(docs.repartition(5), labels)) == seen["words"]
 
 
+def test_gradient_steps_send_the_driver_a_bounded_amount(spark):
+    """However many blocks there are, no more tasks than the cluster runs at once report to the driver."""
+    r = np.random.default_rng(31)
+    oov, n = 40, toxicity.WINDOW
+    theta, rows, want = r.normal(size=oov + 1 + 22), [], np.zeros(oov + 1 + 22)
+    for _ in range(30):
+        x = np.stack([r.integers(0, top, (5, n)) for top in (oov + 1, oov + 1, 16, 2, 2)]).astype(np.int32)
+        x[4] = 1
+        rows.append((5, x.tobytes()))
+        want += toxicity._gradient(theta, *x, x[4].sum(1), oov)
+    context = spark.sparkContext
+    context.setJobGroup("steps", "")
+    g, m = toxicity._summed(spark.createDataFrame(rows, "m int, x binary").repartition(30).localCheckpoint(), theta, oov)
+    status = context.statusTracker()
+    jobs = [status.getJobInfo(j) for j in sorted(status.getJobIdsForGroup("steps"))]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert m == 150 and np.allclose(g, want)
+    assert max(status.getStageInfo(k).numTasks for k in jobs[-1].stageIds) <= context.defaultParallelism
+
+
+def test_calibration_compiles_nothing_for_a_step(spark):
+    r = np.random.default_rng(32)
+    f = r.normal(size=(300, 2))
+    y = (f @ [1.0, -0.5] + r.normal(size=300) > 0.3).astype(int)
+    known = spark.createDataFrame([(int(a), float(b), float(c)) for a, (b, c) in zip(y, f)], "y int, f1 double, f2 double").localCheckpoint()
+    compiled = spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME()
+    before = compiled.getCount()
+    w = np.array(toxicity._calibrated(known))
+    assert compiled.getCount() - before <= 2
+    x = np.column_stack([np.ones(300), f])
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ w))) - 0.05 * w).max() < 1e-6  # no slope is left
+
+
 def test_emissions_cost_little_more_than_their_cues():
     """A corpus has many words that are seen once; they are the larger part of a score's work."""
     r = np.random.default_rng(33)

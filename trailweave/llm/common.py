@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailweave.sources.shared import shared_dir, written
 
-__all__ = ["crc_of_id", "importable", "most_frequent", "partitions", "shared_dir", "table", "written"]
+__all__ = ["crc_of_id", "importable", "most_frequent", "partitions", "shared_dir", "swept", "table", "written"]
 
 
 #: Bytes of an Arrow batch at most: a worker holds few texts at once besides a long one.
@@ -42,6 +42,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def swept(spark: SparkSession) -> None:
+    """Let the driver's JVM free what ended jobs have left (results, plans, broadcasts) and give heap
+    back. In the course of many small jobs it would grow to its limit first."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_of_id(col: str = "doc_id"):
     """crc32 of the id written as text, as the hold-out rules define it."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

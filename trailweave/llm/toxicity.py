@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm import similarity
 from trailweave.llm import words as W
-from trailweave.llm.common import most_frequent, partitions
+from trailweave.llm.common import most_frequent, partitions, swept
 from trailweave.llm.sieve import maybe, sieve
 from trailweave.sources.shared import bucketed, place, scratch, written
 
@@ -304,32 +304,51 @@ def _blocks(windows: DataFrame, vocab: dict[str, int], shares: int) -> list[Data
 
 
 def _summed(blocks: DataFrame, theta: np.ndarray, oov: int) -> tuple[np.ndarray, int]:
-    """The gradient of all blocks, and how many windows they hold."""
+    """The gradient of all blocks, and how many windows they hold. As many tasks as the cluster runs at
+    once, each for several blocks, send the driver what is not 0: however many blocks there are, it
+    gets no more. The parameters go out as a broadcast, which ends with the step."""
+
+    context = blocks.sparkSession.sparkContext
+    sent = context.broadcast(theta)
 
     def run(batches):
-        g, m = np.zeros_like(theta), 0
+        g, m = np.zeros_like(sent.value), 0
         for b in batches:
             for n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 X, Z, S, Y, on = np.frombuffer(x, dtype=np.int32).reshape(5, n, WINDOW)
-                g += _gradient(theta, X, Z, S, Y, on, on.sum(1), oov)
+                g += _gradient(sent.value, X, Z, S, Y, on, on.sum(1), oov)
                 m += n
-        yield pa.RecordBatch.from_pydict({"m": pa.array([m], pa.int64()), "g": pa.array([g.tobytes()], pa.binary())})
+        at = np.flatnonzero(g)
+        yield pa.RecordBatch.from_pydict({"m": pa.array([m], pa.int64()), "at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "g": pa.array([g[at].tobytes()], pa.binary())})
 
-    got = blocks.mapInArrow(run, "m long, g binary").collect()
-    return sum((np.frombuffer(r["g"]) for r in got), np.zeros_like(theta)), sum(r["m"] for r in got)
+    g, m = np.zeros_like(theta), 0
+    for r in blocks.coalesce(context.defaultParallelism).mapInArrow(run, "m long, at binary, g binary").collect():
+        g[np.frombuffer(r["at"], dtype=np.int32)] += np.frombuffer(r["g"])
+        m += r["m"]
+    sent.destroy()
+    return g, m
 
 
 def _calibrated(known: DataFrame) -> tuple[float, float, float]:
-    """Logistic regression of y on (1, f1, f2) by Newton steps with a weak prior."""
-    x, w = [F.lit(1.0), F.col("f1"), F.col("f2")], np.zeros(3)
+    """Logistic regression of y on (1, f1, f2) by Newton steps with a weak prior. A step's sums are
+    taken in Python: numbers in a Spark expression would be compiled anew at each step."""
+    w = np.zeros(3)
+
+    def run(batches):
+        g, h = np.zeros(3), np.zeros((3, 3))
+        for b in batches:
+            y, f1, f2 = (c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns)
+            x = np.stack([np.ones(len(y)), f1, f2])
+            p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+            g += x @ (y - p)
+            h += (x * (p * (1 - p))) @ x.T
+        yield pa.RecordBatch.from_pydict({"s": pa.array([np.append(g, h).tolist()], pa.list_(pa.float64()))})
+
+    some = known.select("y", "f1", "f2")
     for _ in range(40):
-        t = sum((float(v) * c for v, c in zip(w, x)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), t))))
-        some = known.select("y", *[c.alias(f"x{i}") for i, c in enumerate(x)], p.alias("p"))
-        x_ = [F.col(f"x{i}") for i in range(3)]
-        got = some.agg(*[F.sum(a * (F.col("y") - F.col("p"))) for a in x_], *[F.sum(a * b * F.col("p") * (1 - F.col("p"))) for a in x_ for b in x_]).first()
-        step = np.linalg.solve(np.array(got[3:]).reshape(3, 3) + 0.05 * np.eye(3), np.array(got[:3]) - 0.05 * w)
-        w += step
+        got = np.sum([r["s"] for r in some.mapInArrow(run, "s array<double>").collect()] or [[0.0] * 12], axis=0)
+        step = np.linalg.solve(got[3:].reshape(3, 3) + 0.05 * np.eye(3), got[:3] - 0.05 * w)
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return tuple(float(v) for v in w)
@@ -343,6 +362,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
         if rows.filter("y = 1").isEmpty():
             return Chain()
         bad = lexicon(rows)
+        swept(docs.sparkSession)
         windows = written(_windows(rows, bad), "toxic-windows")
         m = windows.count()
         if not m:
@@ -359,6 +379,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
             g = g / max(1, n) - L2 / np.sqrt(m) * theta * 0.1
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
             theta = theta + 0.15 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+            if step % SHARES == 0:
+                swept(docs.sparkSession)
         wv, sv, tr, st = np.split(theta, [oov + 1, oov + 17, oov + 21])
         chain = Chain({w: float(wv[i]) for w, i in vocab.items()}, sv, tr.reshape(2, 2), st)
 
@@ -369,6 +391,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
                 yield pa.RecordBatch.from_pydict({"y": pa.array(ys, pa.int32()), "f1": f1, "f2": f2})
 
         chain.doc = _calibrated(written(rows.select("y", "text").mapInArrow(W.released(run), "y int, f1 double, f2 double"), "toxic-known"))
+        swept(docs.sparkSession)
         return chain
 
 
