@@ -21,3 +21,12 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def _own_tables(spark):
+    """What a test writes to the shared folder goes at its end, so that no other test finds it."""
+    from trailweave.sources import shared
+
+    with shared.scratch(spark):
+        yield
