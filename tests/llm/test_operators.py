@@ -412,6 +412,22 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100}
 
 
+def test_groups_plans_stay_small(spark, docs, monkeypatch):
+    """What the driver plans: few joins in any table, and components once unless links are added."""
+    joins, labelled, written, components = {}, [], similarity.written, similarity.components
+
+    def planned(df, label):
+        joins[label] = max(joins.get(label, 0), df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return written(df, label)
+
+    monkeypatch.setattr(similarity, "written", planned)
+    monkeypatch.setattr(similarity, "components", lambda edges: labelled.append(1) or components(edges))
+    out = similarity.groups(docs)
+    joins["out"] = out._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert max(joins.values()) <= 10 and len(labelled) == 1, (joins, labelled)
+    assert out.count() == docs.count()
+
+
 def test_words_are_the_pattern():
     for t in ("Héllo, wörld_1 ²x½ ÀÉ", "naïve – Ж中 x", "", "A b\x85c"):
         assert W.words(t) == re.findall(r"\w+", t.lower())

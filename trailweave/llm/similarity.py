@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm import words as W
-from trailweave.llm.common import partitions, written
+from trailweave.llm.common import partitions, swept, written
 from trailweave.llm.sieve import maybe, sieve
 from trailweave.operators import layout
 
@@ -281,7 +281,8 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (a, b): node, label (the least node). Labels go along edges
     and then jump to their label's label, so rounds grow with the logarithm of a chain. Nodes
-    with very many edges get their labels by broadcast."""
+    with very many edges get their labels by broadcast. Both moves are written, so that no plan
+    holds the other's joins. Labels that no edge changes are the least nodes."""
     one = edges.filter("a <> b").select("a", "b")
     both = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     few = written(layout.hubs(both, "b").select("b"), "cc-hubs")
@@ -289,12 +290,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = layout.hub_join(both, "b", labels.withColumnRenamed("node", "b"), few).groupBy("a").agg(F.min("label").alias("seen"))
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        step = layout.hub_join(step, "label", labels.select(F.col("node").alias("label"), F.col("label").alias("above")), layout.hubs(labels, "label"), "left")
-        step = step.select("node", "old", F.least("label", "above").alias("label"))
-        labels = written(step, "cc-labels")
-        if labels.filter("old <> label").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        step = written(step, "cc-step")
+        if step.filter("old <> label").isEmpty():
+            swept(edges.sparkSession)
+            return labels
+        step = layout.hub_join(step.drop("old"), "label", labels.select(F.col("node").alias("label"), F.col("label").alias("above")), layout.hubs(labels, "label"), "left")
+        labels = written(step.select("node", F.least("label", "above").alias("label")), "cc-labels")
 
 
 def _members(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -387,11 +388,13 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         salt += 1
         rest = large
         large = large.drop("labels", "top")
-        if links.isEmpty():
+        last = links.isEmpty()
+        if last:
             found.append(_compared(docs, classes, _rest(rest), threshold, False))
+        labels = _labels(_united(found))
+        if last:
             break
-        labels = written(_labels(_united(found)), "join-labels")
-    return _rows(hashed, classes, _labels(_united(found)), None).drop("n_links")
+    return _rows(hashed, classes, labels, None).drop("n_links")
 
 
 def _united(parts: list[DataFrame]) -> DataFrame:
@@ -422,7 +425,7 @@ def _rows(hashed: DataFrame, classes: DataFrame, labels: DataFrame, per: DataFra
     linked = per.join(linked, "cid", "left") if per is not None else linked.withColumn("links", F.lit(0).cast("long"))
     linked = written(linked.join(classes.select("cid", F.col("rep.doc_id").alias("copy_id")), "cid").select("cid", "copy_id", "links", F.coalesce("label", "cid").alias("label")), "join-linked")
     least = linked.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    linked = layout.hub_join(linked, "label", least).select("cid", "links", "class_id")
+    linked = written(layout.hub_join(linked, "label", least).select("cid", "links", "class_id"), "join-least")
     info = classes.select("cid", "size", F.col("rep.doc_id").alias("copy_id")).join(linked, "cid", "left")
     rows = layout.hub_join(hashed.filter("n_shingles > 0").select("doc_id", "cid"), "cid", info)
     alone = hashed.filter("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
